@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import quality_model, toxicity
 from .common import table
 from .mixing import mix_sources
 from .quality_rules import quality_rules
@@ -22,7 +22,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score_quality(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_model": op4_quality_model,
     "op8_quality_rules": op8_quality_rules,
     "op10_mix_sources": op10_mix_sources,
 }
