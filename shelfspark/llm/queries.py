@@ -10,10 +10,15 @@ from . import quality_model, toxicity
 from .common import table
 from .mixing import mix_sources
 from .quality_rules import quality_rules
+from .suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
@@ -35,6 +40,7 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_model": op4_quality_model,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_mix_sources": op10_mix_sources,
 }
