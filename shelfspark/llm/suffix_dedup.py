@@ -30,15 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 from .textscan import BASE_INV, BYTE, Slice, mix, powers, rolling, slices, span_hash
 
 THRESHOLD = 400
-#: Up to so many rows of spans or windows to look up go to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Up to so many ranges of all documents go to every executor (at 8 bytes and a share of a row each); more are joined by a shuffle.
+BROADCAST_RANGES = 600_000
 _U = np.uint64
 ANCHORS = "did long, th long, s int, e int, a1 long, a2 long, v long"
 
@@ -102,17 +102,17 @@ def _anchor_rows(keyed: DataFrame, threshold: int) -> DataFrame:
     return keyed.mapInArrow(run, ANCHORS)
 
 
-def _rerank(pos: DataFrame, *pair: str) -> DataFrame:
+def _rerank(pos: DataFrame, *pair: str, count: Column | None = None) -> DataFrame:
     """Replace ``pair`` by its rank in the sorted order of the pairs that occur at least twice; other positions leave."""
-    twice = pos.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = pos.groupBy(*pair).agg((F.count(F.lit(1)) if count is None else count).alias("n")).where("n > 1").drop("n")
     ranks = durable(twice.repartitionByRange(*pair).sortWithinPartitions(*pair).withColumn("next", F.monotonically_increasing_id()))
     return pos.join(ranks, list(pair)).drop(*pair).withColumnRenamed("next", "rank")
 
 
-def _with(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
-    """Join per-document rows to the texts; they are sent to all executors only up to a checked number."""
-    small = per_doc.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(per_doc) if small else per_doc, ["did", "th"], how)
+def _sized(per_doc: DataFrame) -> DataFrame:
+    """Mark per-document ranges for a broadcast if their checked total is small."""
+    total = per_doc.agg(F.sum(F.size("ranges"))).first()[0] or 0
+    return F.broadcast(per_doc) if total <= BROADCAST_RANGES else per_doc
 
 
 def _windows(keyed: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
@@ -133,24 +133,36 @@ def _windows(keyed: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, did[s.first + r])), pa.array(np.full(n, th[s.first + r])), pa.array(i.astype(np.int32)), pa.array(x.view(np.int64))], names=["did", "th", "i", "x"])
 
     by_doc = durable(wanted.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("ranges")))
-    texts = _with(keyed, by_doc, "inner").select("did", "th", "text", "ranges")
+    texts = keyed.join(_sized(by_doc), ["did", "th"]).select("did", "th", "text", "ranges")
     return texts.mapInArrow(run, "did long, th long, i int, x long")
 
 
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(did, th, spans): ranges of bytes to remove, of each document that has any; they may overlap."""
+    """(did, th, ranges): the maximal runs of bytes to remove, of each document that has any."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [_merged(r) for r in batch.column("ranges")]
+            sizes = np.cumsum([0, *(len(a) for a, _ in runs)], dtype=np.int32)
+            flat = [np.concatenate([x[k] for x in runs]).astype(np.int32) for k in (0, 1)] if runs else [np.zeros(0, np.int32)] * 2
+            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(list(map(pa.array, flat)), names=["s", "e"]))
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), lists], names=["did", "th", "ranges"])
+
     keyed = _keyed(docs)
     pos = durable(_rerank(_anchor_rows(keyed, threshold), "a1"))
-    pos = durable(_rerank(pos, "rank", "a2"))
-    variants = durable(pos.groupBy("rank", "v").agg(F.count(F.lit(1)).alias("n"), *[F.min_by(c, F.struct("did", "th", "s")).alias(c) for c in ("did", "th", "s", "e")]))
-    whole = pos.join(variants.where("n > 1").select("rank", "v"), ["rank", "v"]).select("did", "th", "s", (F.col("e") + threshold).alias("e"))
+    # the next round ranks variants with their counts, so equal neighbourhoods are one row each
+    place = F.struct("did", "th", "s", "e")
+    variants = pos.groupBy("rank", "a2", "v").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
+    variants = durable(_rerank(durable(variants), "rank", "a2", count=F.sum("n")))
+    whole = pos.join(variants.where("n > 1").select("v"), "v").select("did", "th", "s", (F.col("e") + threshold).alias("e"))
     contested = variants.where("n = 1").select("rank").distinct()
-    wanted = variants.join(contested, "rank").select("did", "th", "s", "e")
-    windows = durable(_windows(keyed, wanted, threshold).distinct())  # equal rows ask twice
+    wanted = variants.join(contested, "rank").select("at.*")
+    # two equal rows ask for the same windows twice; these belong to repeated variants anyway
+    windows = _windows(keyed, wanted, threshold)
     twice = windows.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
     single = windows.join(twice, "x").select("did", "th", F.col("i").alias("s"), (F.col("i") + threshold).alias("e"))
-    both = whole.unionByName(single)
-    return durable(both.groupBy("did", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    lists = whole.unionByName(single).groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    return durable(lists.mapInArrow(merge, "did long, th long, ranges array<struct<s:int,e:int>>"))
 
 
 def _merged(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +203,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     keyed = _keyed(docs.select("doc_id", "text")).withColumn("doc_id", F.nullif("did", F.lit(-(1 << 63))))
-    joined = _with(keyed, repeated_spans(docs, threshold), "left").select("doc_id", "text", "spans")
+    joined = keyed.join(_sized(repeated_spans(docs, threshold)), ["did", "th"], "left").select("doc_id", "text", F.col("ranges").alias("spans"))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -203,7 +215,7 @@ def dedup_text(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             out = []
             for s in slices(batch.column("text")):
                 for r in range(s.n):
-                    a, b = _merged(batch.column("spans")[s.first + r])
+                    a, b = _merged(batch.column("__spans")[s.first + r])
                     raw = s.buf[s.offs[r] : s.offs[r + 1]]
                     for at in range(len(a)):
                         while a[at] > 0 and raw[a[at]] & 0xC0 == 0x80:
@@ -212,15 +224,14 @@ def dedup_text(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                             b[at] += 1
                     out.append(_kept(memoryview(raw).cast("B"), a, b).decode())
             if out:
-                keep = [c for c in batch.schema.names if c not in ("spans", "text")]
+                keep = [c for c in batch.schema.names if c not in ("__spans", "text")]
                 yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(out, pa.string())], names=[*keep, "text"])
 
-    spans = repeated_spans(docs, threshold).select(F.col("did").alias("__did"), F.col("th").alias("__th"), "spans")
-    small = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    spans = _sized(repeated_spans(docs, threshold)).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("ranges").alias("__spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("text", text).withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__t", F.xxhash64("text"))
-    joined = keyed.join(F.broadcast(spans) if small else spans, (F.col("__d") == F.col("__did")) & (F.col("__t") == F.col("__th")), "left")
+    joined = keyed.join(spans, (F.col("__d") == F.col("__did")) & (F.col("__t") == F.col("__th")), "left")
     rest = [c for c in docs.columns if c != "text"]
-    body = joined.select(*rest, "text", "spans")
+    body = joined.select(*rest, "text", "__spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in body.select(*rest).schema) + ", text string"
     return body.mapInArrow(run, schema).select(*docs.columns)

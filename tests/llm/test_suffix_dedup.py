@@ -42,7 +42,7 @@ def corpus(k):
 
 @pytest.mark.parametrize(("k", "rows"), [(40, 400_000), (400, 1)])
 def test_matches_brute_force(make_docs, monkeypatch, k, rows):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_RANGES", rows)
     texts = corpus(k)
     got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(make_docs(list(enumerate(texts))).withColumn("spans", F.lit(1)), k).collect()}
     want = brute(texts, k)
