@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_model, toxicity
 from .common import table
+from .decontaminate import decontaminate
 from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .suffix_dedup import remove_repeats
@@ -19,6 +20,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_model": op4_quality_model,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op10_mix_sources": op10_mix_sources,
 }
