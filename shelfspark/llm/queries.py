@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import quality_model, toxicity
 from .common import table
 from .decontaminate import decontaminate
+from .jaccard_join import near_duplicates
 from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .suffix_dedup import remove_repeats
@@ -16,6 +17,10 @@ from .suffix_dedup import remove_repeats
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_model": op4_quality_model,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
