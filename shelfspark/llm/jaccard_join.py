@@ -7,8 +7,9 @@ holds every content; a node splits its contents on the values of one or two
 coordinates chosen by the node's path (1 / similarity of them on average),
 again and again, until a bucket is small. Small buckets are compared by brute
 force; runs repeat until a pair at the threshold is found with the target
-recall. Buckets that stay large to the greatest depth agree on that many
-sampled tokens and become candidates as a whole.
+recall. A large bucket that keeps most of its parent is one of near copies (its
+contents agree on token after token): it is not split on, but becomes a
+candidate as a whole; so does what is still large at the greatest depth.
 
 Candidates only say which contents belong together: each of their connected
 components is then compared in full with exact sets, in blocks of bounded
@@ -35,7 +36,7 @@ from .common import components, durable, partitions, whole_groups
 from .textscan import ALNUM, BASE, Slice, Words, mix, rolling, slices, span_hash
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
-SIGNATURE, BUCKET, DEPTH, SLACK, BLOCK = 64, 64, 12, 0.2, 1000
+SIGNATURE, BUCKET, DEPTH, DENSE, SLACK, BLOCK = 64, 64, 12, 0.6, 0.2, 1000
 #: Up to so many wanted contents are sent to every executor (24 bytes each); more are joined by a shuffle.
 BROADCAST_CONTENTS = 600_000
 NO_ID = -(1 << 63)
@@ -97,7 +98,7 @@ def _sig(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _split(rows: DataFrame, similarity: float) -> DataFrame:
-    """Children (k, node) of rows (k, node, sig)."""
+    """Children (k, node, pn) of rows (k, node, sig, pn); pn is the size of the parent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +114,9 @@ def _split(rows: DataFrame, similarity: float) -> DataFrame:
                 at = ((mix(node[on]) >> _U(8)) + _U(j) * (_U(1) + (mix(node[on] + _U(5)) >> _U(9)) % _U(SIGNATURE - 1))) % _U(SIGNATURE)
                 value = sig[on, at.astype(np.int64)].astype(np.uint64)
                 child = mix(mix(node[on] + at) + value)
-                yield pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(child.view(np.int64))], names=["k", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(child.view(np.int64)), batch.column("pn").take(pa.array(on))], names=["k", "node", "pn"])
 
-    return rows.select("k", "node", "sig").mapInArrow(run, "k long, node long")
+    return rows.select("k", "node", "sig", "pn").mapInArrow(run, "k long, node long, pn long")
 
 
 def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
@@ -157,22 +158,23 @@ def runs_needed(recall: float, similarity: float) -> int:
 def candidate_components(reps: DataFrame, similarity: float, recall: float, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
     """(node, root) of the contents ``reps(k, sig)`` that have a candidate."""
     runs = F.explode(F.sequence(F.lit(1), F.lit(runs_needed(recall, similarity))))
-    level = reps.select("k", "sig", runs.alias("run")).select("k", F.xxhash64("run", F.lit(41)).alias("node"), "sig")
+    level = reps.select("k", "sig", runs.alias("run")).select("k", F.xxhash64("run", F.lit(41)).alias("node"), "sig", F.lit(1 << 62).alias("pn"))
     edges = None
     for at in range(1, depth + 1):
         rows = durable(_split(level, similarity))
         n = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = durable(rows.join(n, "node"))
         found = _bucket_edges(rows.where(F.col("n") <= bucket).join(reps, "k"), similarity)
-        large = rows.where(F.col("n") > bucket)
+        settled = (F.col("n") >= DENSE * F.col("pn")) | F.lit(at == depth)
+        dense = rows.where((F.col("n") > bucket) & settled)
+        least = dense.groupBy("node").agg(F.min("k").alias("b"))
+        found = found.unionByName(dense.join(least, "node").select(F.col("k").alias("a"), "b").where("a <> b"))
+        large = rows.where((F.col("n") > bucket) & ~settled)
         rest = large.limit(1).count()
-        if rest and at == depth:
-            least = large.groupBy("node").agg(F.min("k").alias("b"))
-            found = found.unionByName(large.join(least, "node").select(F.col("k").alias("a"), "b").where("a <> b"))
         edges = found if edges is None else edges.unionByName(found)
         if not rest:
             break
-        level = large.join(reps, "k").select("k", "node", "sig")
+        level = large.join(reps, "k").select("k", "node", "sig", F.col("n").alias("pn"))
     return components(edges)
 
 
