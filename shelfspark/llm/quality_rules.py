@@ -159,3 +159,17 @@ def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that the rules keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column("text")):
+                m = measure(s)
+                words, rep = m["n_words"], m["n_repeat_words"]
+                good = (words >= 10) & (100 * rep <= 20 * words) & (m["covered_words"] <= max_covered * words) & (m["longest_repeat"] <= max_longest)
+                yield batch.slice(s.first, s.n).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality_model, toxicity
-from .common import table
+from .common import shared_dir, table
 from .decontaminate import decontaminate
 from .jaccard_join import near_duplicates
 from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .suffix_dedup import remove_repeats
+from .token_counts import Tokenizer, TokenRollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +40,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+#: Where the public vocabulary lies on the driver.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are one insert batch; committing it twice changes nothing."""
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/shelfspark/tokens-{uuid.uuid4().hex}", Tokenizer(TOKENIZER))
+    inserts = table(spark, sf_dir, "documents").withColumn("change", F.lit("insert"))
+    for _ in range(2):
+        rollup.commit("load", inserts)
+    return rollup.totals()
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -47,7 +63,14 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_quality_model": op4_quality_model,
     "op5_jaccard_join": op5_jaccard_join,
@@ -55,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op10_mix_sources": op10_mix_sources,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
