@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textscan import ALNUM, Words, slices
 
 WIDTH, BLOCK_WORDS, SAMPLE = 10, 2_000_000, 8
@@ -257,7 +258,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block
 
         return run
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(runs).alias("hits"), F.array().cast("array<string>").alias("items"), *carry)
+    out = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(runs).alias("hits"), F.array().cast("array<string>").alias("items"), *carry)
     for block in _blocks(benchmark, width, block_words):
         out = out.mapInArrow(search(block), schema)
     return out

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, partitions, whole_groups
+from .common import components, durable, partitions, small_batches, whole_groups
 from .textscan import ALNUM, BASE, Slice, Words, mix, rolling, slices, span_hash
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -79,7 +79,7 @@ def signatures(first: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def _ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("string").alias("text"))
 
 
 def _contents(docs: DataFrame, width: int) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 def lbfgs(loss_grad: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, rounds: int = 100, memory: int = 8) -> np.ndarray:
     """Minimise a smooth convex function by L-BFGS with backtracking."""
@@ -69,4 +71,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     n = known.count()
     share = min(1.0, max_rows / n) if n else 1.0
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .textscan import BYTE, SPACED, Slice, Words, grams, mix, per_doc, repeated, rolling, slices, span_hash
 
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.15, 100
@@ -158,7 +159,7 @@ def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest
                 names=["doc_id", *cols, "base_failed", "kept"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
@@ -172,4 +173,4 @@ def keep_good(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: in
                 good = (words >= 10) & (100 * rep <= 20 * words) & (m["covered_words"] <= max_covered * words) & (m["longest_repeat"] <= max_longest)
                 yield batch.slice(s.first, s.n).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small_batches
 from .textscan import BASE_INV, BYTE, Slice, mix, powers, rolling, slices, span_hash
 
 THRESHOLD = 400
@@ -85,7 +85,7 @@ def anchors(s: Slice, threshold: int) -> tuple[np.ndarray, ...]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _anchor_rows(keyed: DataFrame, threshold: int) -> DataFrame:

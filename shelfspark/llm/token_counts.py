@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Fixed value: the pre-tokenizer of the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEDGER = "doc_id long, source string, lang string, docs long, tokens long"
@@ -58,7 +60,7 @@ def count_tokens(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
             n = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "source", "lang")], pa.array([1] * len(n), pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "docs", "tokens"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, LEDGER)
+    return small_batches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, LEDGER)
 
 
 class TokenRollup:

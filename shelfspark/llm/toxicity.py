@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small_batches
 from .linear import fold_of, labelled_sample, lbfgs, logistic_loss, sigmoid
 from .textscan import ALNUM, LOWER, Slice, slices
 
@@ -146,5 +146,5 @@ def score_toxicity(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
