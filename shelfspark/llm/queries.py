@@ -12,6 +12,8 @@ from . import quality_model, toxicity
 from .common import shared_dir, table
 from .decontaminate import decontaminate
 from .jaccard_join import near_duplicates
+from .license_scan import scan_licenses
+from .lm_score import stupid_backoff
 from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .suffix_dedup import remove_repeats
@@ -36,6 +38,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return stupid_backoff(docs, docs)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -53,6 +60,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: /source/lang/shelf of 64/name; those of at most 400 characters are licence files."""
+    name = F.when(F.length("text") <= 400, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", F.lit(""), "source", "lang", F.floor(F.col("doc_id") / 64), name)
+    return scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path)).drop("path")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -71,12 +85,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op4_quality_model": op4_quality_model,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm_score": op9_lm_score,
     "op10_mix_sources": op10_mix_sources,
     "pipeline": pipeline,
 }
