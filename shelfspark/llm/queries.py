@@ -40,7 +40,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return stupid_backoff(docs, docs)
+    return stupid_backoff(docs, docs).withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,3 +98,37 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {}
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+ORACLES["op8_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+g AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, (VALUES (5), (10), (101)) s(k) WHERE len(w) >= k),
+h AS (SELECT doc_id, k, i, md5(array_to_string(w[i:i + k - 1], ' ')) AS x FROM g),
+r AS (SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, x) AS n FROM h) q WHERE n > 1),
+c AS (SELECT doc_id, k, count(DISTINCT p) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM r) q GROUP BY doc_id, k),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) q WHERE regexp_matches(line, '{_SPACED}') GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, coalesce(c5.n, 0) AS n_repeat_words, coalesce(c10.n, 0) AS covered_words, coalesce(c101.n, 0) > 0 AS long
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN c c5 ON c5.doc_id = d.doc_id AND c5.k = 5
+  LEFT JOIN c c10 ON c10.doc_id = d.doc_id AND c10.k = 10 LEFT JOIN c c101 ON c101.doc_id = d.doc_id AND c101.k = 101),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed, NOT base_failed AND covered_words <= 0.15 * n_words AND NOT long AS kept FROM b"""
+
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + _ALNUM + "')"
+ORACLES["op7_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents), b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0) q),
+g AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS x FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) s WHERE len(w) >= k) q),
+hit AS (SELECT g.doc_id, g.i, g.k, win.item_id FROM g JOIN win ON win.k = g.k AND win.x = g.x),
+n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) q GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) q GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""
+
+ORACLES["op9_lm_score"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) q),
+u AS (SELECT x, count(*) AS n FROM p GROUP BY x), b AS (SELECT v, x, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, x), z AS (SELECT count(*) AS n FROM p),
+s AS (SELECT doc_id, sum(CASE WHEN p.v IS NULL THEN ln(u.n / z.n) ELSE ln(b.n / c.n) END) AS s FROM p JOIN u ON u.x = p.x LEFT JOIN b ON b.v = p.v AND b.x = p.x LEFT JOIN u c ON c.x = p.v, z GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(CASE WHEN len(w) > 0 THEN s / len(w) ELSE 0 END, 6) AS mean_log_score FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
