@@ -7,11 +7,13 @@ whose base name starts with LICENSE, LICENCE, COPYING or NOTICE). A file
 without a licence of its own inherits that of the nearest directory above it
 that has one; distinct directories are resolved, not files.
 
-Only lines that can reach the threshold are exploded: with idf at most that of
-an unknown word, hits in a line must outweigh its other words. Defined
-results: null and empty texts and null paths have no licence of their own; a
-null path inherits nothing; equal rows get equal results; an empty table
-gives an empty table; extra columns are ignored.
+Lines are scored inside their row, so no text and no line is shuffled. A line
+is scored if it has a word without which no template can reach the threshold;
+its length is summed over the runs of its sorted words. Templates are part of
+the plan, some hundreds at most. Defined results: null and empty texts and
+null paths have no licence of their own; a null path inherits nothing; equal
+rows get equal results; an empty table gives an empty table; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -42,32 +44,68 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, path, own_license, own_score, license, inherited_from) for every row of ``files(doc_id, path, text)``."""
-    spark = files.sparkSession
+def telling_words(weights: dict[str, float], threshold: float) -> set[str]:
+    """Words of which a line must have one: all others together cannot reach ``threshold`` (Cauchy-Schwarz)."""
+    left, out = threshold**2 - 1e-9, set(weights)
+    for word in sorted(weights, key=lambda w: (weights[w], len(w), w)):
+        left -= weights[word] ** 2
+        if left <= 0:
+            break
+        out.discard(word)
+    return out
+
+
+def _lookup(values: dict[str, float], word: Column, default: float) -> Column:
+    pairs = [F.lit(x) for item in sorted(values.items()) for x in item]
+    return F.coalesce(F.create_map(*pairs)[word], F.lit(default))
+
+
+def _length(words: Column, idf: dict[str, float], rare: float) -> Column:
+    """Euclidean length of the TF-IDF vector of ``words``, from the runs of equal words after sorting."""
+    start = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+
+    def closed(state: Column) -> Column:
+        x = state["run"] * _lookup(idf, state["word"], rare)
+        return state["total"] + x * x
+
+    def step(state: Column, word: Column) -> Column:
+        same = state["word"] == word
+        return F.struct(word.alias("word"), F.when(same, state["run"] + 1.0).otherwise(F.lit(1.0)).alias("run"), F.when(same, state["total"]).otherwise(closed(state)).alias("total"))
+
+    return F.aggregate(F.array_sort(words), start, step, lambda state: F.sqrt(closed(state)))
+
+
+def own_license(text: Column, templates: dict[str, str], threshold: float) -> Column:
+    """(score, name) of the best template of any line of ``text`` as a struct, its score negated; null without one."""
     tf = {name: Counter(_words(t)) for name, t in sorted(templates.items())}
     df = Counter(w for c in tf.values() for w in c)
     idf = {w: math.log((1 + len(tf)) / (1 + n)) + 1 for w, n in df.items()}
     rare = math.log(1 + len(tf)) + 1  # of words in no template
     norm = {name: math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items())) for name, c in tf.items()}
-    weights = F.broadcast(spark.createDataFrame([(w, name, idf[w], n * idf[w] / norm[name]) for name, c in tf.items() for w, n in c.items()], "word string, name string, idf double, weight double"))
-    text = F.col("text").cast("string")
-    uid = F.xxhash64(text)
+    weights = {name: {w: n * idf[w] / norm[name] for w, n in c.items()} for name, c in tf.items() if c}
+    telling = set().union(*(telling_words(w, threshold) for w in weights.values()))
     # cos >= t needs the hits' squares to be at least t^2 / (1 - t^2) of the others'; idf of a hit is at most rare
     need = threshold**2 / (1 - threshold**2)
-    words = F.filter(F.split(F.lower(F.col("line")), "[^a-z0-9]+"), lambda w: w != "")
-    lines = files.where(text.isNotNull()).select(uid.alias("u"), F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike("(?i)" + "|".join(sorted(idf, key=lambda w: (-len(w), w)))))
-    lines = lines.select("u", words.alias("words")).withColumn("hits", F.filter("words", lambda w: w.isin(*sorted(idf))))
-    lines = lines.where((F.size("hits") > 0) & (F.size("hits") * F.size("hits") >= need * (F.size("words") - F.size("hits"))))
-    kept = lines.select("u", F.array_join("words", " ").alias("line"), "words").dropDuplicates(["u", "line"])
-    terms = kept.select("u", "line", F.explode("words").alias("word")).groupBy("u", "line", "word").agg(F.count(F.lit(1)).alias("n"))
-    w = weights.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("name", "weight")).alias("by"))
-    terms = terms.join(F.broadcast(w), "word", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(rare)))
-    length = terms.groupBy("u", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    dots = terms.select("u", "line", "x", F.explode("by").alias("t")).groupBy("u", "line", F.col("t.name").alias("name")).agg(F.sum(F.col("x") * F.col("t.weight")).alias("dot"))
-    cos = dots.join(length, ["u", "line"]).select("u", "name", F.round(F.col("dot") / F.col("length"), 9).alias("score")).where(F.col("score") >= threshold)
-    own = durable(cos.groupBy("u").agg(F.min(F.struct((-F.col("score")).alias("score"), "name")).alias("best")).select("u", F.col("best.name").alias("own_license"), (-F.col("best.score")).alias("own_score")))
-    rows = files.select("doc_id", F.col("path").cast("string").alias("path"), uid.alias("u")).join(own, "u", "left").drop("u")
+    lines = F.filter(F.split(F.lower(text), "\n"), lambda s: s.rlike(r"(?<![a-z0-9])(?:" + "|".join(sorted(telling)) + r")(?![a-z0-9])"))
+    split = F.transform(lines, lambda s: F.filter(F.split(s, "[^a-z0-9]+"), lambda w: w != ""))
+    both = F.transform(split, lambda w: F.struct(w.alias("words"), F.filter(w, lambda x: x.isin(*sorted(idf))).alias("hits")))
+    near = F.filter(both, lambda b: F.size(b["hits"]) * F.size(b["hits"]) >= need * (F.size(b["words"]) - F.size(b["hits"])))
+    sized = F.transform(near, lambda b: F.struct(b["hits"].alias("hits"), _length(b["words"], idf, rare).alias("length")))
+
+    def score(b: Column, name: str) -> Column:
+        gain = {w: idf[w] * x for w, x in weights[name].items()}
+        dot = F.aggregate(b["hits"], F.lit(0.0), lambda total, w: total + _lookup(gain, w, 0.0))
+        return F.struct((-F.round(dot / b["length"], 9)).alias("score"), F.lit(name).alias("name"))
+
+    scores = F.flatten(F.transform(sized, lambda b: F.array(*[score(b, name) for name in weights])))
+    return F.array_min(F.filter(scores, lambda s: s["score"] <= -threshold))
+
+
+def scan_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, path, own_license, own_score, license, inherited_from) for every row of ``files(doc_id, path, text)``."""
+    best = own_license(F.col("text").cast("string"), templates, threshold)
+    rows = durable(files.select("doc_id", F.col("path").cast("string").alias("path"), best.alias("best")))
+    rows = rows.select("doc_id", "path", F.col("best.name").alias("own_license"), (-F.col("best.score")).alias("own_score"))
     rows = rows.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")))
     base = F.element_at(F.split("path", "/"), -1)
     at = rows.where(base.rlike("^(LICEN[SC]E|COPYING|NOTICE)") & F.col("own_license").isNotNull())
