@@ -1,87 +1,131 @@
-"""Stupid-backoff language-model scores, computed as joins of n-gram counts with documents' n-grams.
+"""Stupid-backoff language-model scores, computed as a join of n-gram counts with documents' n-grams.
 
-Counts come from all of ``corpus``. n-grams are 64-bit hashes of their words;
-for each order the count table is partitioned by that hash and joined to the
-documents' n-grams (with how often each document has them); per document and
-order only sums are left. A word's score is count(n-gram) / count(context) at
-the longest order that was seen, times ``alpha`` for each step of backing off,
-and count(word) / corpus size at order 1; the document's score is the sum of
-their logarithms. n-grams that many documents share are counted map-side, and
-their join is split by the skew handling of adaptive execution.
+Counts come from all of ``corpus``. n-grams are 64-bit hashes of their words.
+Documents are dealt to parts of about ``PART_BYTES`` of text; a part explodes
+its n-grams and shuffles each distinct one once, with how often the part has
+it, partitioned by hash. There the counts of equal n-grams are summed and
+joined to every part that asked for them (a sum over the hash's rows: at most
+one row a part, so a frequent n-gram is no hot key). Each part then meets its
+counts again and sums its documents' scores.
+
+A word's score is count(n-gram) / count(context) at the longest order that was
+seen, times ``alpha`` for each step of backing off, and count(word) / corpus
+size at order 1; the document's score is the sum of their logarithms.
 
 Words are [^\\x20\\x09-\\x0D]+. Defined results: a null or blank text has 0
 words and score 0; a word the corpus never had counts as if seen half a time;
-equal rows get equal scores; an empty corpus has size 1; extra columns are
-ignored.
+equal rows get equal scores; an empty corpus has size 1; an empty table gives
+an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches
-from .textscan import SPACED, Words, mix, slices
+from .common import partitions, small_batches
+from .textscan import SPACED, Slice, Words, mix, slices
 
 ALPHA = 0.4
+#: Text that a part holds, about; a longer document is most of its part.
+PART_BYTES = 32 << 20
+#: The key under which the number of all words is counted.
+SIZE = 0
 _U = np.uint64
-ROW = "u long, gram long, ctx long, last long, n int"
+GRAMS = "part long, gram long, n long"
+
+
+def _keys(s: Slice) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(words, bigram key of each word and the one before it, whether it is a document's first)."""
+    words = Words(s, SPACED, fold=False)
+    before = np.concatenate([[_U(0)], words.hash[:-1]]) if len(words.hash) else words.hash
+    head = np.zeros(len(words.hash), dtype=bool)
+    head[words.first[:-1][np.diff(words.first) > 0]] = True
+    return words, mix(before * _U(0xD6E8FEB86659FD93) + words.hash), head
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+
+
+def _part_grams(group: pa.Table) -> pa.Table:
+    """Distinct unigrams and bigrams of one part with their numbers, and the number of its words."""
+    keys, counts, held = [np.array([SIZE], dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
+    for s in slices(group.column("text")):
+        words, bigram, head = _keys(s)
+        for some in (words.hash, bigram[~head]):
+            key, n = np.unique(some, return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            held += len(key)
+        keys.append(np.array([SIZE], dtype=np.uint64))
+        counts.append(np.array([len(words.hash)]))
+        if held > 1 << 21:  # few slices at a time
+            key, n = _summed(keys, counts)
+            keys, counts, held = [key], [n], 0
+    key, n = _summed(keys, counts)
+    return pa.table({"part": pa.array(np.full(len(key), group.column("part")[0].as_py(), dtype=np.int64)), "gram": pa.array(key.view(np.int64)), "n": pa.array(n)})
+
+
+def _scorer(alpha: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        key, n = counts.column("gram").to_numpy().view(np.uint64), counts.column("total").to_numpy()
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+
+        def count(x: np.ndarray) -> np.ndarray:
+            if not len(key):
+                return np.zeros(len(x))
+            at = np.minimum(np.searchsorted(key, x), len(key) - 1)
+            return np.where(key[at] == x, n[at], 0).astype(np.float64)
 
+        size = max(count(np.array([SIZE], dtype=np.uint64))[0], 1.0)
+        n_words, score = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for s in slices(docs.column("text")):
+            words, bigram, head = _keys(s)
+            one, two = count(words.hash), np.where(head, 0.0, count(bigram))
+            context = np.concatenate([[1.0], one[:-1]]) if len(one) else one
+            seen = two > 0
+            backed = np.log(np.where(one > 0, one, 0.5) / size) + np.where(head, 0.0, math.log(alpha))
+            logs = np.where(seen, np.log(np.where(seen, two, 1.0) / np.where(seen, context, 1.0)), backed)
+            n_words.append(np.diff(words.first))
+            score.append(_doc_sums(logs, words.first))
+        return pa.table({"doc_id": docs.column("did"), "n_words": pa.array(np.concatenate(n_words).astype(np.int64)), "log_score": pa.array(np.concatenate(score))})
 
-def _bigram(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * _U(0xD6E8FEB86659FD93) + w)
+    return run
 
 
-def _grams(rows: DataFrame) -> DataFrame:
-    """(u, gram, ctx, last, n): distinct bigrams of each row ``(u, text)``; a first word has gram = ctx = 0."""
+def _doc_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` for each document, each summed by itself."""
+    out = np.zeros(len(first) - 1)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = np.add.reduceat(values, first[full])
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u = batch.column("u").to_numpy()
-            for s in slices(batch.column("text")):
-                words = Words(s, SPACED, fold=False)
-                if not len(words.hash):
-                    continue
-                prev = np.concatenate([[_U(0)], words.hash[:-1]])
-                gram = _bigram(prev, words.hash)
-                head = words.first[:-1][np.diff(words.first) > 0]
-                prev[head], gram[head] = 0, 0
-                key = np.where(gram == 0, words.hash, gram)
-                order = np.lexsort((key, words.doc))
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (key[order[1:]] != key[order[:-1]]) | (words.doc[order[1:]] != words.doc[order[:-1]])
-                first = np.flatnonzero(new)
-                n, at = np.diff(np.append(first, len(order))), order[first]
-                cols = [u[s.first + words.doc[at]], gram[at].view(np.int64), prev[at].view(np.int64), words.hash[at].view(np.int64), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["u", "gram", "ctx", "last", "n"])
 
-    return rows.mapInArrow(run, ROW)
+def _parts(rows: DataFrame) -> DataFrame:
+    """``rows(did, text)`` dealt to parts by a hash."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = math.ceil((total + 1) / PART_BYTES)
+    part = F.pmod(F.xxhash64("did", "text"), F.lit(parts).cast("long"))
+    return rows.select(part.alias("part"), "did", "text").repartition(max(partitions(rows.sparkSession), parts), "part")
 
 
 def stupid_backoff(docs: DataFrame, corpus: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of ``docs(doc_id, text)`` under a bigram model of ``corpus(text)``."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("u"), text.alias("text"))
-    grams = _grams(small_batches(corpus).select(F.lit(0).cast("long").alias("u"), text.alias("text")))
-    uni = durable(grams.groupBy("last").agg(F.sum("n").alias("count")))
-    size = uni.agg(F.coalesce(F.sum("count"), F.lit(1))).first()[0]
-    bi = grams.where("gram <> 0").groupBy("gram").agg(F.sum("n").alias("both"))
-    want = _grams(rows.select("u", "text"))
-    j = want.join(bi, "gram", "left")
-    seen = F.col("both").isNotNull()
-    # log both - log count(ctx) where seen, log alpha + log count(last) - log size elsewhere: one lookup of a word each
-    part = j.select("u", F.when(seen, F.col("ctx")).otherwise(F.col("last")).alias("last"), F.when(seen, -F.col("n")).otherwise(F.col("n")).alias("sign"),
-                    F.when(seen, F.log("both")).otherwise(F.when(F.col("gram") == 0, 0.0).otherwise(float(np.log(alpha))) - float(np.log(max(size, 1)))).alias("add"), "n")
-    part = part.groupBy("u", "last").agg(F.sum("sign").alias("sign"), F.sum(F.col("add") * F.col("n")).alias("add"), F.sum("n").alias("n"))
-    scored = part.join(uni, "last", "left").groupBy("u").agg(F.sum(F.col("add") + F.col("sign") * F.log(F.coalesce("count", F.lit(0.5)))).alias("score"), F.sum("n").alias("words"))
-    # rows with equal texts were summed together
-    same = rows.groupBy("u").agg(F.count(F.lit(1)).alias("rows"))
-    scored = scored.join(same, "u")
-    out = rows.select("doc_id", "u").join(scored, "u", "left")
-    n = F.coalesce((F.col("words") / F.col("rows")).cast("long"), F.lit(0).cast("long"))
-    score = F.coalesce(F.col("score") / F.col("rows"), F.lit(0.0))
-    return out.select("doc_id", n.alias("n_words"), score.alias("log_score"), F.when(n > 0, score / n).otherwise(0.0).alias("mean_log_score"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = _parts(small_batches(docs).select(F.col("doc_id").cast("long").alias("did"), text))
+    grams = rows.groupBy("part").applyInArrow(_part_grams, GRAMS)
+    if corpus is not docs:
+        known = _parts(small_batches(corpus).select(F.monotonically_increasing_id().alias("did"), text)).groupBy("part").applyInArrow(_part_grams, GRAMS)
+        grams = grams.withColumn("n", F.lit(0).cast("long")).unionByName(known.withColumn("part", F.lit(-1).cast("long")))
+    joined = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("part >= 0 and total > 0").select("part", "gram", "total")
+    scored = rows.groupBy("part").cogroup(joined.groupBy("part")).applyInArrow(_scorer(alpha), "doc_id long, n_words long, log_score double")
+    return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
