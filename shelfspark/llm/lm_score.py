@@ -2,11 +2,12 @@
 
 Counts come from all of ``corpus``. n-grams are 64-bit hashes of their words.
 Documents are dealt to parts of about ``PART_BYTES`` of text; a part explodes
-its n-grams and shuffles each distinct one once, with how often the part has
-it, partitioned by hash. There the counts of equal n-grams are summed and
-joined to every part that asked for them (a sum over the hash's rows: at most
-one row a part, so a frequent n-gram is no hot key). Each part then meets its
-counts again and sums its documents' scores.
+its n-grams and sends each distinct one once, with how often the part has it,
+to the bucket of its hash. A bucket holds the count table of its n-grams and
+joins it to every part that asked. n-grams travel packed, a row for each part
+and bucket, and only totals travel back, in the order of the part's sorted
+hashes; the part then sums its documents' scores. A frequent n-gram is at most
+one entry a part, so there are no hot keys.
 
 A word's score is count(n-gram) / count(context) at the longest order that was
 seen, times ``alpha`` for each step of backing off, and count(word) / corpus
@@ -25,7 +26,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, small_batches
@@ -33,11 +34,13 @@ from .textscan import SPACED, Slice, Words, mix, slices
 
 ALPHA = 0.4
 #: Text that a part holds, about; a longer document is most of its part.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
+#: Buckets of hashes for each part, so that tasks are even.
+BUCKETS_A_PART = 4
 #: The key under which the number of all words is counted.
 SIZE = 0
 _U = np.uint64
-GRAMS = "part long, gram long, n long"
+BLOCK = "part long, bucket long, grams binary, counts binary"
 
 
 def _keys(s: Slice) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -54,10 +57,10 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key, np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
 
 
-def _part_grams(group: pa.Table) -> pa.Table:
-    """Distinct unigrams and bigrams of one part with their numbers, and the number of its words."""
+def _distinct(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct unigrams and bigrams of a part with their numbers, and the number of its words."""
     keys, counts, held = [np.array([SIZE], dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], 0
-    for s in slices(group.column("text")):
+    for s in slices(texts):
         words, bigram, head = _keys(s)
         for some in (words.hash, bigram[~head]):
             key, n = np.unique(some, return_counts=True)
@@ -69,19 +72,66 @@ def _part_grams(group: pa.Table) -> pa.Table:
         if held > 1 << 21:  # few slices at a time
             key, n = _summed(keys, counts)
             keys, counts, held = [key], [n], 0
-    key, n = _summed(keys, counts)
-    return pa.table({"part": pa.array(np.full(len(key), group.column("part")[0].as_py(), dtype=np.int64)), "gram": pa.array(key.view(np.int64)), "n": pa.array(n)})
+    return _summed(keys, counts)
 
 
-def _scorer(alpha: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        key, n = counts.column("gram").to_numpy().view(np.uint64), counts.column("total").to_numpy()
-        order = np.argsort(key)
-        key, n = key[order], n[order]
+def _cuts(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of the sorted ``key`` that are not empty, bounds of each)."""
+    bucket = (((key >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return bucket[start], np.append(start, len(key))
+
+
+def _packed(n: np.ndarray) -> bytes:
+    """Integers by byte planes: the high ones are zeros, which shuffles compress away."""
+    return np.ascontiguousarray(n.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _asker(buckets: int, counted: bool, wanted: bool) -> Callable[[pa.Table], pa.Table]:
+    """Blocks of a part: its n-grams, counted if it is of the corpus; part is -1 if no totals are wanted."""
+
+    def run(group: pa.Table) -> pa.Table:
+        key, n = _distinct(group.column("text"))
+        bucket, cut = _cuts(key, buckets)
+        part = group.column("part")[0].as_py() if wanted else -1
+        pieces = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        n = n if counted else np.zeros_like(n)
+        return pa.table({
+            "part": pa.array([part] * len(bucket), pa.int64()), "bucket": pa.array(bucket),
+            "grams": pa.array([key[p].tobytes() for p in pieces], pa.binary()), "counts": pa.array([_packed(n[p]) for p in pieces], pa.binary()),
+        })
+
+    return run
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """Totals of one bucket's n-grams for every part that asked."""
+    grams = [np.frombuffer(b, dtype=np.uint64) for b in group.column("grams").to_pylist()]
+    counts = [_unpacked(b) for b in group.column("counts").to_pylist()]
+    _, at = np.unique(np.concatenate(grams), return_inverse=True)
+    # integers, as totals of a large corpus are beyond what a float holds exactly
+    total = np.zeros(at.max() + 1, dtype=np.int64)
+    np.add.at(total, at, np.concatenate(counts))
+    ends = np.cumsum([len(g) for g in grams])
+    part = group.column("part").to_numpy()
+    keep = np.flatnonzero(part >= 0)
+    totals = [_packed(total[at[ends[i] - len(grams[i]) : ends[i]]]) for i in keep]
+    return pa.table({"part": pa.array(part[keep]), "bucket": group.column("bucket").take(pa.array(keep)), "totals": pa.array(totals, pa.binary())})
+
+
+def _scorer(alpha: float, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        key, n = _distinct(docs.column("text"))
+        bucket, cut = _cuts(key, buckets)
+        for b, data in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
+            i = np.searchsorted(bucket, b)
+            n[cut[i] : cut[i + 1]] = _unpacked(data)
 
         def count(x: np.ndarray) -> np.ndarray:
-            if not len(key):
-                return np.zeros(len(x))
             at = np.minimum(np.searchsorted(key, x), len(key) - 1)
             return np.where(key[at] == x, n[at], 0).astype(np.float64)
 
@@ -110,22 +160,26 @@ def _doc_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """``rows(did, text)`` dealt to parts by a hash."""
+def _parts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows(did, text)`` dealt to parts by a hash, and how many parts."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = math.ceil((total + 1) / PART_BYTES)
     part = F.pmod(F.xxhash64("did", "text"), F.lit(parts).cast("long"))
-    return rows.select(part.alias("part"), "did", "text").repartition(max(partitions(rows.sparkSession), parts), "part")
+    return rows.select(part.alias("part"), "did", "text").repartition(max(partitions(rows.sparkSession), parts), "part"), parts
 
 
 def stupid_backoff(docs: DataFrame, corpus: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of ``docs(doc_id, text)`` under a bigram model of ``corpus(text)``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = _parts(small_batches(docs).select(F.col("doc_id").cast("long").alias("did"), text))
-    grams = rows.groupBy("part").applyInArrow(_part_grams, GRAMS)
-    if corpus is not docs:
-        known = _parts(small_batches(corpus).select(F.monotonically_increasing_id().alias("did"), text)).groupBy("part").applyInArrow(_part_grams, GRAMS)
-        grams = grams.withColumn("n", F.lit(0).cast("long")).unionByName(known.withColumn("part", F.lit(-1).cast("long")))
-    joined = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("part >= 0 and total > 0").select("part", "gram", "total")
-    scored = rows.groupBy("part").cogroup(joined.groupBy("part")).applyInArrow(_scorer(alpha), "doc_id long, n_words long, log_score double")
+    rows, parts = _parts(small_batches(docs).select(F.col("doc_id").cast("long").alias("did"), text))
+    if corpus is docs:
+        buckets = BUCKETS_A_PART * parts
+        blocks = rows.groupBy("part").applyInArrow(_asker(buckets, counted=True, wanted=True), BLOCK)
+    else:
+        known, more = _parts(small_batches(corpus).select(F.monotonically_increasing_id().alias("did"), text))
+        buckets = BUCKETS_A_PART * (parts + more)
+        blocks = rows.groupBy("part").applyInArrow(_asker(buckets, counted=False, wanted=True), BLOCK)
+        blocks = blocks.unionByName(known.groupBy("part").applyInArrow(_asker(buckets, counted=True, wanted=False), BLOCK))
+    answers = blocks.groupBy("bucket").applyInArrow(_answer, "part long, bucket long, totals binary")
+    scored = rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_scorer(alpha, buckets), "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))
