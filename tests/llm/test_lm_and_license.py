@@ -2,11 +2,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm.license_scan import scan_licenses
-from shelfspark.llm.lm_score import stupid_backoff
+from shelfspark.llm.license_scan import scan_licenses, telling_words
+from shelfspark.llm.lm_score import _cuts, _packed, _unpacked, stupid_backoff
+from shelfspark.llm.textscan import mix
 
 
 def brute(docs, corpus, alpha=0.4):
@@ -58,3 +60,17 @@ def test_licenses(spark):
         (5, "gpl-3.0", "gpl-3.0", None), (6, "cc-by-nc-4.0", "cc-by-nc-4.0", None), (7, None, "mit", "/a"), (7, None, "mit", "/a"),
     ]
     assert scan_licenses(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_packed_counts_and_buckets():
+    n = np.array([0, 1, 255, 256, 1 << 40, (1 << 62) + 1], dtype=np.int64)
+    assert (_unpacked(_packed(n)) == n).all() and not len(_unpacked(_packed(n[:0])))
+    key = np.sort(mix(np.arange(1000, dtype=np.uint64)))
+    bucket, cut = _cuts(key, 7)
+    assert bucket.tolist() == list(range(7)) and cut[0] == 0 and cut[-1] == len(key) and (np.diff(cut) > 0).all()
+
+
+def test_telling_words_lose_no_line():
+    weights = {"a": 0.1, "of": 0.2, "license": 0.5, "mit": 0.837}
+    telling = telling_words(weights, 0.7)
+    assert "mit" in telling and sum(x * x for w, x in weights.items() if w not in telling) < 0.49
