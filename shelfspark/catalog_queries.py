@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import entities as E
 from .operators import library as L
+from .operators import resolution as R
+from .operators import transitions as X
 from .plans import fulltext
 from .plans.search import BookFilter, resolve
 from .sources.views import Catalog, oracle
@@ -223,3 +225,36 @@ _add("sync_diff", lambda c: E.sync_diff(c.sync_selections, c.sync_items), """
 _add("stream_debounce", lambda c: S.debounced(S.relevant(c.file_events)), """
     SELECT path, arg_max(kind, ts) AS kind, max(ts) AS ts, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts, id) AS burst FROM
       (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY path ORDER BY ts, id) + INTERVAL 2 SECOND THEN 0 ELSE 1 END AS new FROM file_events) a) b GROUP BY path, burst""")
+
+# --- state transitions ------------------------------------------------------------------------------------------------
+_ASKED = "id % 3 = 0"
+_add("mark_pending", lambda c: X.mark_pending(c.books, c.books.where(_ASKED)).select("id", "resolution_state"), f"SELECT id, CASE WHEN {_ASKED} AND resolution_state <> 'running' THEN 'pending' ELSE resolution_state END AS resolution_state FROM books")
+_add("claim_pending", lambda c: X.move_state(c.books, c.books.where(_ASKED), "pending", "running").select("id", "resolution_state"), f"SELECT id, CASE WHEN {_ASKED} AND resolution_state = 'pending' THEN 'running' ELSE resolution_state END AS resolution_state FROM books")
+_add("mark_done", lambda c: X.move_state(c.books, c.books.where(_ASKED), None, "done").select("id", "resolution_state"), f"SELECT id, CASE WHEN {_ASKED} THEN 'done' ELSE resolution_state END AS resolution_state FROM books")
+_add("cancel_children", lambda c: X.cancel_children(c.tasks, c.tasks.where("id < 5")).select("id", "status"), "SELECT id, CASE WHEN parent_task_id < 5 AND status = 'pending' THEN 'cancelled' ELSE status END AS status FROM tasks")
+_add("recover_tasks", lambda c: X.recover_tasks(c.tasks).select("id", "status"), "SELECT id, CASE status WHEN 'running' THEN 'pending' ELSE status END AS status FROM tasks")
+_add("supersede_candidates", lambda c: X.supersede_candidates(c.identification_candidates, c.resolution_runs.groupBy("book_id").agg(F.max("id").alias("run_id"))).select("id", "status"), "SELECT i.id, CASE WHEN i.run_id <> k.r THEN 'superseded' ELSE i.status END AS status FROM identification_candidates i LEFT JOIN (SELECT book_id, max(id) AS r FROM resolution_runs GROUP BY book_id) k ON k.book_id = i.book_id")
+_add("repair_runs", lambda c: X.repair_runs(c.resolution_runs, c.resolution_runs.where("id % 2 = 0").select("book_id", F.col("started_at").alias("requested_at"))).select("id", "state", "outcome"), "SELECT r.id, CASE WHEN state = 'running' THEN CASE WHEN a.asked > r.started_at THEN 'superseded' ELSE 'failed' END ELSE state END AS state, CASE WHEN state <> 'running' THEN outcome END AS outcome FROM resolution_runs r LEFT JOIN (SELECT book_id, max(started_at) AS asked FROM resolution_runs WHERE id % 2 = 0 GROUP BY book_id) a ON a.book_id = r.book_id")
+_add("upsert_ledger", lambda c: X.upsert(c.sync_items, c.sync_selections.select(F.col("user_id").alias("device_id"), "book_id", "file_id"), ["device_id", "book_id"]).select("device_id", "book_id", "file_id", "delivered_at"), "SELECT coalesce(s.user_id, i.device_id) AS device_id, coalesce(s.book_id, i.book_id) AS book_id, coalesce(s.file_id, i.file_id) AS file_id, i.delivered_at FROM sync_items i FULL JOIN sync_selections s ON s.user_id = i.device_id AND s.book_id = i.book_id")
+_add("cascade_delete", lambda c: X.cascade_delete(c.book_files, c.books.where(_ASKED)).select("id", "book_id"), "SELECT id, book_id FROM book_files WHERE book_id % 3 <> 0")
+_add("purge_tombstones", lambda c: X.purge_tombstones(c.sync_items.crossJoin(c.sync_items.agg(F.max("delivered_at").alias("now"))), F.col("now")).select("device_id", "book_id"), "SELECT device_id, book_id FROM sync_items WHERE removed_synced_at IS NULL OR removed_synced_at >= (SELECT max(delivered_at) FROM sync_items) - INTERVAL 90 DAY")
+
+# --- tiers and the auto-apply decision ------------------------------------------------------------------------------------
+_SIGNALS = {"isbn": "id % 2 = 0", "asin": "id % 17 = 0", "title": "id % 3 <> 0", "author": "id % 4 = 1", "proof": "id % 5 <> 0", "cross_provider": "id % 7 = 0", "contradiction": "id % 11 = 0", "language_mismatch": "id % 13 = 0"}
+
+
+def _scored(c: Catalog) -> DataFrame:
+    return R.tiered(c.identification_candidates.where("run_id % 5 <> 0").select("id", "run_id", "score", *[F.expr(e).alias(n) for n, e in _SIGNALS.items()]))
+
+
+_TIERED = f"""t AS (SELECT *, CASE WHEN (isbn OR asin) AND (title OR author) AND proof THEN 'strong' WHEN isbn OR asin OR ((title OR author) AND cross_provider) THEN 'probable' ELSE 'weak' END AS tier
+    FROM (SELECT id, run_id, score AS raw, {", ".join(f"{e} AS {n}" for n, e in _SIGNALS.items())} FROM identification_candidates WHERE run_id % 5 <> 0) s),
+    v AS (SELECT *, least(greatest(raw * CASE tier WHEN 'strong' THEN 1.0::DOUBLE WHEN 'probable' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE) AS score FROM t)"""
+_CTES = oracle("SELECT 1 FROM identification_candidates, resolution_runs").rsplit(" SELECT 1", 1)[0] + ", " + _TIERED
+_add("candidate_tiers", lambda c: _scored(c).select("id", "tier", _r("score").alias("score")))
+ORACLES["candidate_tiers"] = _CTES + " SELECT id, tier, round(score, 6) AS score FROM v"
+_add("auto_apply", lambda c: R.decide(c.resolution_runs, _scored(c)))
+ORACLES["auto_apply"] = _CTES + """, p AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second, count(*) FILTER (WHERE score >= 0.85::DOUBLE) OVER (PARTITION BY run_id) AS above FROM v WINDOW w AS (PARTITION BY run_id ORDER BY score DESC, id))
+    SELECT r.id AS run_id, p.id AS best_id, CASE WHEN p.id IS NULL THEN 'no_candidates' WHEN tier <> 'strong' THEN CASE WHEN isbn OR asin THEN 'blocked_no_trusted_id' WHEN contradiction THEN 'blocked_contradiction' ELSE 'blocked_low_tier' END
+      WHEN language_mismatch THEN 'blocked_contradiction' WHEN score < 0.85::DOUBLE THEN 'blocked_low_tier' WHEN above > 1 OR score - second < 0.15::DOUBLE THEN 'blocked_ambiguous' ELSE 'auto_apply_allowed' END AS decision
+    FROM resolution_runs r LEFT JOIN p ON p.run_id = r.id AND place = 1"""
