@@ -258,3 +258,9 @@ ORACLES["auto_apply"] = _CTES + """, p AS (SELECT *, row_number() OVER w AS plac
     SELECT r.id AS run_id, p.id AS best_id, CASE WHEN p.id IS NULL THEN 'no_candidates' WHEN tier <> 'strong' THEN CASE WHEN isbn OR asin THEN 'blocked_no_trusted_id' WHEN contradiction THEN 'blocked_contradiction' ELSE 'blocked_low_tier' END
       WHEN language_mismatch THEN 'blocked_contradiction' WHEN score < 0.85::DOUBLE THEN 'blocked_low_tier' WHEN above > 1 OR score - second < 0.15::DOUBLE THEN 'blocked_ambiguous' ELSE 'auto_apply_allowed' END AS decision
     FROM resolution_runs r LEFT JOIN p ON p.run_id = r.id AND place = 1"""
+_PROPOSED = """SELECT id, (id % 9) / CAST(10.0 AS DOUBLE) AS confidence, id % 5 = 0 AS same_isbn, id % 10 = 0 AS same_asin, CASE WHEN id % 8 <> 0 THEN (id % 11) / CAST(10.0 AS DOUBLE) END AS title_sim,
+    CASE WHEN id % 3 <> 0 THEN (id % 7) / CAST(6.0 AS DOUBLE) END AS author_sim, rating / CAST(5.0 AS DOUBLE) AS publisher_sim, CAST(id % 11 AS INT) AS filled, id % 13 = 0 AS other_language FROM {0}"""
+_add("candidate_score", lambda c: R.scored(c.spark.sql(_PROPOSED.format("{books}"), books=c.books)).select("id", _r("score").alias("score"), "contradiction", "title", "author"), f"""
+    SELECT id, round(greatest(least(greatest(confidence + CASE WHEN same_isbn THEN 0.2 ELSE 0 END + CASE WHEN same_asin THEN 0.2 ELSE 0 END + CASE WHEN title_sim < 0.3 THEN -0.15 ELSE coalesce(title_sim * 0.1, 0) END
+      + coalesce(author_sim * 0.05, 0) + coalesce(publisher_sim * 0.05, 0) + filled / 10.0::DOUBLE * 0.05, 0), 1) - CASE WHEN other_language THEN 0.15 ELSE 0 END, 0)::DOUBLE, 6) AS score,
+      coalesce(title_sim < 0.3, false) AS contradiction, coalesce(title_sim >= 0.3, false) AS title, coalesce(author_sim > 0.5, false) AS author FROM ({_PROPOSED.format("books")}) x""")

@@ -37,3 +37,28 @@ def decide(runs: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD,
         .when((F.col("above") > 1) | (b.score - F.col("second") < gap), "blocked_ambiguous").otherwise("auto_apply_allowed")
     )
     return runs.select(F.col("id").alias("run_id")).join(top, "run_id", "left").select("run_id", b.id.alias("best_id"), decision.alias("decision"))
+
+
+# What an equal identifier adds, the most that likeness and completeness add, what a contradiction or another language takes.
+ID_BONUS, TITLE_MOST, AUTHOR_MOST, PUBLISHER_MOST, COMPLETE_MOST, UNLIKE_BELOW, PENALTY = 0.2, 0.1, 0.05, 0.05, 0.05, 0.3, 0.15
+
+
+def scored(candidates: DataFrame, fields: int = 10) -> DataFrame:
+    """``score`` and the signals of candidates.
+
+    Reads confidence, same_isbn, same_asin, title_sim, author_sim,
+    publisher_sim (null: one side lacks it), filled (of ``fields``) and
+    other_language. A null flag is false, a null likeness adds nothing.
+    """
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    part = lambda c, most: F.coalesce(F.col(c) * most, F.lit(0.0))
+    unlike = F.coalesce(F.col("title_sim") < UNLIKE_BELOW, F.lit(False))
+    ids = F.when(true("same_isbn"), ID_BONUS).otherwise(0.0) + F.when(true("same_asin"), ID_BONUS).otherwise(0.0)
+    title = F.when(unlike, -PENALTY).otherwise(part("title_sim", TITLE_MOST))
+    total = F.col("confidence") + ids + title + part("author_sim", AUTHOR_MOST) + part("publisher_sim", PUBLISHER_MOST) + F.col("filled") / F.lit(float(fields)) * COMPLETE_MOST
+    capped = F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
+    return candidates.select(
+        "*", F.greatest(capped - F.when(true("other_language"), PENALTY).otherwise(0.0), F.lit(0.0)).alias("score"),
+        true("same_isbn").alias("isbn"), true("same_asin").alias("asin"), unlike.alias("contradiction"), true("other_language").alias("language_mismatch"),
+        F.coalesce(F.col("title_sim") >= UNLIKE_BELOW, F.lit(False)).alias("title"), F.coalesce(F.col("author_sim") > 0.5, F.lit(False)).alias("author"),
+    )
