@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm.license_scan import scan_licenses, telling_words
+from shelfspark.llm.license_scan import BODIES, scan_licenses, telling_words
 from shelfspark.llm.lm_score import _cuts, _packed, _unpacked, stupid_backoff
 from shelfspark.llm.textscan import mix
 
@@ -74,3 +74,35 @@ def test_telling_words_lose_no_line():
     weights = {"a": 0.1, "of": 0.2, "license": 0.5, "mit": 0.837}
     telling = telling_words(weights, 0.7)
     assert "mit" in telling and sum(x * x for w, x in weights.items() if w not in telling) < 0.49
+
+
+def test_license_files_and_wrapped_headers(spark):
+    wrap = lambda t, by=8: "\n".join(" ".join(t.split()[i : i + by]) for i in range(0, len(t.split()), by))
+    body = lambda name: BODIES[name][-1] if isinstance(BODIES[name], tuple) else BODIES[name]
+    mit = body("mit").replace("Copyright (c) year, holder. ", "MIT License\n\nCopyright (c) 2024 Ann Lee\n\n")
+    gpl3 = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "Preamble of the terms of a license for software and other kinds of works. " * 200
+    comment = lambda t: "\n".join("# " + s for s in wrap(t).split("\n")) + "\n\nimport os\n"
+    rows = [
+        (1, "/m/LICENSE", mit.split("Permission")[0] + wrap("Permission" + mit.split("Permission", 1)[1])),
+        (2, "/m/src/a.txt", "nothing"),
+        (3, "/g/COPYING", gpl3),
+        (4, "/g/src/b.txt", "nothing"),
+        (5, "/h/c.py", comment(BODIES["gpl-3.0"][1])),
+        (6, "/h/d.py", comment(BODIES["gpl-2.0"][2])),
+        (7, "/h/e.py", comment(BODIES["lgpl-2.1"][2])),
+        (8, "/h/f.py", comment(BODIES["agpl-3.0"][2])),
+        (9, "/b/LICENSE", wrap(body("bsd-2-clause"))),
+        (10, "/c/LICENSE", wrap(body("bsd-3-clause"))),
+        (11, "/h/g.c", "/*\n" + wrap(body("isc")) + "\n*/\nint x;"),
+        (12, "/h/h.txt", "This work is licensed under the GNU General Public License, version 2."),
+        (13, "/h/i.txt", "Licensed under CC BY-SA 4.0."),
+        (14, "/h/j.txt", "see the MIT License text"),
+        (15, "/h/k.txt", "Mit\nder Software und mit dem Recht"),
+        (16, "/h/l.txt", "GNU General Public License"),
+        (17, "/h/m.py", comment(BODIES["apache-2.0"][1])),
+    ]
+    got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {
+        1: "mit", 2: "mit", 3: "gpl-3.0", 4: "gpl-3.0", 5: "gpl-3.0", 6: "gpl-2.0", 7: "lgpl-2.1", 8: "agpl-3.0", 9: "bsd-2-clause", 10: "bsd-3-clause",
+        11: "isc", 12: "gpl-2.0", 13: "cc-by-sa-4.0", 14: None, 15: None, 16: "gpl", 17: "apache-2.0",
+    }
