@@ -7,7 +7,8 @@ holds every content; a node splits its contents on the values of one or two
 coordinates chosen by the node's path (1 / similarity of them on average),
 again and again, until a bucket is small. Small buckets are compared by brute
 force; runs repeat until a pair at the threshold is found with the target
-recall. A large bucket that keeps most of its parent is one of near copies (its
+recall at the greatest depth that the corpus made necessary. Runs come in
+batches, each with min-hashes of its own. A large bucket that keeps most of its parent is one of near copies (its
 contents agree on token after token): it is not split on, but becomes a
 candidate as a whole; so does what is still large at the greatest depth.
 
@@ -25,7 +26,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,18 @@ from .textscan import ALNUM, BASE, Slice, Words, mix, rolling, slices, span_hash
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
 SIGNATURE, BUCKET, DEPTH, DENSE, SLACK, BLOCK = 64, 64, 12, 0.6, 0.2, 1000
+#: Runs that share their min-hashes, at most.
+BATCH = 6
 #: Up to so many wanted contents are sent to every executor (24 bytes each); more are joined by a shuffle.
 BROADCAST_CONTENTS = 600_000
 NO_ID = -(1 << 63)
 _U = np.uint64
-_A = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | _U(1)
-_B = mix(np.arange(1001, SIGNATURE + 1001, dtype=np.uint64))
+
+
+def _coefficients(batch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and addends of a batch's min-hashes."""
+    at = np.arange(1, SIGNATURE + 1, dtype=np.uint64) + _U(2000 * batch)
+    return mix(at) | _U(1), mix(at + _U(1000))
 
 
 def shingles(s: Slice, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,13 +75,13 @@ def shingles(s: Slice, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, np.searchsorted(doc, np.arange(s.n + 1)), g
 
 
-def signatures(first: np.ndarray, g: np.ndarray) -> np.ndarray:
+def signatures(first: np.ndarray, g: np.ndarray, batch: int = 0) -> np.ndarray:
     """Min-hashes (documents x SIGNATURE) of the sets in ``g``; rows without shingles are zero."""
     out = np.zeros((len(first) - 1, SIGNATURE), dtype=np.uint32)
-    full = np.flatnonzero(np.diff(first))
+    full, (a, b) = np.flatnonzero(np.diff(first)), _coefficients(batch)
     if len(full):
         for i in range(SIGNATURE):
-            out[full, i] = np.minimum.reduceat(((g * _A[i] + _B[i]) >> _U(32)).astype(np.uint32), first[full])
+            out[full, i] = np.minimum.reduceat(((g * a[i] + b[i]) >> _U(32)).astype(np.uint32), first[full])
     return out
 
 
@@ -82,12 +89,12 @@ def _ids(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("string").alias("text"))
 
 
-def _contents(docs: DataFrame, width: int) -> DataFrame:
+def _contents(docs: DataFrame, width: int, number: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column("text")):
                 key, first, g = shingles(s, width)
-                sig = signatures(first, g)
+                sig = signatures(first, g, number)
                 yield pa.RecordBatch.from_arrays([batch.column("did").slice(s.first, s.n), pa.array(key.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["did", "k", "sig"])
 
     return _ids(docs).mapInArrow(run, "did long, k long, sig binary")
@@ -148,16 +155,51 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition(n, "node").sortWithinPartitions("node").select("node", "k", "sig").mapInArrow(run, "a long, b long")
 
 
-def runs_needed(recall: float, similarity: float) -> int:
-    """Runs until a pair at the threshold meets with ``recall``; a run is taken to split twice above the bucket."""
+def survival(agree: float, similarity: float, depth: int) -> float:
+    """Probability that contents which agree on so much of their min-hashes share a bucket after ``depth`` splits of a run."""
     whole, part = divmod(1 / similarity, 1)
-    miss = (1 - part) * (1 - similarity) ** whole + part * (1 - similarity) ** (whole + 1)
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - miss) ** 2))
+    q = 1.0
+    for _ in range(depth):
+        miss = 1 - agree * q
+        q = 1 - (1 - part) * miss**whole - part * miss ** (whole + 1)
+    return q
+
+
+def missed(similarity: float, depth: int, runs: int) -> float:
+    """Probability that a batch of ``runs`` misses a pair at the threshold, over what its min-hashes may say of the pair."""
+    total = 0.0
+    for m in range(SIGNATURE + 1):
+        q = survival(m / SIGNATURE, similarity, depth) if m / SIGNATURE >= similarity - SLACK else 0.0
+        total += math.comb(SIGNATURE, m) * similarity**m * (1 - similarity) ** (SIGNATURE - m) * (1 - q) ** runs
+    return total
 
 
-def candidate_components(reps: DataFrame, similarity: float, recall: float, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """(node, root) of the contents ``reps(k, sig)`` that have a candidate."""
-    runs = F.explode(F.sequence(F.lit(1), F.lit(runs_needed(recall, similarity))))
+def next_runs(done: list[int], recall: float, similarity: float, depth: int) -> int:
+    """Runs of the batch that follows batches of ``done`` runs, 0 if those reach ``recall`` at ``depth``."""
+    left = math.prod(missed(similarity, depth, n) for n in done)
+    if left <= 1 - recall:
+        return 0
+    return next((n for n in range(1, BATCH) if left * missed(similarity, depth, n) <= 1 - recall), BATCH)
+
+
+def candidate_components(reps: DataFrame, similarity: float, recall: float, fresh: Callable[[int], DataFrame], bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
+    """(node, root) of the contents ``reps(k, sig)`` that have a candidate.
+
+    Batches of runs follow, on ``fresh(number)``, the contents with new
+    min-hashes, until they are enough for the deepest level any run came to.
+    """
+    edges, done, deepest = None, [], 2
+    while n := next_runs(done, recall, similarity, deepest):
+        first = sum(done) + 1
+        found, reached = _batch(fresh(len(done)) if done else reps, first, first + n - 1, similarity, bucket, depth)
+        edges = found if edges is None else edges.unionByName(found)
+        done, deepest = [*done, n], max(deepest, reached)
+    return components(edges)
+
+
+def _batch(reps: DataFrame, first: int, last: int, similarity: float, bucket: int, depth: int) -> tuple[DataFrame, int]:
+    """(edges (a, b) that the runs ``first`` to ``last`` find, the deepest level they came to)."""
+    runs = F.explode(F.sequence(F.lit(first), F.lit(last)))
     level = reps.select("k", "sig", runs.alias("run")).select("k", F.xxhash64("run", F.lit(41)).alias("node"), "sig", F.lit(1 << 62).alias("pn"))
     edges = None
     for at in range(1, depth + 1):
@@ -175,7 +217,7 @@ def candidate_components(reps: DataFrame, similarity: float, recall: float, buck
         if not rest:
             break
         level = large.join(reps, "k").select("k", "node", "sig", F.col("n").alias("pn"))
-    return components(edges)
+    return edges, at
 
 
 def _links(x: np.ndarray, y: np.ndarray | None, sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -275,7 +317,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     """
     base = durable(_contents(docs, width))
     reps = durable(base.where("k <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("did").alias("did"), F.first("sig").alias("sig")))
-    comps = candidate_components(reps.select("k", "sig"), similarity, recall, bucket).select(F.col("node").alias("k"), "root")
+
+    def fresh(number: int) -> DataFrame:
+        return durable(_contents(docs, width, number).where("k <> 0").groupBy("k").agg(F.first("sig").alias("sig")))
+
+    comps = candidate_components(reps.select("k", "sig"), similarity, recall, fresh, bucket).select(F.col("node").alias("k"), "root")
     size = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = durable(comps.join(size, "root").join(reps.select("k", "did", "copies"), "k"))
     sets = _sets(docs, wanted, width)

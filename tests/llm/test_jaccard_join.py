@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,37 @@ def test_empty(make_docs):
     assert near_duplicates(make_docs([])).count() == 0
     got = near_duplicates(make_docs([(None, "a b"), (None, None), (7, "c")])).collect()
     assert sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in got) == [(-1, -1, 0), (-1, -1, 0), (7, 7, 0)]
+
+
+@pytest.mark.parametrize("depth", [2, 4, 8, 12])
+def test_runs_follow_the_depth(monkeypatch, depth):
+    batches, numbers = [], []
+    monkeypatch.setattr(jaccard_join, "_batch", lambda reps, first, last, *_: (batches.append(last - first + 1) or Edges(), depth))
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: edges)
+    jaccard_join.candidate_components(None, 0.8, 0.999, numbers.append)
+    miss = 1.0
+    for n in batches:
+        miss *= jaccard_join.missed(0.8, depth, n)
+    assert miss <= 0.001 and numbers == list(range(1, len(batches)))
+    assert jaccard_join.missed(0.8, 8, 6) > 0.05  # six runs alone, as they were before
+
+
+class Edges:
+    def unionByName(self, other):  # noqa: N802
+        return self
+
+
+def test_min_hashes_of_batches_differ():
+    first, g = np.array([0, 3]), np.array([5, 9, 77], dtype=np.uint64)
+    assert (jaccard_join.signatures(first, g, 0) != jaccard_join.signatures(first, g, 1)).all()
+
+
+def test_deep_pairs_are_found(make_docs):
+    """Contents that share half their text, so that small buckets need many levels, and pairs near the threshold among them."""
+    rng = random.Random(3)
+    shared, rows = [f"s{i}" for i in range(90)], []
+    for i in range(40):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + own[:45] + [f"p{rng.randrange(10**9)}" for _ in range(12)]))]
+    got = near_duplicates(make_docs(rows), bucket=4).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
