@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where the session names none."""
+    """The folder the cluster shares. Only a local master may go without: it gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfspark-"))
     return str(jsc.getCheckpointDir().get())
 
@@ -36,13 +38,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new path for ``name`` below the shared folder; all paths of an application lie in one folder, to be removed with it."""
+    return f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back (columns can be pruned)."""
-    path = f"{shared_dir(df.sparkSession)}/shelfspark/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` once as Parquet in the shared folder and read it back: columnar, compressed, and columns can be pruned."""
+    path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until none is a column of ``df`` (upper and lower case are one)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Have Spark hand rows to Python in batches of bounded size, so that neither side holds many long texts at once."""
     conf = df.sparkSession.conf

@@ -71,13 +71,13 @@ class Slice:
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[Slice]:
-    """Cut an Arrow string column into slices; nulls are empty texts."""
+    """Cut an Arrow column of strings or bytes into slices; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     n = len(column)
     if not n:
         return
