@@ -101,22 +101,26 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, hub: int = 256) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, root); root is the least node.
 
     Min-label hooking with pointer jumping: each round is two joins and one
-    partially aggregated ``min``, so a hub costs one row per map task. Edges
-    with a null end are ignored; no edges give an empty table.
+    partially aggregated ``min``. The edges of a node with more than ``hub``
+    of them are dealt to several salts, and its label to each of these, so no
+    task meets all of them. Edges with a null end are ignored; no edges give
+    an empty table.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    e = durable(e.union(e.select("b", "a")).distinct())
+    e = stored(e.union(e.select("b", "a")).distinct(), "edges")
+    hubs = stored(e.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).where("parts > 1"), "hubs")
+    salt = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
+    e = stored(e.join(hubs, "b", "left").select("a", "b", salt.alias("salt")), "edges")
     labels = e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     labels = durable(labels)
     for _ in range(max_rounds):
-        seen = (
-            e.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("r").alias("best"))
-        )
+        sent = labels.select(F.col("node").alias("b"), F.col("root").alias("r")).join(hubs, "b", "left")
+        sent = sent.select("b", "r", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+        seen = e.join(sent, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("r").alias("best"))
         # a root hooks to the least label any of its members sees
         hooked = (
             labels.join(seen, "node").groupBy("root").agg(F.min("best").alias("to"))

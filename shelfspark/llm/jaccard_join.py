@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, partitions, small_batches, whole_groups
+from .common import components, durable, partitions, small_batches, stored, whole_groups
 from .textscan import ALNUM, BASE, Slice, Words, mix, rolling, slices, span_hash
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -76,17 +76,17 @@ def shingles(s: Slice, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(first: np.ndarray, g: np.ndarray, batch: int = 0) -> np.ndarray:
-    """Min-hashes (documents x SIGNATURE) of the sets in ``g``; rows without shingles are zero."""
-    out = np.zeros((len(first) - 1, SIGNATURE), dtype=np.uint32)
+    """The low 16 bits of min-hashes (documents x SIGNATURE) of the sets in ``g``; rows without shingles are zero."""
+    out = np.zeros((len(first) - 1, SIGNATURE), dtype=np.uint16)
     full, (a, b) = np.flatnonzero(np.diff(first)), _coefficients(batch)
     if len(full):
         for i in range(SIGNATURE):
-            out[full, i] = np.minimum.reduceat(((g * a[i] + b[i]) >> _U(32)).astype(np.uint32), first[full])
+            out[full, i] = np.minimum.reduceat((g * a[i] + b[i]) >> _U(16), first[full]).astype(np.uint16)
     return out
 
 
 def _ids(docs: DataFrame) -> DataFrame:
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"))
 
 
 def _contents(docs: DataFrame, width: int, number: int = 0) -> DataFrame:
@@ -95,13 +95,13 @@ def _contents(docs: DataFrame, width: int, number: int = 0) -> DataFrame:
             for s in slices(batch.column("text")):
                 key, first, g = shingles(s, width)
                 sig = signatures(first, g, number)
-                yield pa.RecordBatch.from_arrays([batch.column("did").slice(s.first, s.n), pa.array(key.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["did", "k", "sig"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s.first, s.n) for c in ("did", "th")), pa.array(key.view(np.int64)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (sig, sig.astype(np.uint8)))], names=["did", "th", "k", "sig", "low"])
 
-    return _ids(docs).mapInArrow(run, "did long, k long, sig binary")
+    return _ids(docs).mapInArrow(run, "did long, th long, k long, sig binary, low binary")
 
 
-def _sig(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), -1)
+def _sig(column: pa.ChunkedArray | pa.Array, kind: type = np.uint16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
 
 
 def _split(rows: DataFrame, similarity: float) -> DataFrame:
@@ -127,11 +127,15 @@ def _split(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
-    """Brute force in small buckets: (a, b) joins each content to the least one it is connected to."""
+    """Brute force in small buckets of rows (node, k, low): (a, b) joins each content to the least one it is connected to.
+
+    ``low`` has a byte of each min-hash: bytes agree by chance once in 256, far
+    less than the slack that candidates have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "node"):
-            node, k, sig = t.column("node").to_numpy(), t.column("k").to_numpy(), _sig(t.column("sig"))
+            node, k, sig = t.column("node").to_numpy(), t.column("k").to_numpy(), _sig(t.column("low"), np.uint8)
             starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             sizes = np.diff(np.append(starts, len(node)))
             for m in np.unique(sizes[sizes > 1]):
@@ -152,7 +156,7 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(label[on])], names=["a", "b"])
 
     n = partitions(rows.sparkSession)
-    return rows.repartition(n, "node").sortWithinPartitions("node").select("node", "k", "sig").mapInArrow(run, "a long, b long")
+    return rows.repartition(n, "node").sortWithinPartitions("node").select("node", "k", "low").mapInArrow(run, "a long, b long")
 
 
 def survival(agree: float, similarity: float, depth: int) -> float:
@@ -183,7 +187,7 @@ def next_runs(done: list[int], recall: float, similarity: float, depth: int) ->
 
 
 def candidate_components(reps: DataFrame, similarity: float, recall: float, fresh: Callable[[int], DataFrame], bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """(node, root) of the contents ``reps(k, sig)`` that have a candidate.
+    """(node, root) of the contents ``reps(k, sig, low)`` that have a candidate.
 
     Batches of runs follow, on ``fresh(number)``, the contents with new
     min-hashes, until they are enough for the deepest level any run came to.
@@ -203,10 +207,10 @@ def _batch(reps: DataFrame, first: int, last: int, similarity: float, bucket: in
     level = reps.select("k", "sig", runs.alias("run")).select("k", F.xxhash64("run", F.lit(41)).alias("node"), "sig", F.lit(1 << 62).alias("pn"))
     edges = None
     for at in range(1, depth + 1):
-        rows = durable(_split(level, similarity))
+        rows = stored(_split(level, similarity), "split")
         n = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = durable(rows.join(n, "node"))
-        found = _bucket_edges(rows.where(F.col("n") <= bucket).join(reps, "k"), similarity)
+        rows = stored(rows.join(n, "node"), "nodes")
+        found = _bucket_edges(rows.where(F.col("n") <= bucket).join(reps.select("k", "low"), "k").select("node", "k", "low"), similarity)
         settled = (F.col("n") >= DENSE * F.col("pn")) | F.lit(at == depth)
         dense = rows.where((F.col("n") > bucket) & settled)
         least = dense.groupBy("node").agg(F.min("k").alias("b"))
@@ -216,7 +220,7 @@ def _batch(reps: DataFrame, first: int, last: int, similarity: float, bucket: in
         edges = found if edges is None else edges.unionByName(found)
         if not rest:
             break
-        level = large.join(reps, "k").select("k", "node", "sig", F.col("n").alias("pn"))
+        level = large.join(reps.select("k", "sig"), "k").select("k", "node", "sig", F.col("n").alias("pn"))
     return edges, at
 
 
@@ -309,19 +313,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, copy_of, n_links) for every row of ``docs(doc_id, text)``.
+    """(doc_id, class_id, copy_of, n_links, class_key, text_hash) for every row of ``docs(doc_id, text)``.
 
     ``class_id`` is the least id among the documents connected by links,
     ``copy_of`` the least id of the same words, ``n_links`` the number of
-    documents whose similarity is at least ``similarity``.
+    documents whose similarity is at least ``similarity``. Where ids are null
+    or repeat, ``class_key`` (null for a text without words) tells classes
+    apart and ``text_hash``, of the text with null as empty, the rows.
     """
-    base = durable(_contents(docs, width))
-    reps = durable(base.where("k <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("did").alias("did"), F.first("sig").alias("sig")))
+    base = stored(_contents(docs, width), "contents")
+    reps = stored(base.where("k <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("did").alias("did"), F.first("sig").alias("sig"), F.first("low").alias("low")), "reps")
 
     def fresh(number: int) -> DataFrame:
-        return durable(_contents(docs, width, number).where("k <> 0").groupBy("k").agg(F.first("sig").alias("sig")))
+        return stored(_contents(docs, width, number).where("k <> 0").groupBy("k").agg(F.first("sig").alias("sig"), F.first("low").alias("low")), "reps")
 
-    comps = candidate_components(reps.select("k", "sig"), similarity, recall, fresh, bucket).select(F.col("node").alias("k"), "root")
+    comps = candidate_components(reps.select("k", "sig", "low"), similarity, recall, fresh, bucket).select(F.col("node").alias("k"), "root")
     size = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = durable(comps.join(size, "root").join(reps.select("k", "did", "copies"), "k"))
     sets = _sets(docs, wanted, width)
@@ -338,11 +344,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     least = classes.join(reps.select(F.col("k").alias("node"), "did"), "node").groupBy("root").agg(F.min("did").alias("class"))
     by_content = (
         reps.select("k", "copies", F.col("did").alias("copy"))
-        .join(links, "k", "left").join(classes.join(least, "root").select(F.col("node").alias("k"), "class"), "k", "left")
+        .join(links, "k", "left").join(classes.join(least, "root").select(F.col("node").alias("k"), "root", "class"), "k", "left")
     )
-    out = base.select("did", F.when(F.col("k") != 0, F.col("k")).alias("k")).join(by_content, "k", "left")
+    out = base.select("did", "th", F.when(F.col("k") != 0, F.col("k")).alias("k")).join(by_content, "k", "left")
     named = lambda c: F.nullif(c, F.lit(NO_ID))
     return out.select(
         named(F.col("did")).alias("doc_id"), named(F.coalesce("class", "copy", "did")).alias("class_id"), named(F.coalesce("copy", "did")).alias("copy_of"),
         (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
+        F.coalesce("root", "k").alias("class_key"), F.col("th").alias("text_hash"),
     )

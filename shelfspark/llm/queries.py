@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_model, toxicity
-from .common import shared_dir, table
+from .common import table, work_dir
 from .decontaminate import decontaminate
 from .jaccard_join import near_duplicates
 from .license_scan import scan_licenses
@@ -23,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("class_key", "text_hash")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are one insert batch; committing it twice changes nothing."""
-    rollup = TokenRollup(spark, f"{shared_dir(spark)}/shelfspark/tokens-{uuid.uuid4().hex}", Tokenizer(TOKENIZER))
+    rollup = TokenRollup(spark, work_dir(spark, "tokens"), Tokenizer(TOKENIZER))
     inserts = table(spark, sf_dir, "documents").withColumn("change", F.lit("insert"))
     for _ in range(2):
         rollup.commit("load", inserts)
