@@ -3,21 +3,25 @@
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` over all rows its
 predecessor kept; ``run`` writes each stage's result as Parquet to the folder
 the cluster shares and reads it again as the next one's input.
+
+Defined results: null and empty texts have no words, so the quality rules drop
+them; an empty table stays empty through all stages, an empty benchmark removes
+nothing; of near copies the row of the least (doc_id, hash of its text) stays,
+with null ids first; columns beyond those of documents are dropped by each
+stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import shared_dir, table
+from shelfspark.llm.common import table, work_dir
 from shelfspark.llm.decontaminate import remove_contamination
 from shelfspark.llm.jaccard_join import near_duplicates
 from shelfspark.llm.mixing import mix_sources
 from shelfspark.llm.quality_rules import keep_good
-from shelfspark.llm.suffix_dedup import dedup_text
+from shelfspark.llm.suffix_dedup import PASSAGE_BYTES, PASSAGE_WORDS, dedup_text
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,16 +36,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near copies; rows that are equal in id and text become one."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each class of near copies, that of the least id; rows that are equal in id and text become one."""
+    rows = near_duplicates(docs)
+    row = F.struct("doc_id", "text_hash")
+    first = rows.where("class_key is not null").groupBy("class_key").agg(F.min(row).alias("row")).select("row.*")
+    first = first.unionByName(rows.where("class_key is null").select("doc_id", "text_hash"))
+    first = first.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("kept_hash"))
+    kept = docs.select(*COLUMNS).join(first, same, "left_semi")
     again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur again."""
-    return _counted(dedup_text(docs.select(*COLUMNS)))
+    """Texts without the passages (200 bytes and 50 words or more) that occur again."""
+    return _counted(dedup_text(docs.select(*COLUMNS), PASSAGE_BYTES, PASSAGE_WORDS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, root = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shelfspark/pipeline-{uuid.uuid4().hex}"
+    docs, root = table(spark, sf_dir, "documents"), work_dir(spark, "pipeline")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{root}/{name}")
