@@ -38,8 +38,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return stupid_backoff(docs, docs).withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+    """Each document under a bigram model of all others."""
+    return stupid_backoff(table(spark, sf_dir, "documents")).withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,5 +129,9 @@ ORACLES["op9_lm_score"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
 p AS (SELECT doc_id, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) q),
 u AS (SELECT x, count(*) AS n FROM p GROUP BY x), b AS (SELECT v, x, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, x), z AS (SELECT count(*) AS n FROM p),
-s AS (SELECT doc_id, sum(CASE WHEN p.v IS NULL THEN ln(u.n / z.n) ELSE ln(b.n / c.n) END) AS s FROM p JOIN u ON u.x = p.x LEFT JOIN b ON b.v = p.v AND b.x = p.x LEFT JOIN u c ON c.x = p.v, z GROUP BY doc_id)
+du AS (SELECT doc_id, x, count(*) AS n FROM p GROUP BY doc_id, x), db AS (SELECT doc_id, v, x, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY doc_id, v, x),
+q AS (SELECT p.doc_id, p.v, u.n - du.n AS one, coalesce(b.n - db.n, 0) AS two, c.n - dc.n AS context, greatest(z.n - len(d.w), 1) AS size
+  FROM p JOIN d ON d.doc_id = p.doc_id JOIN u ON u.x = p.x JOIN du ON du.doc_id = p.doc_id AND du.x = p.x LEFT JOIN b ON b.v = p.v AND b.x = p.x LEFT JOIN db ON db.doc_id = p.doc_id AND db.v = p.v AND db.x = p.x
+  LEFT JOIN u c ON c.x = p.v LEFT JOIN du dc ON dc.doc_id = p.doc_id AND dc.x = p.v, z),
+s AS (SELECT doc_id, sum(CASE WHEN two > 0 THEN ln(two / context) ELSE ln(CASE WHEN one > 0 THEN one ELSE 0.5::DOUBLE END / size) + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END) AS s FROM q GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(CASE WHEN len(w) > 0 THEN s / len(w) ELSE 0 END, 6) AS mean_log_score FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""

@@ -11,36 +11,39 @@ from shelfspark.llm.lm_score import _cuts, _packed, _unpacked, stupid_backoff
 from shelfspark.llm.textscan import mix
 
 
-def brute(docs, corpus, alpha=0.4):
-    uni, bi = Counter(), Counter()
-    for t in corpus:
-        w = (t or "").split()
-        uni.update(w)
-        bi.update(zip(w, w[1:], strict=False))
-    size = sum(uni.values()) or 1
+def brute(docs, corpus, alpha=0.4, order=2):
+    """Scores under the model of ``corpus``, or for None of all other documents."""
+    grams = lambda t: Counter(tuple(w[i : i + n]) for w in [(t or "").split()] for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    every = sum((grams(t) for t in (docs if corpus is None else corpus)), Counter())
     out = []
     for t in docs:
+        seen = every - grams(t) if corpus is None else every
+        size = sum(n for g, n in seen.items() if len(g) == 1) or 1
         w, s = (t or "").split(), 0.0
-        for i, x in enumerate(w):
-            if i and bi[w[i - 1], x]:
-                s += math.log(bi[w[i - 1], x] / uni[w[i - 1]])
-            else:
-                s += math.log((uni[x] or 0.5) / size) + (math.log(alpha) if i else 0)
+        for i in range(len(w)):
+            for n in range(min(order, i + 1), 0, -1):
+                g = tuple(w[i - n + 1 : i + 1])
+                if seen[g] or n == 1:
+                    s += math.log(seen[g] / seen[g[:-1]] if n > 1 else (seen[g] or 0.5) / size)
+                    break
+                s += math.log(alpha)
         out.append((len(w), s))
     return out
 
 
-def test_backoff_matches_brute_force(spark, make_docs):
+@pytest.mark.parametrize("order", [2, 4])
+def test_backoff_matches_brute_force(spark, make_docs, order):
     rng = random.Random(4)
     text = lambda: " ".join(rng.choice("abcdefghé") for _ in range(rng.randint(0, 60)))
     corpus, docs = [text() for _ in range(30)] + [None], [text() + " new words" for _ in range(20)] + [None, "", "zz", "a"]
     docs += [docs[3], docs[3]]
-    for c in (corpus, []):
-        got = stupid_backoff(make_docs(list(enumerate(docs))).withColumn("n", F.lit(0)), make_docs(list(enumerate(c)))).collect()
+    for c in (corpus, [], None):
+        known = None if c is None else make_docs(list(enumerate(c)))
+        got = stupid_backoff(make_docs(list(enumerate(docs))).withColumn("n", F.lit(0)), known, order=order).collect()
         by = {r.doc_id: (r.n_words, r.log_score) for r in got}
-        for i, (n, s) in enumerate(brute(docs, c)):
+        for i, (n, s) in enumerate(brute(docs, c, order=order)):
             assert by[i][0] == n and by[i][1] == pytest.approx(s)
-    assert stupid_backoff(make_docs([]), make_docs([])).count() == 0
+    assert stupid_backoff(make_docs([]), make_docs([])).count() == 0 == stupid_backoff(make_docs([])).count()
 
 
 def test_licenses(spark):
