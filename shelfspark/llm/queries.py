@@ -51,11 +51,19 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are one insert batch; committing it twice changes nothing."""
+    """All documents after a load, committed twice, and batches that revise an eighth, delete an eighth and insert it again.
+
+    The totals are those of the whole table, whatever the batches before did.
+    """
     rollup = TokenRollup(spark, work_dir(spark, "tokens"), Tokenizer(TOKENIZER))
-    inserts = table(spark, sf_dir, "documents").withColumn("change", F.lit("insert"))
-    for _ in range(2):
-        rollup.commit("load", inserts)
+    docs = table(spark, sf_dir, "documents")
+    load = docs.withColumn("change", F.lit("insert"))
+    eighth = lambda n: F.crc32(F.col("doc_id").cast("string")) % 8 == n
+    rollup.commit("load", load)
+    rollup.commit("load", load)
+    change = F.when(eighth(1), "revise").when(eighth(2), "delete")
+    rollup.commit("change", docs.withColumn("change", change).where("change is not null"))
+    rollup.commit("again", load.where(eighth(2)))
     return rollup.totals()
 
 

@@ -10,8 +10,11 @@ job that dies can be run again and a committed batch is never applied twice.
 its doc_id, ``revise`` does both. Defined results: null and empty texts have 0
 tokens but count as documents; a null doc_id can be inserted but not deleted;
 null sources and languages are groups of their own; several inserts of an id
-add up; deleting an unknown id changes nothing; an empty batch commits an
-empty delta; extra columns are ignored.
+add up; of several revisions of an id in one batch the one of the greatest
+(text, source, lang) counts, nulls being least; an id that is inserted and
+deleted in one batch loses what was counted before it; deleting an unknown id
+changes nothing; an empty batch commits an empty delta; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -63,6 +66,18 @@ def count_tokens(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return small_batches(rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, LEDGER)
 
 
+def _once(changes: DataFrame) -> DataFrame:
+    """Inserts, and one revision of each id; only ids with several revisions are shuffled with their texts."""
+    several = changes.where("change = 'revise' and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not several.limit(1).count():
+        return changes
+    row = ["text", "source", "lang"]
+    twice = (F.col("change") == "revise") & F.col("n").isNotNull()
+    marked = changes.select("doc_id", "change", *row).join(several.withColumn("n", F.lit(2)), "doc_id", "left")
+    last = marked.where(twice).groupBy("doc_id").agg(F.max(F.struct(*row)).alias("r")).select("doc_id", F.lit("revise").alias("change"), "r.*")
+    return marked.where(~twice).drop("n").unionByName(last)
+
+
 class TokenRollup:
     """Totals kept in the folder ``root``, for one tokenizer version."""
 
@@ -88,7 +103,7 @@ class TokenRollup:
             raise ValueError(f"not a batch id: {batch!r}")
         if batch in self.batches():
             return False
-        added = count_tokens(changes.where("change in ('insert', 'revise')"), self.tokenizer)
+        added = count_tokens(_once(changes.where("change in ('insert', 'revise')")), self.tokenizer)
         before = self.ledger()
         if before is not None:
             gone = changes.where("change in ('delete', 'revise')").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
