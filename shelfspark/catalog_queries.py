@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -13,22 +13,14 @@ from .operators import library as L
 from .operators import resolution as R
 from .operators import transitions as X
 from .plans import fulltext
+from .functions import words as W
 from .plans.search import BookFilter, resolve
+from .registry import ORACLES, QUERIES  # noqa: F401
+from .registry import add as _add
+from .registry import rounded as _r
 from .sources.views import Catalog, oracle
 from .streaming import events as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _add(name: str, make: Callable[[Catalog], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: make(Catalog(spark, sf_dir))
-    if sql:
-        ORACLES[name] = oracle(sql)
-
-
-def _r(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
 # --- library filters: ids of the books that meet a filter -------------------------------------------------
@@ -127,8 +119,7 @@ _ODD = " + ".join(f"CAST(substring(value, {i}, 1) AS INT) * {1 if i % 2 else 3}"
 _add("isbn_validate", lambda c: c.identifiers.where("identifier_type = 'isbn13'").select("book_id", "value", T.isbn13_ok(F.col("value")).alias("ok")), f"SELECT book_id, value, ({_ODD}) % 10 = 0 AS ok FROM identifiers WHERE identifier_type = 'isbn13'")
 _TEN = " + ".join(f"CAST(substring(value, {i + 3}, 1) AS INT) * {11 - i}" for i in range(1, 10))
 _add("isbn_convert", lambda c: c.identifiers.where("identifier_type = 'isbn13'").select("book_id", T.isbn13_to_10(F.col("value")).alias("isbn10")), f"SELECT book_id, CASE WHEN ({_ODD}) % 10 = 0 THEN concat(substring(value, 4, 9), CASE (11 - ({_TEN}) % 11) % 11 WHEN 10 THEN 'X' ELSE CAST((11 - ({_TEN}) % 11) % 11 AS VARCHAR) END) END AS isbn10 FROM identifiers WHERE identifier_type = 'isbn13'")
-_add("isbn_scan", lambda c: c.documents.join(c.identifiers.where("identifier_type = 'isbn13'").select(F.col("book_id").alias("doc_id"), "value"), "doc_id").select("doc_id", F.array_join(T.scan_isbn(F.concat("text", F.lit(" ISBN "), "value", F.lit("."))), "|").alias("found")), f"SELECT doc_id, CASE WHEN ({_ODD}) % 10 = 0 THEN value ELSE '' END AS found FROM documents JOIN identifiers ON book_id = doc_id WHERE identifier_type = 'isbn13'")
-_add("filename_parse", lambda c: c.books.select("id", *[v.alias(k) for k, v in T.parse_filename(F.expr("concat('/in/Ann Lee - Book ', cast(id as string), ' [Rings #2] (', cast(1900 + id % 99 as string), ').epub')")).items()]), "SELECT id, 'Ann Lee' AS author, concat('Book ', CAST(id AS VARCHAR)) AS title, 'Rings' AS series, 2.0::DOUBLE AS position, CAST(1900 + id % 99 AS INT) AS year FROM books")
+_add("isbn_scan", lambda c: c.documents.join(c.identifiers.where("identifier_type = 'isbn13'").select(F.col("book_id").alias("doc_id"), "value"), "doc_id", "left").select("doc_id", F.array_join(W.scan_isbns(F.concat(F.col("text"), F.coalesce(F.concat(F.lit(" ISBN "), "value", F.lit(".")), F.lit("")))), "|").alias("found")), f"SELECT doc_id, CASE WHEN value IS NOT NULL AND ({_ODD}) % 10 = 0 THEN concat('isbn13:', value) ELSE '' END AS found FROM documents LEFT JOIN (SELECT book_id, value FROM identifiers WHERE identifier_type = 'isbn13') i ON book_id = doc_id")
 _add("strip_html", lambda c: c.pages.select("page_id", T.strip_html(F.col("html")).alias("v")))
 _add("sentences", lambda c: c.documents.select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n")), "SELECT doc_id, CAST(len(list_filter(string_split_regex(regexp_replace(text, '([.?!][\"'')\\]]{0,3})\\s+', '\\1\x01', 'g'), '\x01'), lambda x: x <> '')) AS BIGINT) AS n FROM documents")
 _add("year_parse", lambda c: c.books.select("id", T.leading_year(F.expr("concat(cast(publication_year as string), '-05-01')")).alias("year")), "SELECT id, CAST(publication_year AS INT) AS year FROM books")
@@ -248,7 +239,7 @@ def _scored(c: Catalog) -> DataFrame:
 
 
 _TIERED = f"""t AS (SELECT *, CASE WHEN (isbn OR asin) AND (title OR author) AND proof THEN 'strong' WHEN isbn OR asin OR ((title OR author) AND cross_provider) THEN 'probable' ELSE 'weak' END AS tier
-    FROM (SELECT id, run_id, score AS raw, {", ".join(f"{e} AS {n}" for n, e in _SIGNALS.items())} FROM identification_candidates WHERE run_id % 5 <> 0) s),
+    FROM (SELECT id, run_id, score AS raw, {", ".join(f"{e} AS {n}" for n, e in _SIGNALS.items())} FROM identification_candidates) s),
     v AS (SELECT *, least(greatest(raw * CASE tier WHEN 'strong' THEN 1.0::DOUBLE WHEN 'probable' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE) AS score FROM t)"""
 _CTES = oracle("SELECT 1 FROM identification_candidates, resolution_runs").rsplit(" SELECT 1", 1)[0] + ", " + _TIERED
 _add("candidate_tiers", lambda c: _scored(c).select("id", "tier", _r("score").alias("score")))
@@ -264,3 +255,6 @@ _add("candidate_score", lambda c: R.scored(c.spark.sql(_PROPOSED.format("{books}
     SELECT id, round(greatest(least(greatest(confidence + CASE WHEN same_isbn THEN 0.2 ELSE 0 END + CASE WHEN same_asin THEN 0.2 ELSE 0 END + CASE WHEN title_sim < 0.3 THEN -0.15 ELSE coalesce(title_sim * 0.1, 0) END
       + coalesce(author_sim * 0.05, 0) + coalesce(publisher_sim * 0.05, 0) + filled / 10.0::DOUBLE * 0.05, 0), 1) - CASE WHEN other_language THEN 0.15 ELSE 0 END, 0)::DOUBLE, 6) AS score,
       coalesce(title_sim < 0.3, false) AS contradiction, coalesce(title_sim >= 0.3, false) AS title, coalesce(author_sim > 0.5, false) AS author FROM ({_PROPOSED.format("books")}) x""")
+
+# the other modules register their queries when imported
+from . import scalar_queries  # noqa: E402, F401

@@ -88,25 +88,6 @@ def is_asin(c: Column) -> Column:
     return c.rlike(r"^[0-9A-Za-z]{10}$")
 
 
-def scan_isbn(c: Column) -> Column:
-    """Distinct valid ISBN-13 values of a text, in order of appearance."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(r"(97[89][- ]?(?:[0-9][- ]?){9}[0-9])"), 1), normalize_isbn)
-    return F.array_distinct(F.filter(found, isbn13_ok))
-
-
-def parse_filename(c: Column) -> dict[str, Column]:
-    """author, title, series, position and year of ``Author - Title [Series #n] (Year).ext`` and shorter forms."""
-    stem = F.trim(F.regexp_replace(F.regexp_replace(c, r"^.*/", ""), r"\.[A-Za-z0-9]{1,5}$", ""))
-    part = lambda s, pattern, i=1: F.nullif(F.trim(F.regexp_extract(s, pattern, i)), F.lit(""))
-    year = F.regexp_extract(stem, r"\((\d{4})\)\s*$", 1).try_cast("int")
-    year = F.when(year.between(1000, 2100), year)
-    rest = F.when(year.isNotNull(), F.regexp_replace(stem, r"\s*\(\d{4}\)\s*$", "")).otherwise(stem)
-    series = r"\[([^\]#]+?)\s*#(\d+(?:\.\d+)?)\]\s*$"
-    bare = F.trim(F.regexp_replace(rest, r"\s*" + series, ""))
-    title = F.when(bare.contains(" - "), part(bare, r"^.+? - (.+)$")).otherwise(F.translate(bare, "_", " "))
-    return {"author": part(bare, r"^(.+?) - "), "title": title, "series": part(rest, series), "position": part(rest, series, 2).cast("double"), "year": year}
-
-
 def strip_html(c: Column) -> Column:
     """Text of markup: script and style blocks and comments out, block ends to line breaks, tags out, blanks collapsed; empty to null."""
     t = F.regexp_replace(c, r"(?is)<(script|style|iframe|object|embed)\b.*?</\1\s*>|<!--.*?-->", "")
@@ -139,38 +120,53 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+def alike(s: str, t: str) -> float:
+    """Jaro-Winkler of two strings, with the prefix bonus at every similarity."""
+    if s == t:
+        return 1.0
+    if not s or not t:
+        return 0.0
+    reach = max(max(len(s), len(t)) // 2 - 1, 0)
+    taken, left = [False] * len(t), []
+    for i, ch in enumerate(s):
+        for j in range(max(0, i - reach), min(len(t), i + reach + 1)):
+            if not taken[j] and t[j] == ch:
+                taken[j] = True
+                left.append(ch)
+                break
+    m = len(left)
+    if not m:
+        return 0.0
+    right = [ch for ch, on in zip(t, taken, strict=True) if on]
+    jaro = (m / len(s) + m / len(t) + (m - sum(x != y for x, y in zip(left, right, strict=True)) / 2) / m) / 3
+    prefix = 0
+    for x, y in zip(s[:4], t[:4], strict=False):
+        if x != y:
+            break
+        prefix += 1
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+def lists_alike(a: list[str], b: list[str]) -> float:
+    """Sum of each name's best likeness in ``b`` over the length of the longer list."""
+    if not a or not b:
+        return float(not a and not b)
+    return sum(max(alike(x, y) for y in b) for x in a) / max(len(a), len(b))
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
-    """Jaro-Winkler with the prefix bonus at every similarity."""
+    """``alike`` of two columns; each distinct pair of a batch is compared once."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    def one(s: str, t: str) -> float:
-        if s == t:
-            return 1.0
-        if not s or not t:
-            return 0.0
-        reach = max(max(len(s), len(t)) // 2 - 1, 0)
-        taken, left = [False] * len(t), []
-        for i, ch in enumerate(s):
-            for j in range(max(0, i - reach), min(len(t), i + reach + 1)):
-                if not taken[j] and t[j] == ch:
-                    taken[j] = True
-                    left.append(ch)
-                    break
-        m = len(left)
-        if not m:
-            return 0.0
-        right = [ch for ch, on in zip(t, taken, strict=True) if on]
-        jaro = (m / len(s) + m / len(t) + (m - sum(x != y for x, y in zip(left, right, strict=True)) / 2) / m) / 3
-        prefix = 0
-        for x, y in zip(s[:4], t[:4], strict=False):
-            if x != y:
-                break
-            prefix += 1
-        return jaro + prefix * 0.1 * (1 - jaro)
-
     def run(x, y):
-        return pd.Series([one(s or "", t or "") for s, t in zip(x, y, strict=True)], dtype="float64")
+        known: dict = {}
+        out = []
+        for pair in zip(x, y, strict=True):
+            if pair not in known:
+                known[pair] = alike(pair[0] or "", pair[1] or "")
+            out.append(known[pair])
+        return pd.Series(out, dtype="float64")
 
     run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
     return pandas_udf(run, "double")(a, b)
