@@ -75,13 +75,15 @@ def _top(by: str, descending: bool) -> Callable[[Catalog], DataFrame]:
 
 _AUTHOR = "LEFT JOIN (SELECT ba.book_id, min(a.sort_name) AS k FROM book_authors ba JOIN authors a ON a.id = ba.author_id GROUP BY ba.book_id) s ON s.book_id = b.id"
 _SERIES = "LEFT JOIN (SELECT book_id, min(series_id) AS k, min(position) AS p FROM book_series GROUP BY book_id) s ON s.book_id = b.id"
-_add("sort_title", _top("title", False), "SELECT id, title FROM books ORDER BY title NULLS FIRST, id LIMIT 50")
+_add("sort_title", _top("title", False), "SELECT id, title FROM books ORDER BY sort_title NULLS FIRST, id LIMIT 50")
 _add("sort_rating", _top("rating", True), "SELECT id, title FROM books ORDER BY rating DESC NULLS LAST, id LIMIT 50")
 _add("sort_status", _top("metadata_status", False), "SELECT id, title FROM books ORDER BY metadata_status, id LIMIT 50")
 _add("sort_added", _top("unknown key", True), "SELECT id, title FROM books ORDER BY added_at DESC NULLS LAST, id LIMIT 50")
+_add("sort_updated", _top("updated_at", True), "SELECT id, title FROM books ORDER BY updated_at DESC NULLS LAST, id LIMIT 50")
+_add("sort_relevance_no_text", _top("relevance", True), "SELECT id, title FROM books ORDER BY sort_title NULLS FIRST, id LIMIT 50")
 _add("sort_author", _top("author", False), f"SELECT b.id, b.title FROM books b {_AUTHOR} ORDER BY k NULLS FIRST, b.id LIMIT 50")
 _add("sort_series", _top("series", True), f"SELECT b.id, b.title FROM books b {_SERIES} ORDER BY k DESC NULLS LAST, p DESC NULLS LAST, b.id LIMIT 50")
-_add("page_2", lambda c: L.page(L.ordered(c, c.books, "title", False), 2, 25).select("id", "title"), "SELECT id, title FROM books ORDER BY title NULLS FIRST, id LIMIT 25 OFFSET 25")
+_add("page_2", lambda c: L.page(L.ordered(c, c.books, "title", False), 2, 25).select("id", "title"), "SELECT id, title FROM books ORDER BY sort_title NULLS FIRST, id LIMIT 25 OFFSET 25")
 _add("scope_minus", lambda c: c.books.where("metadata_status = 'identified'").join(c.duplicate_links.select(F.col("book_id_a").alias("id")), "id", "left_anti").select("id"), "SELECT id FROM books WHERE metadata_status = 'identified' AND id NOT IN (SELECT book_id_a FROM duplicate_links)")
 _add("count_scope", lambda c: L.filtered(c, BookFilter(language="en", has_cover=True)).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM books WHERE language = 'en' AND cover_path <> ''")
 _add("rel_bundle", lambda c: L.relations(c, c.books), """
@@ -145,7 +147,7 @@ def _any(test: str) -> str:
 
 
 def _hits(text: str | None, columns: tuple = ()) -> Callable[[Catalog], DataFrame]:
-    return lambda c: fulltext.search(fulltext.documents(c), text, columns).select("id")
+    return lambda c: fulltext.search(fulltext.index_of(c), text, columns).select("id")
 
 
 _add("fts_docs", fulltext.documents)
@@ -162,12 +164,18 @@ for _name, _text, _columns, _test in (
     _add(_name, _hits(_text, _columns))
     ORACLES[_name] = _fts(f"SELECT id FROM tok WHERE {_test}")
 _W = {"title": 10, "description": 1, "authors": 5, "series": 3, "publisher": 2, "tags": 2}
-_add("fts_bm25", lambda c: fulltext.search(fulltext.documents(c), '"study"').select("id", _r("rank").alias("rank")))
+_add("fts_bm25", lambda c: fulltext.search(fulltext.index_of(c), '"study"').select("id", _r("rank").alias("rank")))
 ORACLES["fts_bm25"] = _fts(", ".join([
     "", "f AS (SELECT id, " + " + ".join(f"{w} * len(list_filter({c}, lambda x: x = 'study'))" for c, w in _W.items()) + " AS tf, " + " + ".join(f"len({c})" for c in _COLS) + " AS dl FROM tok)",
     "s AS (SELECT count(*) AS n, avg(dl) AS al, count(*) FILTER (WHERE tf > 0) AS df FROM f)",
 ]).lstrip() + " SELECT id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al)), 6) AS rank FROM f, s WHERE tf > 0")
 
+_LEN = ", ".join(["", "f AS (SELECT id, " + " + ".join(f"{w} * len(list_filter({c}, lambda x: x LIKE 'study%'))" for c, w in _W.items()) + " AS tf, " + " + ".join(f"len({c})" for c in _COLS) + " AS dl FROM tok)", "s AS (SELECT count(*) AS n, avg(dl) AS al, count(*) FILTER (WHERE tf > 0) AS df FROM f)"]).lstrip()
+_add("fts_boosted", lambda c: L.page(L.searched(c, "study"), 1, 50).select("id", _r("rank").alias("rank")))
+ORACLES["fts_boosted"] = _fts(_LEN + " SELECT f.id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al)) - CASE WHEN lower(title) = 'study' THEN 25 WHEN lower(title) LIKE 'study%' THEN 5 ELSE 0 END, 6) AS rank FROM f JOIN books b ON b.id = f.id, s WHERE tf > 0 ORDER BY rank, f.id LIMIT 50")
+_add("fts_refresh", lambda c: (lambda i: i.refreshed(c.books.where("id % 5 = 0"), fulltext.documents(c).where("id % 10 <> 0")).lengths.join(i.postings.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").select("id", "dl"))(fulltext.index_of(c)))
+ORACLES["fts_refresh"] = _fts("SELECT id, CAST(" + " + ".join(f"len({c})" for c in _COLS) + " AS INT) AS dl FROM tok WHERE id % 10 <> 0")
+
 # --- similarity, quality, duplicates ------------------------------------------------------------------------------------
 _PAIRS = "SELECT a.id AS a, b.id AS b, lower(a.name) AS x, lower(b.name) AS y FROM publishers a JOIN publishers b ON a.id < b.id"
 
@@ -215,7 +223,9 @@ _add("sync_diff", lambda c: E.sync_diff(c.sync_selections, c.sync_items), """
     FROM sync_selections s FULL JOIN sync_items i ON s.user_id = i.device_id AND s.book_id = i.book_id) x WHERE change <> 'gone'""")
 _add("stream_debounce", lambda c: S.debounced(S.relevant(c.file_events)), """
     SELECT path, arg_max(kind, ts) AS kind, max(ts) AS ts, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts, id) AS burst FROM
-      (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY path ORDER BY ts, id) + INTERVAL 2 SECOND THEN 0 ELSE 1 END AS new FROM file_events) a) b GROUP BY path, burst""")
+      (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY path ORDER BY ts, id) + INTERVAL 2 SECOND THEN 0 ELSE 1 END AS new FROM file_events
+       WHERE regexp_matches(lower(path), '[.]epub$') AND (kind = 'removed' OR (kind = 'changed' AND NOT contains(path, '/.')))) a) b GROUP BY path, burst""")
+_add("stream_relevant", lambda c: S.relevant(c.file_events).select("id", "path", "kind"), "SELECT id, path, kind FROM file_events WHERE regexp_matches(lower(path), '[.]epub$') AND (kind = 'removed' OR (kind = 'changed' AND NOT contains(path, '/.')))")
 
 # --- state transitions ------------------------------------------------------------------------------------------------
 _ASKED = "id % 3 = 0"

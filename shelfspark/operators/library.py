@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def filtered(cat, f: BookFilter) -> DataFrame:
         kind, value = f.identifier
         b = member(cat.identifiers.where(F.col("identifier_type").isin(*identifier_types(kind)) & (F.col("value") == value))) if identifier_types(kind) else b.where(F.lit(False))
     if f.text or f.columns:
-        b = b.join(fulltext.search(fulltext.documents(cat), f.text, f.columns), "id")
+        b = b.join(fulltext.search(fulltext.index_of(cat), f.text, f.columns), "id")
     return b
 
 
@@ -60,18 +62,33 @@ def ordered(cat, b: DataFrame, by: str = "added_at", descending: bool = True, te
     if by == "relevance" and "rank" in b.columns:
         norm = normalize_title(F.col("title"))
         want = normalize_title(F.lit(text or ""))
-        hit = b.join(cat.identifiers.where(F.col("value") == F.upper(F.lit(text or ""))).select(F.col("book_id").alias("id")).distinct().withColumn("has_id", F.lit(1)), "id", "left")
+        hit = b.join(cat.identifiers.where(F.col("value") == F.lit(re.sub(r"[\s-]", "", text or "").upper())).select(F.col("book_id").alias("id")).distinct().withColumn("has_id", F.lit(1)), "id", "left")
         boost = F.when((want != "") & (norm == want), 20.0).otherwise(0.0) + F.when((want != "") & norm.startswith(want), 5.0).otherwise(0.0) + F.when(F.col("has_id") == 1, 15.0).otherwise(0.0)
         return hit.withColumn("rank", F.col("rank") - boost).drop("has_id").orderBy("rank", "id")
-    if by == "relevance":
-        return b.orderBy("title", "id")
+    if by == "relevance":  # without a text: by title, whatever the direction
+        return b.orderBy("sort_title", "id")
     if by == "author":
         keys = cat.book_authors.join(cat.authors.select(F.col("id").alias("author_id"), "sort_name"), "author_id").groupBy(F.col("book_id").alias("id")).agg(F.min("sort_name").alias("sort_author"))
         return b.join(keys, "id", "left").orderBy(way("sort_author"), "id")
     if by == "series":
         keys = cat.book_series.groupBy(F.col("book_id").alias("id")).agg(F.min("series_id").alias("sort_series"), F.min("position").alias("sort_position"))
         return b.join(keys, "id", "left").orderBy(way("sort_series"), way("sort_position"), "id")
-    return b.orderBy(way(by if by in ("title", "rating", "metadata_status") else "added_at"), "id")
+    column = {"title": "sort_title", "sort_title": "sort_title", "updated_at": "updated_at", "rating": "rating", "metadata_status": "metadata_status"}.get(by, "added_at")
+    return b.orderBy(way(column), "id")
+
+
+def default_sort(by: str | None, text: str | None) -> str:
+    """The sort of a request that may name none: relevance for a text, else the newest."""
+    return by or ("relevance" if text else "added_at")
+
+
+def searched(cat, text: str, by: str | None = None, descending: bool = True) -> DataFrame:
+    """Books of a full-text query in the order asked for, by relevance unless another is."""
+    return ordered(cat, filtered(cat, BookFilter(text=text)), default_sort(by, text), descending, text)
+
+
+def total_pages(total: int, size: int) -> int:
+    return -(-total // size) if size else 0
 
 
 def page(rows: DataFrame, number: int = 1, size: int = 25) -> DataFrame:

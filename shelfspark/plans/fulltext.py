@@ -1,18 +1,28 @@
-"""Full-text search: index documents, a boolean match compiler, phrases, prefixes and weighted BM25."""
+"""Full-text search: a stored index, a boolean match compiler, phrases, prefixes and weighted BM25.
+
+The index holds a row for each token, (id, col, place, term), in the order of
+(term, id), so that a query's terms reach the scan as a filter on ``term``,
+and a row for each document with its length. A query reads the rows of its own
+terms, counts them by document, and joins lengths of matching documents only.
+""" 
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import stored
+
 # Columns and their ranking weights.
 WEIGHTS = {"title": 10.0, "description": 1.0, "authors": 5.0, "series": 3.0, "publisher": 2.0, "tags": 2.0}
 K1, B = 1.2, 0.75
-_FOLD = {c: unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x180), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+# letters with marks of the Latin, Greek and Cyrillic blocks and the letters without
+_FOLD = {c: unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)) if len(unicodedata.normalize("NFD", chr(c))) > 1}
 _FROM, _TO = "".join(map(chr, _FOLD)), "".join(_FOLD.values())
 
 
@@ -41,34 +51,73 @@ def documents(cat) -> DataFrame:
     )
 
 
+@dataclass
+class Index:
+    """``postings(id, col, place, term)`` and ``lengths(id, dl)``."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    def refreshed(self, changed: DataFrame, docs: DataFrame) -> Index:
+        """The index after the documents ``changed(id)`` became those of ``docs``, or left if ``docs`` lacks them."""
+        ids = changed.select("id").distinct()
+        new = index(docs.join(ids, "id", "left_semi"))
+        keep = lambda rows: rows.join(ids, "id", "left_anti")
+        return Index(keep(self.postings).unionByName(new.postings), keep(self.lengths).unionByName(new.lengths))
+
+    def stored(self) -> Index:
+        """The index on disk, sorted by term."""
+        by_term = self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        return Index(stored(by_term, "postings"), stored(self.lengths, "lengths"))
+
+
+def index(docs: DataFrame) -> Index:
+    """The index of ``documents``; tokens are made once a row and column."""
+    cols = [c for c in WEIGHTS if c in docs.columns]
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in cols])).alias("f")
+    words = docs.select("id", fields).select("id", F.col("f.col").alias("col"), F.posexplode(tokens(F.col("f.text"))).alias("place", "term"))
+    lengths = docs.select("id", sum((F.size(tokens(F.col(c))) for c in cols), F.lit(0)).alias("dl"))
+    return Index(words, lengths)
+
+
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def index_of(cat) -> Index:
+    """The stored index of a catalog, made when an application first asks for it."""
+    key = (cat.spark.sparkContext.applicationId, cat.sf_dir)
+    if key not in _indexes:
+        _indexes[key] = index(documents(cat)).stored()
+    return _indexes[key]
+
+
 class Term:
     """A word, a phrase or a prefix, in one column or any."""
 
     def __init__(self, words: list[str], prefix: bool = False, column: str | None = None):
         self.words, self.prefix, self.column = words, prefix, column
 
-    def count(self, toks: Column) -> Column:
-        """How often the term occurs in an array of tokens."""
-        n = len(self.words)
-        if n == 1:
-            hit = (lambda x: x.startswith(self.words[0])) if self.prefix else (lambda x: x == self.words[0])
-            return F.size(F.filter(toks, hit))
-        places = F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1)))
+    def word(self, k: int) -> Column:
+        """Whether a posting is the term's word ``k``."""
+        last = self.prefix and k == len(self.words) - 1
+        hit = F.col("term").startswith(self.words[k]) if last else F.col("term") == self.words[k]
+        return hit & (F.col("col") == self.column) if self.column else hit
 
-        def at(i: Column) -> Column:
-            tests = [F.get(toks, i + k - 1) == w for k, w in enumerate(self.words)]
-            if self.prefix:
-                tests[-1] = F.get(toks, i + n - 2).startswith(self.words[-1])
-            return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
-        return F.size(F.filter(places, at))
+@dataclass
+class Group:
+    """Terms that must all be there and terms that must not."""
 
+    wanted: list[Term]
+    unwanted: list[Term]
 
-def compile_match(text: str | None, columns: tuple[tuple[str, str, bool], ...] = ()) -> tuple[object | None, list[Term]]:
-    """(tree, excluded terms): nested ("and" | "or" | "not", ...) over ``Term``.
 
-    Adjacent terms bind tightest, then NOT, then OR; the last plain word is a
-    prefix; words of column filters are joined to the last operand.
+def compile_match(text: str | None, columns: tuple[tuple[str, str, bool], ...] = ()) -> tuple[list[Group], list[Term]]:
+    """(alternatives, terms excluded from all documents if nothing is wanted).
+
+    Adjacent terms bind tightest, then NOT, then OR. What is negated anywhere
+    stands at the end, so it binds to the last alternative; words of column
+    filters join that one too. The last plain word is a prefix.
     """
     lexed = re.findall(r'"([^"]*)"(\*?)|(\S+)', text or "")
     groups, excluded, negate, last = [[]], [], False, None
@@ -91,47 +140,57 @@ def compile_match(text: str | None, columns: tuple[tuple[str, str, bool], ...] =
         negate = False
     if last is not None:
         last.prefix = True
+    while len(groups) > 1 and not groups[-1]:
+        groups.pop()
     for name, value, neg in columns:
         w = plain_tokens(value)
         if w:
             t = Term(w, prefix=len(w) == 1, column=name)
             (excluded if neg else groups[-1]).append(t)
-    ors = [("and", *g) if len(g) > 1 else g[0] for g in groups if g]
-    tree = ("or", *ors) if len(ors) > 1 else ors[0] if ors else None
-    return tree, excluded
-
-
-def _terms(tree) -> list[Term]:
-    return [] if tree is None else [tree] if isinstance(tree, Term) else [t for x in tree[1:] for t in _terms(x)]
-
-
-def search(docs: DataFrame, text: str | None, columns: tuple = (), weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(id, rank) of matching index documents; lower ranks are better, negation alone ranks nothing.
-
-    Counting is one pass: term frequencies per document, then one aggregate of
-    document frequencies and lengths, broadcast as a single row.
-    """
-    tree, excluded = compile_match(text, columns)
-    cols = [c for c in weights if c in docs.columns]
-    tok = docs.select("id", *[tokens(F.col(c)).alias(c) for c in cols])
-    terms = _terms(tree)
-    where = lambda t: [t.column] if t.column else cols
-    per = [sum((t.count(F.col(c)) * float(weights[c]) for c in where(t)), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)]
-    gone = reduce(lambda a, b: a | b, [sum((t.count(F.col(c)) for c in where(t)), F.lit(0)) > 0 for t in excluded], F.lit(False))
-    rows = tok.select("id", sum((F.size(c) for c in cols), F.lit(0)).alias("dl"), gone.alias("gone"), *per)
-    if tree is None:
-        return rows.where(~F.col("gone")).select("id", F.lit(0.0).alias("rank"))
-
-    def holds(node) -> Column:
-        if isinstance(node, Term):
-            return F.col(f"tf{terms.index(node)}") > 0
-        return reduce(lambda a, b: a & b if node[0] == "and" else a | b, [holds(x) for x in node[1:]])
-
-    stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    found = [Group(g, []) for g in groups if g]
+    if found:
+        found[-1].unwanted = excluded
+    return found, [] if found else excluded
+
+
+def _hits(postings: DataFrame, terms: list[Term], weights: dict[str, float]) -> DataFrame:
+    """(id, n, weight): an occurrence of term number ``n``."""
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("col")]
+    out = []
+    single = [(i, t) for i, t in enumerate(terms) if len(t.words) == 1]
+    if single:
+        which = F.filter(F.array(*[F.when(t.word(0), F.lit(i)) for i, t in single]), lambda x: x.isNotNull())
+        rows = postings.where(reduce(lambda a, b: a | b, [t.word(0) for _, t in single]))
+        out.append(rows.select("id", F.explode(which).alias("n"), weight.alias("weight")))
+    for i, t in enumerate(terms):
+        size = len(t.words)
+        if size > 1:  # the words of a phrase agree on where it starts
+            at = F.filter(F.array(*[F.when(t.word(k), F.lit(k)) for k in range(size)]), lambda x: x.isNotNull())
+            rows = postings.where(reduce(lambda a, b: a | b, [t.word(k) for k in range(size)])).select("id", "col", "place", F.explode(at).alias("k"))
+            starts = rows.groupBy("id", "col", (F.col("place") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("there"))
+            out.append(starts.where(F.col("there") == size).select("id", F.lit(i).alias("n"), weight.alias("weight")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def search(idx: Index, text: str | None, columns: tuple = (), weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(id, rank) of matching documents; lower ranks are better, negation alone ranks nothing."""
+    groups, excluded = compile_match(text, columns)
+    terms = [t for g in groups for t in (*g.wanted, *g.unwanted)] + excluded
+    if not groups:
+        every = idx.lengths.select("id", F.lit(0.0).alias("rank"))
+        return every.join(_hits(idx.postings, excluded, weights).select("id").distinct(), "id", "left_anti") if excluded else every
+    tf = [F.coalesce(F.sum(F.when(F.col("n") == i, F.col("weight"))), F.lit(0.0)).alias(f"tf{i}") for i in range(len(terms))]
+    rows = _hits(idx.postings, terms, weights).groupBy("id").agg(*tf)
+    on = lambda t: F.col(f"tf{terms.index(t)}") > 0
+    every = lambda cs: reduce(lambda a, b: a & b, cs)
+    holds = reduce(lambda a, b: a | b, [every([*map(on, g.wanted), *[~on(t) for t in g.unwanted]]) for g in groups])
+    ranked = [terms.index(t) for g in groups for t in g.wanted]
+    found = rows.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in ranked])
+    size = idx.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
+    for i in ranked:
+        df, tf_i = F.col(f"df{i}"), F.col(f"tf{i}")
         idf = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.where(~F.col("gone") & holds(tree)).crossJoin(F.broadcast(stats)).select("id", (-score).alias("rank"))
+        score = score + idf * tf_i * (K1 + 1) / (tf_i + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.where(holds).join(idx.lengths, "id").crossJoin(F.broadcast(found)).crossJoin(F.broadcast(size)).select("id", (-score).alias("rank"))

@@ -13,6 +13,7 @@ VIEWS: dict[str, str] = {
     "books": """
         SELECT p.p_partkey AS id,
           CASE p.p_partkey % 4 WHEN 0 THEN concat('The ', p.p_name) WHEN 1 THEN concat(p.p_name, ': a study') ELSE p.p_name END AS title,
+          CASE WHEN p.p_partkey % 4 = 1 THEN concat(p.p_name, ': a study') ELSE p.p_name END AS sort_title,
           d.text AS description,
           CASE WHEN p.p_partkey % 5 = 0 THEN NULL ELSE d.lang END AS language,
           CASE WHEN p.p_partkey % 10 = 0 THEN NULL ELSE 1950 + p.p_size END AS publication_year,
@@ -24,8 +25,8 @@ VIEWS: dict[str, str] = {
           p.p_partkey % 13 = 0 AS metadata_locked, p.p_partkey % 17 = 0 AS metadata_user_trusted,
           CASE p.p_partkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'failed' END AS resolution_state,
           CASE p.p_partkey % 6 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'enriched' WHEN 2 THEN 'disputed' WHEN 3 THEN 'ambiguous' WHEN 4 THEN 'unmatched' END AS resolution_outcome,
-          (p.p_partkey % 11) / CAST(10.0 AS DOUBLE) AS ingest_quality_score, e.ts AS added_at
-        FROM part p LEFT JOIN documents d ON d.doc_id = p.p_partkey LEFT JOIN events e ON e.event_id = p.p_partkey""",
+          (p.p_partkey % 11) / CAST(10.0 AS DOUBLE) AS ingest_quality_score, e.ts AS added_at, u.ts AS updated_at
+        FROM part p LEFT JOIN documents d ON d.doc_id = p.p_partkey LEFT JOIN events e ON e.event_id = p.p_partkey LEFT JOIN events u ON u.event_id = p.p_partkey * 3""",
     "publishers": "SELECT DISTINCT p_brand AS id, p_brand AS name FROM part",
     "authors": "SELECT s_suppkey AS id, s_name AS name, s_name AS sort_name FROM supplier",
     "book_authors": "SELECT l_partkey AS book_id, l_suppkey AS author_id, 'author' AS role, min(l_linenumber) AS position FROM lineitem GROUP BY l_partkey, l_suppkey",
@@ -62,7 +63,7 @@ VIEWS: dict[str, str] = {
     "sync_items": """
         SELECT l_suppkey % 10 AS device_id, l_partkey % 200 AS book_id, min(l_orderkey) AS file_id, max(l_shipdate) AS delivered_at,
           max(CASE WHEN l_returnflag = 'R' AND l_quantity > 48 THEN l_shipdate END) AS removed_synced_at FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_suppkey % 10, l_partkey % 200""",
-    "file_events": "SELECT event_id AS id, concat('/in/u', CAST(user_id % 25 AS VARCHAR(20)), '.epub') AS path, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'removed' ELSE 'changed' END AS kind, ts FROM events",
+    "file_events": "SELECT event_id AS id, concat('/in/', CASE user_id % 4 WHEN 0 THEN '.' ELSE '' END, 'u', CAST(user_id % 25 AS VARCHAR(20)), CASE user_id % 5 WHEN 0 THEN '.part' WHEN 1 THEN '.EPUB' WHEN 2 THEN '.doc' ELSE '.epub' END, CASE user_id % 7 WHEN 0 THEN '~' ELSE '' END) AS path, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'removed' ELSE 'changed' END AS kind, ts FROM events",
 }
 
 

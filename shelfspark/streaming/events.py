@@ -8,15 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Formats of books, endings of temporary names.
 EXTENSIONS = ("epub", "pdf", "mobi", "cbz", "fb2", "txt", "djvu", "azw3")
+TEMPORARY = ("part", "tmp", "crdownload", "swp")
 
 
 def relevant(events: DataFrame) -> DataFrame:
-    """Events of book files; hidden and temporary names are out, removals of temporary names stay."""
+    """Changes of book files that are neither hidden nor temporary, and removals of any book file; other kinds are out."""
     name = F.element_at(F.split("path", "/"), -1)
-    temp = name.rlike(r"(?i)(\.(part|tmp|crdownload|swp)|~)$")
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*EXTENSIONS)
-    return events.where(~name.startswith(".") & ((~temp & ext) | ((F.col("kind") == "removed") & (temp | ext))))
+    temp = name.rlike(rf"(?i)(\.({'|'.join(TEMPORARY)})|~)$")
+    book = F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)).isin(*EXTENSIONS) | F.lower(F.regexp_extract(name, r"^\.[^.]+\.([^.]+)$", 1)).isin(*EXTENSIONS)
+    return events.where(book & ((F.col("kind") == "removed") | ((F.col("kind") == "changed") & ~name.startswith(".") & ~temp)))
 
 
 def debounced(events: DataFrame, gap: str = "2 seconds") -> DataFrame:
