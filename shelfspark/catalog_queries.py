@@ -211,7 +211,6 @@ _add("file_dedup", lambda c: L.latest(c.book_files, ["book_id", "hash"], "added_
 # --- latest per key, retention, sync ----------------------------------------------------------------------------------
 _add("latest_run", lambda c: L.latest(c.resolution_runs, "book_id", F.col("started_at").desc(), "id").select("book_id", "id", "state"), "SELECT book_id, id, state FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY started_at DESC, id) AS rn FROM resolution_runs) x WHERE rn = 1")
 _add("top5_candidates", lambda c: E.top_candidates(c.identification_candidates).select("run_id", "id", _r("score").alias("score")), "SELECT run_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, created_at, id) AS rn FROM identification_candidates) x WHERE rn <= 5")
-_add("run_retention", lambda c: E.run_retention(c.resolution_runs).select("id", "book_id"), "SELECT id, book_id FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY started_at DESC, id) AS rn FROM resolution_runs) x WHERE rn <= 10")
 _add("best_isbn", lambda c: E.best_isbn(c.identifiers).select("book_id", "value"), "SELECT book_id, value FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY CASE source_type WHEN 'user' THEN 1 WHEN 'embedded' THEN 2 WHEN 'content_scan' THEN 3 ELSE 4 END, CASE identifier_type WHEN 'isbn13' THEN 0 ELSE 1 END, confidence DESC, value) AS rn FROM identifiers WHERE identifier_type IN ('isbn10', 'isbn13')) x WHERE rn = 1")
 _add("reading_latest", lambda c: L.latest(c.reading_progress, ["user_id", "book_id"], F.col("updated_at").desc(), "id").select("user_id", "book_id", "id", _r("progress").alias("progress")), "SELECT user_id, book_id, id, round(progress, 6) AS progress FROM (SELECT *, row_number() OVER (PARTITION BY user_id, book_id ORDER BY updated_at DESC, id) AS rn FROM reading_progress) x WHERE rn = 1")
 _add("continue_reading", lambda c: c.reading_progress.where("progress > 0 and progress < 1").orderBy(F.col("updated_at").desc(), "id").limit(20).select("id", "user_id", "book_id"), "SELECT id, user_id, book_id FROM reading_progress WHERE progress > 0 AND progress < 1 ORDER BY updated_at DESC, id LIMIT 20")
@@ -267,4 +266,4 @@ _add("candidate_score", lambda c: R.scored(c.spark.sql(_PROPOSED.format("{books}
       coalesce(title_sim < 0.3, false) AS contradiction, coalesce(title_sim >= 0.3, false) AS title, coalesce(author_sim > 0.5, false) AS author FROM ({_PROPOSED.format("books")}) x""")
 
 # the other modules register their queries when imported
-from . import scalar_queries  # noqa: E402, F401
+from . import review_queries, scalar_queries  # noqa: E402, F401

@@ -58,10 +58,6 @@ def hash_duplicates(files: DataFrame) -> DataFrame:
     return files.join(first, "hash").where("id <> first_id").select("id", "hash", "first_id")
 
 
-def run_retention(runs: DataFrame, keep: int = 10) -> DataFrame:
-    return latest(runs, "book_id", F.col("started_at").desc(), F.col("id"), n=keep)
-
-
 def top_candidates(candidates: DataFrame, n: int = 5) -> DataFrame:
     return latest(candidates, "run_id", F.col("score").desc(), F.col("created_at"), F.col("id"), n=n)
 

@@ -55,6 +55,14 @@ VIEWS: dict[str, str] = {
         SELECT l.l_orderkey * 10 + l.l_linenumber AS id, l.l_orderkey AS run_id, o.o_custkey AS book_id, max(l.l_discount) * 10 AS score,
           CASE min(l.l_linestatus) WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status, max(l.l_shipdate) AS created_at
         FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey GROUP BY l.l_orderkey, l.l_linenumber, o.o_custkey""",
+    "review_candidates": """
+        SELECT id, CASE WHEN id % 19 = 0 THEN NULL ELSE run_id END AS run_id, CASE WHEN id % 19 = 0 THEN book_id + 1000000 * (id % 2) ELSE book_id END AS book_id, score,
+          CASE WHEN id % 23 = 0 THEN 'applied' WHEN id % 29 = 0 THEN 'superseded' ELSE status END AS status, created_at FROM identification_candidates""",
+    "users": "SELECT c_custkey AS id, c_name AS username, CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'user' END AS role, c_acctbal > 0 AS is_active FROM customer",
+    "sessions": "SELECT event_id AS id, user_id, ts AS expires_at FROM events",
+    "bookmarks": "SELECT event_id AS id, user_id, event_id % 200 AS book_id, value AS position, event_type AS label FROM events",
+    "watched_directories": "SELECT n_nationkey AS id, concat('/data/', n_name) AS path, n_regionkey % 2 = 0 AS enabled FROM nation",
+    "book_merges": "SELECT p_partkey AS winner, p_partkey + 1 AS secondary FROM part WHERE p_partkey % 10 = 3",
     "duplicate_links": """
         SELECT a.p_partkey AS book_id_a, b.p_partkey AS book_id_b, CASE a.p_partkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'merged' ELSE 'dismissed' END AS status
         FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey""",
@@ -95,5 +103,14 @@ def oracle(sql: str) -> str:
     """``sql`` with the views it names as common table expressions."""
     import re
 
-    need = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
-    return "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in need) + " " + sql if need else sql
+    need, text = set(), [sql]
+    while text:  # views that the named ones read
+        found = {v for v in VIEWS if v not in need and re.search(rf"\b(FROM|JOIN|,)\s+{v}\b", text[-1])}
+        text = text[:-1] + [VIEWS[v] for v in found]
+        need |= found
+    ctes = [f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in need]
+    # SQL that begins with expressions of its own names them after this mark
+    body = sql.strip()
+    if body.startswith("/*cte*/"):
+        return "WITH " + ", ".join([*ctes, body.removeprefix("/*cte*/").strip()])
+    return "WITH " + ", ".join(ctes) + " " + sql if need else sql
