@@ -205,7 +205,6 @@ _add("quality_live", _quality, f"SELECT id, round(q, 6)::DOUBLE AS score, CASE W
 _add("dup_hash", lambda c: E.hash_duplicates(c.book_files), "SELECT id, hash, first_id FROM (SELECT id, hash, min(id) OVER (PARTITION BY hash) AS first_id FROM book_files) x WHERE id <> first_id")
 _add("dup_isbn", lambda c: c.identifiers.join(c.book_files.select("book_id", "format").distinct(), "book_id").groupBy("value", "format").agg(F.count(F.lit(1)).alias("n"), F.min("book_id").alias("first")), "SELECT value, format, count(*) AS n, min(i.book_id) AS first FROM identifiers i JOIN (SELECT DISTINCT book_id, format FROM book_files) f ON f.book_id = i.book_id GROUP BY value, format")
 _NT = "regexp_replace(trim(regexp_replace(replace(lower(title), '''', ''), '[^\\p{L}\\p{N}]+', ' ', 'g')), '^(the|a|an|le|la|les|der|die|das) (.)', '\\2')"
-_add("dup_fuzzy", lambda c: E.fuzzy_duplicates(c.books).withColumn("similarity", _r("similarity")), f"SELECT x AS title_a, y AS title_b, v AS similarity FROM (SELECT x, y, round(len(list_intersect({_GRAMS.format('x')}, {_GRAMS.format('y')})) / len(list_distinct(list_concat({_GRAMS.format('x')}, {_GRAMS.format('y')}))), 6) AS v FROM (SELECT a.t AS x, b.t AS y FROM (SELECT DISTINCT {_NT} AS t FROM books) a JOIN (SELECT DISTINCT {_NT} AS t FROM books) b ON a.t[1:3] = b.t[1:3] AND a.t < b.t) p) q WHERE v >= 0.7")
 _add("file_dedup", lambda c: L.latest(c.book_files, ["book_id", "hash"], "added_at", "id").select("id", "book_id", "hash"), "SELECT id, book_id, hash FROM (SELECT *, row_number() OVER (PARTITION BY book_id, hash ORDER BY added_at, id) AS rn FROM book_files) x WHERE rn = 1")
 
 # --- latest per key, retention, sync ----------------------------------------------------------------------------------
@@ -266,4 +265,4 @@ _add("candidate_score", lambda c: R.scored(c.spark.sql(_PROPOSED.format("{books}
       coalesce(title_sim < 0.3, false) AS contradiction, coalesce(title_sim >= 0.3, false) AS title, coalesce(author_sim > 0.5, false) AS author FROM ({_PROPOSED.format("books")}) x""")
 
 # the other modules register their queries when imported
-from . import review_queries, scalar_queries  # noqa: E402, F401
+from . import library_queries, match_queries, review_queries, scalar_queries  # noqa: E402, F401

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_title, trigram_similarity
 from .library import latest
 
 
@@ -40,18 +39,6 @@ def find_or_create(existing: DataFrame, names: DataFrame) -> DataFrame:
     return new.join(existing.select(fold(F.col("name")).alias("k")), "k", "left_anti").select("name")
 
 
-def fuzzy_duplicates(titles: DataFrame, threshold: float = 0.7, prefix: int = 3) -> DataFrame:
-    """Pairs of distinct normalised titles of one block at least ``threshold`` alike.
-
-    Titles are compared once however many books carry them; a block whose
-    titles outgrow a partition is split by the skew handling of the join.
-    """
-    t = titles.select(normalize_title(F.col("title")).alias("t")).distinct().where("length(t) > 0").withColumn("block", F.substring("t", 1, prefix))
-    a, b = t.select("block", F.col("t").alias("title_a")), t.select("block", F.col("t").alias("title_b"))
-    pairs = a.join(b, "block").where("title_a < title_b")
-    return pairs.withColumn("similarity", trigram_similarity(F.col("title_a"), F.col("title_b"))).where(F.col("similarity") >= threshold).drop("block")
-
-
 def hash_duplicates(files: DataFrame) -> DataFrame:
     """Files whose content is already held by an earlier file (lowest id stays)."""
     first = files.groupBy("hash").agg(F.min("id").alias("first_id"))

@@ -27,19 +27,67 @@ def debounced(events: DataFrame, gap: str = "2 seconds") -> DataFrame:
 
 
 def cooled(events: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """Events at least ``seconds`` after the last *passed* event of their path; state is one time for each path."""
+    """Events (path, kind, ts) at least ``seconds`` after the last *passed* event of their path.
+
+    A stream keeps one time for each path and forgets it once two cooldowns of
+    processing time went by without an event.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def passed(at, last: float | None) -> tuple[list[int], float | None]:
+        keep = []
+        for i, t in enumerate(at):
+            if last is None or t - last >= seconds:
+                last = t
+                keep.append(i)
+        return keep, last
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         for frame in frames:
-            keep = []
-            for row in frame.sort_values("ts").itertuples(index=False):
-                at = row.ts.timestamp()
-                if last is None or at - last >= seconds:
-                    last = at
-                    keep.append(row)
-            yield pd.DataFrame(keep, columns=frame.columns)[["path", "kind", "ts"]]
+            frame = frame.sort_values("ts")
+            keep, last = passed(frame["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6, last)
+            yield frame.iloc[keep][["path", "kind", "ts"]]
         if last is not None:
             state.update((last,))
+            state.setTimeoutDuration(int(2000 * seconds))
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["ts", "kind"])
+        return frame.iloc[passed(frame["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6, None)[0]]
+
+    by_path = events.select("path", "kind", "ts").groupBy("path")
+    if not events.isStreaming:
+        return by_path.applyInPandas(whole, "path string, kind string, ts timestamp")
+    return by_path.applyInPandasWithState(step, "path string, kind string, ts timestamp", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def unchanged_dropped(events: DataFrame, files: DataFrame) -> DataFrame:
+    """Changes of ``events(path, hash)`` without those whose path is known with that very hash in every row of ``files(path, hash)``."""
+    known = files.groupBy("path").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+    same = (F.col("lo") == F.col("hash")) & (F.col("hi") == F.col("hash"))
+    return events.join(known, "path", "left").where(~F.coalesce(same, F.lit(False))).drop("lo", "hi")
+
+
+def foreign_removals(removals: DataFrame, deletions: DataFrame, seconds: int = 30) -> DataFrame:
+    """Removals that do not follow an own deletion of the path within ``seconds``.
+
+    Batch or stream: as streams both need a watermark on ``ts``, and rows that
+    an own deletion explains are dropped once its time is past, which bounds
+    the state.
+    """
+    own = deletions.select(F.col("path").alias("own_path"), F.col("ts").alias("own_ts"))
+    near = (F.col("path") == F.col("own_path")) & (F.col("ts") >= F.col("own_ts")) & (F.col("ts") < F.col("own_ts") + F.expr(f"interval {seconds} seconds"))
+    if not removals.isStreaming:
+        return removals.join(own, near, "left_anti")
+    return removals.join(own, near, "left_outer").where("own_path is null").drop("own_path", "own_ts")
+
 
-    return events.select("path", "kind", "ts").groupBy("path").applyInPandasWithState(step, "path string, kind string, ts timestamp", "last double", "append", "NoTimeout")
+def finished_imports(imports: DataFrame, completions: DataFrame, wait: str = "1 hour") -> DataFrame:
+    """Files of ``imports(task_id, path, ts)`` whose task succeeded: these may be deleted at their source. As streams both need a watermark on ``ts``."""
+    done = completions.where("status = 'completed'").select(F.col("task_id").alias("done_id"), F.col("ts").alias("done_at"))
+    on = (F.col("task_id") == F.col("done_id")) & (F.col("done_at") >= F.col("ts")) & (F.col("done_at") <= F.col("ts") + F.expr(f"interval {wait}"))
+    return imports.join(done, on).select("task_id", "path", "done_at")
