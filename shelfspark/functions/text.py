@@ -88,19 +88,6 @@ def is_asin(c: Column) -> Column:
     return c.rlike(r"^[0-9A-Za-z]{10}$")
 
 
-def strip_html(c: Column) -> Column:
-    """Text of markup: script and style blocks and comments out, block ends to line breaks, tags out, blanks collapsed; empty to null."""
-    t = F.regexp_replace(c, r"(?is)<(script|style|iframe|object|embed)\b.*?</\1\s*>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|h[1-6]|ul|ol|blockquote|tr|table|section|article)\b[^>]*>", "\n\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    # The named entities, the ampersand last.
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("#39", "'"), ("amp", "&")):
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f ]+", " "), r" ?\n ?", "\n")
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")), F.lit(""))
-
-
 def sentences(c: Column) -> Column:
     return F.filter(F.split(c, "(?<=[.?!][\"')\\]]{0,3})\\s+"), lambda x: x != "")
 

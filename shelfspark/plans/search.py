@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import hmac
+import json
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -255,3 +259,68 @@ def resolve(query: str, catalog, explicit: BookFilter | None = None) -> tuple[Bo
     if (parsed.clauses or parsed.empty_fields) and not got:
         merged = replace(merged, matches_nothing=True)
     return merged, warn
+
+
+def canonical_identifier(kind: str | None, value: str) -> tuple[str | None, str]:
+    """An identifier filter with its type's name and its value as that type writes it: ISBNs and ASINs without blanks (and hyphens) in capitals."""
+    types = identifier_types(kind)
+    value = value.strip()
+    if kind is not None and set(types) <= {"isbn10", "isbn13"}:
+        value = re.sub(r"[\s-]", "", value).upper()
+    elif types == ("asin",):
+        value = re.sub(r"\s", "", value).upper()
+    return ("isbn" if len(types) == 2 else types[0] if len(types) == 1 else kind), value
+
+
+def is_identifier_type(name: str) -> bool:
+    return bool(identifier_types(name))
+
+
+def from_request(params: dict[str, str]) -> BookFilter:
+    """The canonical filter of request parameters; a value that can't be read raises ``ValueError``."""
+    truth = {"true": True, "1": True, "false": False, "0": False}
+    out: dict = {}
+    for key, raw in params.items():
+        if raw is None or not raw.strip():
+            continue
+        value = raw.strip()
+        if key in ("year_min", "year_max"):
+            out[key] = int(value)
+        elif key in ("trusted", "locked", "has_cover", "has_description", "has_identifiers"):
+            if value.lower() not in truth:
+                raise ValueError(f"{key}: {raw!r}")
+            out[key] = truth[value.lower()]
+        elif key == "tags":
+            out["tags"] = tuple(value.split(","))
+        elif key == "tag_match":
+            out["tags_all"] = value == "all"
+        elif key == "identifier":
+            kind, colon, rest = value.partition(":")
+            out["identifier"] = canonical_identifier(kind if colon else None, rest if colon else value)
+        elif key in ("text", "author", "series", "publisher", "format", "status", "state", "outcome", "language"):
+            allowed = {"format": FORMATS, "status": STATUSES, "state": STATES, "outcome": OUTCOMES}.get(key)
+            if allowed and value not in allowed:
+                raise ValueError(f"{key}: {raw!r}")
+            out[key] = int(value) if key == "author" else value
+        else:
+            raise ValueError(f"unknown parameter {key!r}")
+    return BookFilter(**out).canonical()
+
+
+def sign(f: BookFilter, key: bytes) -> str:
+    """A token of the whole resolved filter, negations and columns included, with an HMAC-SHA256 of its canonical JSON."""
+    body = json.dumps(asdict(f), sort_keys=True, separators=(",", ":")).encode()
+    return base64.urlsafe_b64encode(hmac.new(key, body, hashlib.sha256).digest() + body).decode().rstrip("=")
+
+
+def verified(token: str, key: bytes) -> BookFilter:
+    """The filter of a token; one that was made with another key or changed raises ``ValueError``."""
+    try:
+        raw = base64.urlsafe_b64decode(token + "=" * (-len(token) % 4))
+    except ValueError as e:
+        raise ValueError("not a token") from e
+    tag, body = raw[:32], raw[32:]
+    if not body or not hmac.compare_digest(tag, hmac.new(key, body, hashlib.sha256).digest()):
+        raise ValueError("token was tampered with")
+    deep = lambda v: tuple(map(deep, v)) if isinstance(v, list) else v
+    return BookFilter(**{k: deep(v) for k, v in json.loads(body).items()})
