@@ -72,9 +72,9 @@ def strip_html(c: Column) -> Column:
     t = without_dangerous(c)
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|<hr\s*/?>|</?li\b[^>]*>", "\n")
     t = F.regexp_replace(t, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n\n")
-    t = F.regexp_replace(t, r"(?s)<!--.*?(-->|$)", "")
-    t = F.regexp_replace(t, r"(?s)<!\[CDATA\[(.*?)(?:\]\]>|$)", "$1")
-    return _finished(F.regexp_replace(t, r"(?s)<[^>]*(>|$)", ""), decode_entities)
+    # one pass, so that what stands in CDATA is no tag
+    t = F.regexp_replace(t, r"(?s)<!\[CDATA\[(.*?)(?:\]\]>|$)|<!--.*?(?:-->|$)|<[^>]*(?:>|$)", "$1")
+    return _finished(t, decode_entities)
 
 
 def safe_html(c: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,6 +92,16 @@ def _within_provider(cs: list[dict]) -> list[dict]:
     return [c for i, c in enumerate(cs) if i not in gone]
 
 
+def _before(a: dict, b: dict) -> int:
+    """Negative if ``a`` leads a group: by score, the rank of its cover where both have one, its provider's name."""
+    if a["score"] != b["score"]:
+        return -1 if a["score"] > b["score"] else 1
+    ranks = [COVER_RANK.get(c["provider"], 0) for c in (a, b)]
+    if _there(a["cover_url"]) and _there(b["cover_url"]) and ranks[0] != ranks[1]:
+        return ranks[1] - ranks[0]
+    return (a["provider"] > b["provider"]) - (a["provider"] < b["provider"])
+
+
 def _across_providers(cs: list[dict]) -> list[dict]:
     """For each ISBN in order: unclaimed candidates of different providers become one, with a bonus."""
     claimed: set[int] = set()
@@ -102,8 +113,7 @@ def _across_providers(cs: list[dict]) -> list[dict]:
                 group.setdefault(c["provider"], i)
         if len(group) < 2:
             continue
-        covers = all(_there(cs[i]["cover_url"]) for i in group.values())
-        order = sorted(group.values(), key=lambda i: (-cs[i]["score"], -COVER_RANK.get(cs[i]["provider"], 0) if covers else 0, cs[i]["provider"], i))
+        order = sorted(group.values(), key=cmp_to_key(lambda i, j: _before(cs[i], cs[j]) or i - j))
         win = cs[order[0]]
         for i in order[1:]:
             lose, name = cs[i], cs[i]["provider"]

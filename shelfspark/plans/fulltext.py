@@ -21,8 +21,8 @@ from ..sources.work import stored
 # Columns and their ranking weights.
 WEIGHTS = {"title": 10.0, "description": 1.0, "authors": 5.0, "series": 3.0, "publisher": 2.0, "tags": 2.0}
 K1, B = 1.2, 0.75
-# letters with marks of the Latin, Greek and Cyrillic blocks and the letters without
-_FOLD = {c: unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+# letters of the Latin alphabet with marks, and the letters without; other alphabets keep their marks
+_FOLD = {c: unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()}
 _FROM, _TO = "".join(map(chr, _FOLD)), "".join(_FOLD.values())
 
 
@@ -33,7 +33,7 @@ def tokens(c: Column) -> Column:
 
 
 def plain_tokens(text: str) -> list[str]:
-    t = "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch)).lower()
+    t = "".join(_FOLD.get(ord(ch), ch) for ch in text if not unicodedata.combining(ch)).lower()
     return re.findall(r"[^\W_+#]+(?:[+#]+[^\W_]*)*|[+#]+[^\W_]*", t)
 
 
@@ -183,14 +183,16 @@ def search(idx: Index, text: str | None, columns: tuple = (), weights: dict[str,
     rows = _hits(idx.postings, terms, weights).groupBy("id").agg(*tf)
     on = lambda t: F.col(f"tf{terms.index(t)}") > 0
     every = lambda cs: reduce(lambda a, b: a & b, cs)
-    holds = reduce(lambda a, b: a | b, [every([*map(on, g.wanted), *[~on(t) for t in g.unwanted]]) for g in groups])
+    held = [every([*map(on, g.wanted), *[~on(t) for t in g.unwanted]]) for g in groups]
     ranked = [terms.index(t) for g in groups for t in g.wanted]
     found = rows.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in ranked])
     size = idx.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     score = F.lit(0.0)
-    for i in ranked:
-        df, tf_i = F.col(f"df{i}"), F.col(f"tf{i}")
-        idf = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        score = score + idf * tf_i * (K1 + 1) / (tf_i + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    for g, there in zip(groups, held, strict=True):  # an alternative counts where it matches
+        for t in g.wanted:
+            df, tf_i = F.col(f"df{terms.index(t)}"), F.col(f"tf{terms.index(t)}")
+            idf = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5))
+            idf = F.when(idf <= 0, 1e-6).otherwise(idf)
+            score = score + F.when(there, idf * tf_i * (K1 + 1) / (tf_i + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+    holds = reduce(lambda a, b: a | b, held)
     return rows.where(holds).join(idx.lengths, "id").crossJoin(F.broadcast(found)).crossJoin(F.broadcast(size)).select("id", (-score).alias("rank"))

@@ -43,9 +43,9 @@ def test_years_identifiers_and_canonical_filters():
 
 
 def test_match_precedence():
-    tree, out = compile_match("a b OR c")
-    assert tree[0] == "or" and tree[1][0] == "and" and tree[2].prefix and not out
-    tree, out = compile_match("a OR b", (("title", "c", False),))
-    assert tree[0] == "or" and tree[2][0] == "and" and tree[2][2].column == "title"
-    tree, out = compile_match("NOT a")
-    assert tree is None and out[0].words == ["a"]
+    (left, right), out = compile_match("a b OR c")
+    assert [t.words for t in left.wanted] == [["a"], ["b"]] and right.wanted[0].prefix and not out
+    (_, right), out = compile_match("a OR b NOT d", (("title", "c", False),))
+    assert right.wanted[1].column == "title" and right.unwanted[0].words == ["d"]
+    groups, out = compile_match("NOT a")
+    assert not groups and out[0].words == ["a"]
