@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, unused
 from .textscan import ALNUM, Words, slices
 
 WIDTH, BLOCK_WORDS, SAMPLE = 10, 2_000_000, 8
@@ -293,6 +293,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
             yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(out, pa.string())], names=[*names, "text"])
 
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = occurrences(docs, benchmark, width, block_words, carry=rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select("doc_id", *rest).schema) + ", text string"
-    return found.select("doc_id", *rest, "text", "hits").mapInArrow(cut, schema).select(*docs.columns)
+    carried = unused(docs, *[f"kept{i}" for i in range(len(rest))])  # names that meet none of our own
+    named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(rest, carried, strict=True)])
+    found = occurrences(named, benchmark, width, block_words, carry=carried)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select("doc_id", *carried).schema) + ", text string"
+    out = found.select("doc_id", *carried, "text", "hits").mapInArrow(cut, schema)
+    back = dict(zip(rest, carried, strict=True))
+    return out.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns])

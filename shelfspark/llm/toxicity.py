@@ -89,7 +89,9 @@ def document_frequencies(sample: DataFrame) -> DataFrame:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[1][at]), pa.array(counts[0][at])], names=["bucket", "toxic", "other"])
 
-    part = sample.coalesce(8).mapInArrow(run, "bucket long, toxic long, other long")
+    # a task sends a table of buckets back, so tasks follow the sample's bytes, not its partitions
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    part = sample.coalesce(max(8, size >> 23)).mapInArrow(run, "bucket long, toxic long, other long")
     return part.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 

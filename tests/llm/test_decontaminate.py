@@ -74,3 +74,12 @@ def test_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], ITEM)
     assert decontaminate(make_docs([]), none).count() == 0
     assert [(r.n_words, r.contaminated) for r in decontaminate(make_docs([(1, "a b"), (1, "a b")]), none).collect()] == [(2, False)] * 2
+
+
+def test_columns_whose_names_are_used_inside(spark, make_docs):
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = make_docs([(1, "a " + item + " b"), (2, "clean text"), (3, None)]).withColumns({c: F.lit(7) for c in ("hits", "items", "n_words", "kept0", "spans")})
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in remove_contamination(docs, bench).collect()}
+    assert got[1].text == "a  b" and got[2].text == "clean text" and got[3].text is None and got[1].hits == 7 and got[1].kept0 == 7
+    assert remove_contamination(docs, bench).columns == docs.columns and remove_contamination(docs, bench.limit(0)).count() == 3
