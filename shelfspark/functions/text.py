@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,6 +109,7 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+@lru_cache(maxsize=1 << 16)
 def alike(s: str, t: str) -> float:
     """Jaro-Winkler of two strings, with the prefix bonus at every similarity."""
     if s == t:

@@ -35,7 +35,7 @@ _FUZZY = f"""
       LEFT JOIN LATERAL (SELECT max({_tri('u', 'v')}) AS k FROM (SELECT {_N1.format('p.author')} AS u, {_N1.format('l.name')} AS v FROM ({_AUTH}) l WHERE l.book_id = p.existing_id) w) n ON true
       WHERE p.ts >= 0.7) q WHERE asim >= 0.6 OR ts >= 0.9) z WHERE rn = 1"""
 add("dup_fuzzy", lambda c: _fuzzy(c).withColumns({k: rounded(k) for k in ("title_similarity", "author_similarity")}), f"SELECT id, existing_id, round(title_similarity::DOUBLE, 6) AS title_similarity, round(author_similarity::DOUBLE, 6) AS author_similarity FROM ({_FUZZY}) y")
-add("dup_auto_link", lambda c: D.auto_links(_fuzzy(c), c.books.select("id", F.expr("case id % 3 when 0 then 'cbz' else 'epub' end").alias("format")), c.book_files), f"SELECT y.id, y.existing_id, CASE y.id % 3 WHEN 0 THEN 'cbz' ELSE 'epub' END AS format FROM ({_FUZZY}) y WHERE title_similarity >= 0.85 AND author_similarity >= 0.8 AND NOT EXISTS (SELECT 1 FROM book_files f WHERE f.book_id = y.existing_id AND f.format = CASE y.id % 3 WHEN 0 THEN 'cbz' ELSE 'epub' END)")
+add("dup_auto_link", lambda c: D.auto_links(_fuzzy(c), c.books.select("id", F.expr("case id % 3 when 1 then 'cbz' else 'epub' end").alias("format")), c.book_files), f"SELECT y.id, y.existing_id, CASE y.id % 3 WHEN 1 THEN 'cbz' ELSE 'epub' END AS format FROM ({_FUZZY}) y WHERE title_similarity >= 0.85 AND author_similarity >= 0.8 AND NOT EXISTS (SELECT 1 FROM book_files f WHERE f.book_id = y.existing_id AND f.format = CASE y.id % 3 WHEN 1 THEN 'cbz' ELSE 'epub' END)")
 _OLD = "SELECT id + 1 AS book_id_a, id AS book_id_b FROM books WHERE id % 8 = 0"
 add("dup_link_rows", lambda c: D.link_rows(_fuzzy(c), shared_sql(c, _OLD)).withColumn("confidence", rounded("confidence")), f"SELECT existing_id AS book_id_a, id AS book_id_b, round(((title_similarity + author_similarity) / 2)::DOUBLE, 6) AS confidence FROM ({_FUZZY}) y WHERE NOT EXISTS (SELECT 1 FROM ({_OLD}) o WHERE least(o.book_id_a, o.book_id_b) = least(y.id, y.existing_id) AND greatest(o.book_id_a, o.book_id_b) = greatest(y.id, y.existing_id))")
 

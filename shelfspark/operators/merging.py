@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cmp_to_key
+from functools import cmp_to_key, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,6 +41,7 @@ def _isbns(c: dict) -> set[str]:
     return {re.sub(r"[\s-]", "", v).upper() for t, _, v in (i.partition(":") for i in c["identifiers"]) if t in ("isbn13", "isbn10")}
 
 
+@lru_cache(maxsize=1 << 14)
 def _title(s: str) -> str:
     from ..functions.text import ARTICLES
 
@@ -49,6 +50,7 @@ def _title(s: str) -> str:
     return rest if first in ARTICLES and rest else t
 
 
+@lru_cache(maxsize=1 << 14)
 def _author(s: str) -> str:
     last, comma, first = s.lower().partition(",")
     t = f"{first.strip()} {last.strip()}" if comma else last
