@@ -38,7 +38,7 @@ from .textscan import SPACED, Slice, Words, mix, slices
 
 ALPHA = 0.4
 #: Text that a part holds, about; a longer document is most of its part.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Buckets of hashes for each part, so that tasks are even.
 BUCKETS_A_PART = 4
 #: The key under which the number of all words is counted.
