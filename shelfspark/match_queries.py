@@ -17,7 +17,7 @@ add("dup_isbn_decision", lambda c: D.isbn_decision(shared_sql(c, _IN), c.identif
       SELECT n.id, min(CASE WHEN f.has THEN i.book_id END) AS same, min(CASE WHEN f.has IS NULL THEN i.book_id END) AS other FROM ({_IN}) n LEFT JOIN identifiers i ON i.identifier_type = n.identifier_type AND i.value = n.value
       LEFT JOIN (SELECT DISTINCT book_id, format, true AS has FROM book_files) f ON f.book_id = i.book_id AND f.format = n.format GROUP BY n.id) x""")
 #: Incoming books: odd ids, whose titles lose a letter or get a word, and whose author is that of the least place.
-_NEW = "SELECT b.id, CASE b.id % 3 WHEN 0 THEN concat(title, 's') WHEN 1 THEN upper(title) ELSE concat(title, ' two') END AS title, a.name AS author FROM books b LEFT JOIN (SELECT book_id, min(name) AS name FROM book_authors JOIN authors ON id = author_id WHERE book_id % 4 <> 3 GROUP BY book_id) a ON a.book_id = b.id WHERE b.id % 2 = 1"
+_NEW = "SELECT b.id, CASE b.id % 3 WHEN 0 THEN concat(title, 's') WHEN 1 THEN upper(title) ELSE concat(title, ' two') END AS title, a.name AS author FROM books b LEFT JOIN (SELECT book_id, min(name) AS name FROM book_authors JOIN authors ON id = author_id WHERE book_id % 12 <> 3 GROUP BY book_id) a ON a.book_id = b.id WHERE b.id % 2 = 1"
 _AUTH = "SELECT book_id, name FROM book_authors JOIN authors ON id = author_id WHERE position <= 2"
 _KNOWN = "SELECT id, title FROM books WHERE id % 2 = 0"
 
