@@ -11,8 +11,8 @@ tree, so no group of unbounded size ever meets in one task. The words of a
 source therefore miss its target by less than one document.
 
 Defined results: a null or blank text has size 0 and takes 0 words; an empty
-table gives an empty table; documents with equal ids are separate rows but
-draw the same random numbers; a source of no words has target 0. Extra input
+table gives an empty table; documents with equal ids are separate rows, each
+with random numbers of its own; a source of no words has target 0. Extra input
 columns are ignored.
 """
 
