@@ -57,15 +57,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return s.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def _pivot(items: Column, seed: int, tag: Column) -> Column:
-    """Fold an array of (uid, size, x) into {rid, rsize, rx, done: [(uid, up)]}."""
-    empty = F.array().cast("array<struct<uid:long,up:int>>")
-    start = F.struct(F.lit(None).cast("long").alias("rid"), F.lit(0).cast("long").alias("rsize"), F.lit(0.0).alias("rx"), empty.alias("done"))
+def _pivot(items: Column, seed: int, tag: Column, kind: str) -> Column:
+    """Fold an array of (id, size, x) into {rid, rsize, rx, done: [(id, up)]}; ``kind`` is the type of an id."""
+    empty = F.array().cast(f"array<struct<id:{kind},up:int>>")
+    start = F.struct(F.lit(None).cast(kind).alias("rid"), F.lit(0).cast("long").alias("rsize"), F.lit(0.0).alias("rx"), empty.alias("done"))
 
     def step(acc: Column, d: Column) -> Column:
         a, b, xa, xb = acc["rsize"].cast("double"), d["size"].cast("double"), acc["rx"], d["x"]
         up, down = F.least((1 - xa) * a, xb * b), F.least(xa * a, (1 - xb) * b)
-        draw = F.pmod(F.xxhash64(acc["rid"], d["uid"], tag, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        draw = F.pmod(F.xxhash64(acc["rid"]["draw"], d["id"]["draw"], tag, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
         first_gains = draw * (up + down) < down
         # the document that becomes integral leaves; ties of rounding go to the first
         settle = (
@@ -75,12 +75,12 @@ def _pivot(items: Column, seed: int, tag: Column) -> Column:
             .otherwise(F.struct(F.lit(False).alias("old"), F.lit(1).alias("up"), (xa - down / a).alias("x")))
         )
         merged = F.transform(F.array(settle), lambda s: F.struct(
-            F.when(s["old"], d["uid"]).otherwise(acc["rid"]).alias("rid"),
+            F.when(s["old"], d["id"]).otherwise(acc["rid"]).alias("rid"),
             F.when(s["old"], d["size"]).otherwise(acc["rsize"]).alias("rsize"),
             F.least(F.greatest(s["x"], F.lit(0.0)), F.lit(1.0)).alias("rx"),
-            F.array_append(acc["done"], F.struct(F.when(s["old"], acc["rid"]).otherwise(d["uid"]).alias("uid"), s["up"].alias("up"))).alias("done"),
+            F.array_append(acc["done"], F.struct(F.when(s["old"], acc["rid"]).otherwise(d["id"]).alias("id"), s["up"].alias("up"))).alias("done"),
         ))[0]
-        alone = F.struct(d["uid"].alias("rid"), d["size"].alias("rsize"), d["x"].alias("rx"), acc["done"].alias("done"))
+        alone = F.struct(d["id"].alias("rid"), d["size"].alias("rsize"), d["x"].alias("rx"), acc["done"].alias("done"))
         return F.when(acc["rid"].isNull(), alone).otherwise(merged)
 
     return F.aggregate(items, start, step)
@@ -102,26 +102,31 @@ def mix_sources(docs: DataFrame, seed: int = 17, leaf: int = LEAF, weights: tupl
         "doc_id", "source", "size", "nth", "source_size", "target", "n",
         F.when(F.col("size") > 0, whole).otherwise(0).cast("long").alias("base"),
         F.when(F.col("size") > 0, F.col("ratio") - whole).otherwise(0.0).alias("x"),
-        F.xxhash64("doc_id", "source", "size", "nth", F.lit(seed)).alias("uid"),
+        F.xxhash64("doc_id", "source", "size", "nth", F.lit(seed)).alias("draw"),
     )
+    # a hash deals and draws; a row is known by all its columns, so equal hashes of two rows do no harm
+    row = F.struct("draw", "doc_id", "nth", F.col("size").alias("words"))
+    kind = all_rows.select(row).schema[0].dataType.simpleString()
     leaves = F.greatest(F.ceil(F.col("n") / leaf), F.lit(1)).cast("long")
-    level = all_rows.where("x > 0").select("uid", "size", "x", F.xxhash64("source").alias("src"), F.pmod(F.xxhash64("uid", F.lit(seed + 1)), leaves).alias("leaf"))
+    level = all_rows.where("x > 0").select(row.alias("id"), "size", "x", "source", F.pmod(F.xxhash64("draw", F.lit(seed + 1)), leaves).alias("leaf"))
     settled = None
     most = targets.agg(F.max(leaves)).first()[0] or 1
     depth = 0
     while True:
-        folded = level.groupBy("src", "leaf").agg(F.sort_array(F.collect_list(F.struct("uid", "size", "x"))).alias("items"))
-        folded = durable(folded.select("src", "leaf", _pivot(F.col("items"), seed, F.lit(depth)).alias("f")))
-        done = folded.select(F.explode("f.done").alias("d")).select("d.uid", "d.up")
+        folded = level.groupBy("source", "leaf").agg(F.sort_array(F.collect_list(F.struct("id", "size", "x"))).alias("items"))
+        folded = durable(folded.select("source", "leaf", _pivot(F.col("items"), seed, F.lit(depth), kind).alias("f")))
+        done = folded.select("source", F.explode("f.done").alias("d")).select("source", "d.id", "d.up")
         settled = done if settled is None else settled.unionAll(done)
-        residual = folded.select("src", "leaf", F.col("f.rid").alias("uid"), F.col("f.rsize").alias("size"), F.col("f.rx").alias("x"))
+        residual = folded.select("source", "leaf", F.col("f.rid").alias("id"), F.col("f.rsize").alias("size"), F.col("f.rx").alias("x"))
         if most <= 1:
-            draw = F.pmod(F.xxhash64("uid", F.lit(seed + 2)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-            settled = settled.unionAll(residual.select("uid", (draw < F.col("x")).cast("int").alias("up")))
+            draw = F.pmod(F.xxhash64("id.draw", F.lit(seed + 2)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+            settled = settled.unionAll(residual.select("source", "id", (draw < F.col("x")).cast("int").alias("up")))
             break
         depth += 1
         most = -(-most // leaf)
-        level = residual.select("uid", "size", "x", "src", F.floor(F.col("leaf") / leaf).alias("leaf"))
-    out = all_rows.join(settled, "uid", "left")
+        level = residual.select("id", "size", "x", "source", F.floor(F.col("leaf") / leaf).alias("leaf"))
+    settled = settled.select(F.col("source").alias("s2"), F.col("id.draw").alias("draw2"), F.col("id.doc_id").alias("d2"), F.col("id.nth").alias("n2"), F.col("id.words").alias("w2"), "up")
+    same = (F.col("draw") == F.col("draw2")) & (F.col("nth") == F.col("n2")) & (F.col("size") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s2"))
+    out = all_rows.join(settled, same, "left")
     copies = F.col("base") + F.coalesce("up", F.lit(0))
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
