@@ -13,8 +13,10 @@ Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z is folded, compared by
 fewer words, but not none, is one window. Defined results: a null or empty
 text has no words and no hits; items without words or without an id are left
 out; items with equal ids are one; equal rows get equal results; extra columns
-are ignored. Test windows go to every executor in blocks of ``BLOCK_WORDS``
-words, one pass over the same stage for each block.
+are ignored. Test windows go to every executor in blocks of at most
+``BLOCK_WORDS`` words (or one item), one search for each block; after
+``PASS_BLOCKS`` blocks the texts and what was found are written down, so
+neither the driver nor a task ever holds more blocks than that.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, unused
+from .common import small_batches, stored, unused
 from .textscan import ALNUM, Words, slices
 
-WIDTH, BLOCK_WORDS, SAMPLE = 10, 2_000_000, 8
+WIDTH, BLOCK_WORDS, PASS_BLOCKS, SAMPLE = 10, 2_000_000, 4, 8
 _U = np.uint64
 
 
@@ -119,25 +121,33 @@ class FMIndex:
 class Windows:
     """Distinct windows of a block of items, by length, and the items they belong to."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], width: int):
-        seen: dict[bytes, set[str]] = defaultdict(set)
-        for name, h in items:
-            for i in range(max(1, len(h) - width + 1)):
-                seen[h[i : i + width].tobytes()].add(name)
-        flat = [np.frombuffer(k, dtype=np.uint64) for k in seen]
-        self.vocab = np.unique(np.concatenate(flat)) if flat else np.zeros(0, np.uint64)
+    def __init__(self, names: list[str], hashes: list[np.ndarray], width: int):
+        size = np.array([len(h) for h in hashes], dtype=np.int64)
+        self.vocab, sym = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
         self.probe = np.zeros(1 << 16, dtype=bool)
         self.probe[(self.vocab >> _U(48)).astype(np.int64)] = True
-        groups = defaultdict(list)
-        for k, names in seen.items():
-            groups[len(k) // 8].append((np.searchsorted(self.vocab, np.frombuffer(k, dtype=np.uint64)) + 1, sorted(names)))
-        self.groups = {n: (np.array([g[0] for g in v], dtype=np.int64), [g[1] for g in v]) for n, v in groups.items()}
+        sym, first = sym.astype(np.int32) + 1, np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        self.names = np.array(names, dtype=object)
+        #: length: (windows, bounds of each one's items in the third, positions in ``names``)
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         pairs = [np.zeros(0, np.int64)]
-        for p, _ in self.groups.values():
-            pairs.append((p[:, :-1] * (len(self.vocab) + 1) + p[:, 1:]).ravel())
+        of = np.minimum(size, width)
+        for k in np.unique(of).tolist():
+            on = np.flatnonzero(of == k)
+            count = size[on] - k + 1
+            item = np.repeat(on, count)
+            at = np.repeat(first[on] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            patterns, which = np.unique(sym[at[:, None] + np.arange(k)], axis=0, return_inverse=True)
+            owners = np.unique(np.stack([which.ravel(), item]), axis=1)
+            self.groups[k] = (patterns, np.searchsorted(owners[0], np.arange(len(patterns) + 1)), owners[1])
+            pairs.append(np.unique(patterns[:, :-1].astype(np.int64) * (len(self.vocab) + 1) + patterns[:, 1:]))
         self.pairs = np.unique(np.concatenate(pairs))
         self.shortest = min(self.groups, default=1)
 
+    def items(self, group: int, pattern: int) -> list[str]:
+        _, bounds, owners = self.groups[group]
+        return self.names[owners[bounds[pattern] : bounds[pattern + 1]]].tolist()
+
     def symbols(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), dtype=np.int64)
         maybe = np.flatnonzero(self.probe[(h >> _U(48)).astype(np.int64)])
@@ -184,18 +194,19 @@ def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], end[np.append(first[1:], len(start)) - 1]
 
 
-def _blocks(benchmark: DataFrame, width: int, block_words: int) -> list[Windows]:
-    """Windows of the benchmark, streamed to the driver and cut into blocks of bounded size."""
-    out, held, n = [], [], 0
+def _blocks(benchmark: DataFrame, width: int, block_words: int) -> Iterator[Windows]:
+    """Windows of the benchmark in blocks of bounded size, made one after the other from a stream of items; one without windows for none."""
+    names, hashes, n = [], [], 0
     for row in benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         words = [Words(s, ALNUM, fold=True).hash for s in slices(pa.array([row[1]], pa.string()))][0]
         if len(words):
-            held.append((row[0], words))
+            if names and n + len(words) > block_words:
+                yield Windows(names, hashes, width)
+                names, hashes, n = [], [], 0
+            names.append(row[0])
+            hashes.append(words)
             n += len(words)
-            if n >= block_words:
-                out.append(Windows(held, width))
-                held, n = [], 0
-    return [*out, Windows(held, width)] if held or not out else out
+    yield Windows(names, hashes, width)
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
@@ -226,7 +237,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block
                 found: dict[int, tuple[list, set]] = defaultdict(lambda: ([], set()))
                 if len(text) > 1:
                     fm = FMIndex(text, len(block.vocab) + 1)
-                    for n, (patterns, names) in block.groups.items():
+                    for n, (patterns, _, _) in block.groups.items():
                         lo, hi = fm.search(patterns)
                         got = np.repeat(np.arange(len(lo)), hi - lo)
                         if not len(got):
@@ -236,7 +247,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block
                         doc, word = owner[at], index[at]
                         pair = np.unique(np.stack([doc, got]), axis=1)
                         for d, p in pair.T.tolist():
-                            found[d][1].update(names[p])
+                            found[d][1].update(block.items(n, p))
                         order = np.argsort(doc, kind="stable")
                         cuts = np.flatnonzero(np.diff(doc[order])) + 1
                         for part in np.split(order, cuts):
@@ -259,7 +270,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block
         return run
 
     out = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(runs).alias("hits"), F.array().cast("array<string>").alias("items"), *carry)
-    for block in _blocks(benchmark, width, block_words):
+    for n, block in enumerate(_blocks(benchmark, width, block_words)):
+        if n and n % PASS_BLOCKS == 0:
+            out = stored(out, "searched")
         out = out.mapInArrow(search(block), schema)
     return out
 
