@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_model, toxicity
+from .byte_bpe import Vocabulary, decode, encode
 from .common import table, work_dir
 from .decontaminate import decontaminate
+from .filter_audit import audit_documents
 from .jaccard_join import near_duplicates
 from .license_scan import scan_licenses
 from .lm_score import stupid_backoff
@@ -17,6 +19,7 @@ from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .suffix_dedup import remove_repeats
 from .token_counts import Tokenizer, TokenRollup
+from .vector_codes import vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +87,24 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256).drop("label")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, offsets=False)
+    digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    rows = decode(rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids"), vocabulary)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -101,6 +122,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_score": op9_lm_score,
     "op10_mix_sources": op10_mix_sources,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_byte_bpe": op13_byte_bpe,
     "pipeline": pipeline,
 }
 
@@ -143,3 +167,25 @@ q AS (SELECT p.doc_id, p.v, u.n - du.n AS one, coalesce(b.n - db.n, 0) AS two, c
   LEFT JOIN u c ON c.x = p.v LEFT JOIN du dc ON dc.doc_id = p.doc_id AND dc.x = p.v, z),
 s AS (SELECT doc_id, sum(CASE WHEN two > 0 THEN ln(two / context) ELSE ln(CASE WHEN one > 0 THEN one ELSE 0.5::DOUBLE END / size) + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END) AS s FROM q GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(CASE WHEN len(w) > 0 THEN s / len(w) ELSE 0 END, 6) AS mean_log_score FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
+
+
+ORACLES["op12_filter_audit"] = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) | (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+  | (CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) THEN 4 ELSE 0 END) | (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+  | (CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS fails FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step - 1]) AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o) q),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails),
+c AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN fails & (coalesce(before, 0)::INT | bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN fails & bit > 0 AND fails & coalesce(before, 0)::INT = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN fails & bit > 0 AND fails & coalesce(before, 0)::INT > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN fails & bit > 0 AND fails & coalesce(before, 0)::INT = 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN fails & bit > 0 AND fails & coalesce(before, 0)::INT = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM c"""
