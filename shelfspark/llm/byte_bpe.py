@@ -26,13 +26,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from .common import small_batches, unused
@@ -188,13 +188,20 @@ def _lists(n: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values, kind))
 
 
+def _mapped(df: DataFrame, rest: list[T.StructField], last: Column, run: Callable, made: list[T.StructField]) -> DataFrame:
+    """``run`` over the columns ``rest`` and ``last``, which ``made`` replace. Columns travel by number, as names may hold anything."""
+    columns = [df[f"`{f.name.replace('`', '``')}`"] for f in rest]
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate([*rest, *made])])
+    rows = small_batches(df).select(*[c.alias(f"c{i}") for i, c in enumerate([*columns, last])])
+    return rows.mapInArrow(lambda batches: run(batches, inner.names), inner).toDF(*[f.name for f in [*rest, *made]])
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", offsets: bool = True) -> DataFrame:
     """``df`` with ``ids`` in place of the column ``text``; ``starts`` and ``ends`` are the characters each token touches."""
     names = unused(df.drop(text), "ids", "starts", "ends")[: 3 if offsets else 1]
     rest = [f for f in df.schema.fields if f.name != text]
-    schema = T.StructType(rest + [T.StructField(n, T.ArrayType(T.IntegerType(), False), False) for n in names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
         model = vocabulary.model()
         for batch in batches:
             texts = _texts(batch.column(len(rest)))
@@ -209,18 +216,17 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", offsets: b
                 else:
                     n, values = model.encode(texts[lo:hi], offsets)
                 held = batch.slice(lo, hi - lo).columns[: len(rest)]
-                yield pa.RecordBatch.from_arrays([*held, *(_lists(n, v, pa.int32()) for v in values)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*held, *(_lists(n, v, pa.int32()) for v in values)], names=columns)
 
-    return small_batches(df).select(*[df[f"`{f.name}`"] for f in rest], df[f"`{text}`"].cast("string")).mapInArrow(run, schema)
+    return _mapped(df, rest, df[f"`{text}`"].cast("string"), run, [T.StructField(n, T.ArrayType(T.IntegerType(), False), False) for n in names])
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", as_text: bool = False) -> DataFrame:
     """``df`` with ``decoded``, the bytes of ``ids``, in their place; ``as_text`` adds ``decoded_text``, where a character of which tokens are missing is U+FFFD."""
     names = unused(df.drop(ids), "decoded", "decoded_text")[: 2 if as_text else 1]
     rest = [f for f in df.schema.fields if f.name != ids]
-    schema = T.StructType([*rest, T.StructField(names[0], T.BinaryType(), False), *([T.StructField(names[1], T.StringType(), False)] if as_text else [])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
         model = vocabulary.model()
         for batch in batches:
             column = batch.column(len(rest))
@@ -231,6 +237,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", as_text: boo
                 ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
                 out = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
                 made = [out, pa.array([b.decode("utf-8", "replace") for b in out.to_pylist()], pa.string())] if as_text else [out]
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, 200).columns[: len(rest)], *made], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, 200).columns[: len(rest)], *made], names=columns)
 
-    return small_batches(df).select(*[df[f"`{f.name}`"] for f in rest], df[f"`{ids}`"].cast("array<int>")).mapInArrow(run, schema)
+    kinds = (T.BinaryType(), T.StringType())
+    return _mapped(df, rest, df[f"`{ids}`"].cast("array<int>"), run, [T.StructField(n, k, False) for n, k in zip(names, kinds, strict=False)])
