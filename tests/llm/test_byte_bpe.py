@@ -34,7 +34,7 @@ def test_texts_of_all_kinds(vocabulary, plain):
         mixed = b"".join(dice.choice(tokens) for _ in range(8)).decode("utf-8", "replace")
         repeat = (dice.choice(tokens) * dice.randint(1, 12)).decode("utf-8", "replace")
         texts.append((run, mixed, repeat)[k % 3])
-    n, (ids,) = model.encode(texts, False)
+    n, (ids,) = model.encode(texts)
     want = [plain.encode_ordinary(t) for t in texts]
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
@@ -43,8 +43,10 @@ def test_settled_characters_are_split_alike(vocabulary):
     model = vocabulary.model()
     for c in map(chr, [*range(0x530), *range(0x2000, 0x2070), *range(0x3030, 0x3100), *range(0x4E00, 0xA000, 5), *range(0xAC00, 0xD7B0, 5)]):
         text = f"a{c}a {c}1{c} {c}{c}  {c}."
+        exact = [p for p, _ in model.split_exactly(text)]
+        assert model.pieces(text) == exact, hex(ord(c))
         if not model.unsettled(text):
-            assert model.split(text) == [p for p, _ in model.split_exactly(text)], hex(ord(c))
+            assert model.split(text) == exact, hex(ord(c))
 
 
 def test_long_texts_in_parts(spark, vocabulary, plain, monkeypatch):
@@ -53,7 +55,7 @@ def test_long_texts_in_parts(spark, vocabulary, plain, monkeypatch):
     monkeypatch.setattr(byte_bpe, "GROUP", 64)
     parts = list(model.parts(long))
     assert "".join(parts) == long and len(parts) > 100
-    assert [i for p in parts for i in model.encode([p], True)[1][0].tolist()] == plain.encode_ordinary(long)
+    assert [i for p in parts for i in model.encode([p])[1][0].tolist()] == plain.encode_ordinary(long)
     million = spark.createDataFrame([(1, "x" * 1_000_000), (2, "lorem ipsum " * 150_000), (3, " " * 400_000)], "doc_id long, text string")
     got = {r.doc_id: r for r in byte_bpe.decode(byte_bpe.encode(million, vocabulary), vocabulary).collect()}
     assert {k: len(bytes(r.decoded)) for k, r in got.items()} == {1: 1_000_000, 2: 1_800_000, 3: 400_000}
