@@ -22,8 +22,8 @@ _AUTH = "SELECT book_id, name FROM book_authors JOIN authors ON id = author_id W
 _KNOWN = "SELECT id, title FROM books WHERE id % 2 = 0"
 
 
-def _fuzzy(c: Catalog) -> DataFrame:
-    return D.fuzzy_duplicates(shared_sql(c, _NEW), shared_sql(c, _KNOWN), shared_sql(c, _AUTH))
+def _fuzzy(c: Catalog, block_rows: int | None = D.BLOCK_ROWS) -> DataFrame:
+    return D.fuzzy_duplicates(shared_sql(c, _NEW), shared_sql(c, _KNOWN), shared_sql(c, _AUTH), block_rows)
 
 
 _N1 = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -36,6 +36,17 @@ _FUZZY = f"""
       WHERE p.ts >= 0.7) q WHERE asim >= 0.6 OR ts >= 0.9) z WHERE rn = 1"""
 add("dup_fuzzy", lambda c: _fuzzy(c).withColumns({k: rounded(k) for k in ("title_similarity", "author_similarity")}), f"SELECT id, existing_id, round(title_similarity::DOUBLE, 6) AS title_similarity, round(author_similarity::DOUBLE, 6) AS author_similarity FROM ({_FUZZY}) y")
 add("dup_auto_link", lambda c: D.auto_links(_fuzzy(c), c.books.select("id", F.expr("case id % 3 when 1 then 'cbz' else 'epub' end").alias("format")), c.book_files), f"SELECT y.id, y.existing_id, CASE y.id % 3 WHEN 1 THEN 'cbz' ELSE 'epub' END AS format FROM ({_FUZZY}) y WHERE title_similarity >= 0.85 AND author_similarity >= 0.8 AND NOT EXISTS (SELECT 1 FROM book_files f WHERE f.book_id = y.existing_id AND f.format = CASE y.id % 3 WHEN 1 THEN 'cbz' ELSE 'epub' END)")
+#: All known books, whatever their titles begin with: titles and names are compared once for each distinct pair, as in plain nested loops.
+_EXACT = f"""
+    WITH n AS MATERIALIZED (SELECT id, {_NT.format('title')} AS x, coalesce({_N1.format('author')}, '') AS p FROM ({_NEW}) a), k AS MATERIALIZED (SELECT id AS existing_id, {_NT.format('title')} AS t FROM ({_KNOWN}) b),
+    l AS MATERIALIZED (SELECT DISTINCT book_id AS existing_id, {_N1.format('name')} AS q FROM ({_AUTH}) c),
+    tt AS MATERIALIZED (SELECT x, t, {_tri('x', 't')} AS ts FROM (SELECT DISTINCT x FROM n WHERE strlen(x) >= 3) u, (SELECT DISTINCT t FROM k WHERE t <> '') v WHERE {_tri('x', 't')} >= 0.7),
+    aa AS MATERIALIZED (SELECT p, q, {_tri('p', 'q')} AS like_ FROM (SELECT DISTINCT p FROM n) u, (SELECT DISTINCT q FROM l) v),
+    c AS (SELECT n.id, k.existing_id, tt.ts, CASE WHEN n.p = '' AND max(l.q) IS NULL THEN 1.0 WHEN n.p = '' OR max(l.q) IS NULL THEN 0.0 ELSE max(aa.like_) END AS asim
+      FROM n JOIN tt ON tt.x = n.x JOIN k ON k.t = tt.t AND k.existing_id <> n.id LEFT JOIN l ON l.existing_id = k.existing_id LEFT JOIN aa ON aa.p = n.p AND aa.q = l.q GROUP BY n.id, k.existing_id, tt.ts, n.p)
+    SELECT id, existing_id, round(ts::DOUBLE, 6) AS title_similarity, round(asim::DOUBLE, 6) AS author_similarity FROM (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN asim >= 0.6 THEN 0 ELSE 1 END, CASE WHEN asim >= 0.6 THEN ts + asim ELSE ts END DESC, existing_id) AS rn FROM c WHERE asim >= 0.6 OR ts >= 0.9) z WHERE rn = 1"""
+add("dup_fuzzy_exact", lambda c: _fuzzy(c, None).withColumns({k: rounded(k) for k in ("title_similarity", "author_similarity")}), f"SELECT * FROM ({_EXACT}) exact")
 _OLD = "SELECT id + 1 AS book_id_a, id AS book_id_b FROM books WHERE id % 8 = 0"
 add("dup_link_rows", lambda c: D.link_rows(_fuzzy(c), shared_sql(c, _OLD)).withColumn("confidence", rounded("confidence")), f"SELECT existing_id AS book_id_a, id AS book_id_b, round(((title_similarity + author_similarity) / 2)::DOUBLE, 6) AS confidence FROM ({_FUZZY}) y WHERE NOT EXISTS (SELECT 1 FROM ({_OLD}) o WHERE least(o.book_id_a, o.book_id_b) = least(y.id, y.existing_id) AND greatest(o.book_id_a, o.book_id_b) = greatest(y.id, y.existing_id))")
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_author, normalize_title, trigram_similarity
+from ..sources.work import stored
 from .library import latest
+from .similarity import similar_strings
 
 # Likeness that matches, that links by itself, and that is enough for a title without an author.
 TITLE_MATCH, AUTHOR_MATCH, TITLE_LINK, AUTHOR_LINK, TITLE_ONLY = 0.7, 0.6, 0.85, 0.8, 0.9
@@ -34,16 +36,8 @@ def _scored(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return pairs.join(seen, [a, b])
 
 
-def fuzzy_duplicates(incoming: DataFrame, existing: DataFrame, links: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, existing_id, title_similarity, author_similarity) of the best duplicate of ``incoming(id, title, author)``.
-
-    ``existing(id, title)`` and its authors ``links(book_id, name)``. Books
-    meet in blocks of the first three characters of their normalised titles, of
-    which the ``block_rows`` lowest ids are compared (shorter titles meet
-    nothing), so a frequent beginning costs no more than a rare one. The best
-    match by title and author wins, else the best by title alone; ties go to
-    the lowest id.
-    """
+def _in_blocks(incoming: DataFrame, existing: DataFrame, links: DataFrame, block_rows: int) -> DataFrame:
+    """The best duplicate among the ``block_rows`` lowest ids of those whose titles begin alike."""
     block = lambda c: F.when(F.octet_length(c) >= 3, F.substring(c, 1, 3))
     known = existing.select(F.col("id").alias("existing_id"), normalize_title(F.col("title")).alias("t")).withColumn("block", block(F.col("t"))).where("block is not null")
     known = latest(known, "block", "existing_id", n=block_rows).drop("rn")
@@ -60,6 +54,58 @@ def fuzzy_duplicates(incoming: DataFrame, existing: DataFrame, links: DataFrame,
     return latest(both, "id", *order).select("id", "existing_id", "title_similarity", "author_similarity")
 
 
+def fuzzy_duplicates(incoming: DataFrame, existing: DataFrame, links: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """(id, existing_id, title_similarity, author_similarity) of the best duplicate of ``incoming(id, title, author)``.
+
+    ``existing(id, title)`` and its authors ``links(book_id, name)``. Titles of
+    less than three bytes, normalised, meet nothing. The best match by title
+    and author wins, else the best by title alone; ties go to the lowest id.
+
+    All known books are compared, by joins on distinct titles and names only:
+    what grows with the books of one title are their distinct authors, of
+    which each keeps its two lowest ids. With ``block_rows`` only so many of
+    the lowest ids are compared whose titles begin with the same three
+    characters. Repeated incoming rows of an id are one if equal.
+    """
+    if block_rows is not None:
+        return _in_blocks(incoming, existing, links, block_rows)
+    new = incoming.select("id", normalize_title(F.col("title")).alias("x"), F.coalesce(normalize_author(F.col("author")), F.lit("")).alias("p")).where(F.octet_length("x") >= 3).distinct()
+    known = existing.select(F.col("id").alias("existing_id"), normalize_title(F.col("title")).alias("t")).where("t is not null and t <> ''")
+    names = links.select(F.col("book_id").alias("existing_id"), normalize_author(F.col("name")).alias("q")).where("q is not null").distinct()
+    new, written = stored(new, "incoming"), stored(known.join(names, "existing_id", "left"), "known")
+    titles = stored(similar_strings(new.select("x"), written.select("t"), TITLE_MATCH).select(F.col("a").alias("x"), F.col("b").alias("t"), F.col("likeness").alias("title_similarity")), "titles")
+    authors = stored(similar_strings(new.select("p"), written.where("q is not null").select("q"), AUTHOR_MATCH).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("likeness").alias("author_similarity")), "authors")
+    pairs = new.select("x", "p").distinct().join(titles, "x")
+    full = pairs.join(authors, "p").join(_two_lowest(written.where("q is not null"), "t", "q"), ["t", "q"]).select("x", "p", "existing_id", "title_similarity", "author_similarity")
+    full = full.unionByName(pairs.where("p = ''").join(_two_lowest(written.where("q is null"), "t"), "t").select("x", "p", "existing_id", "title_similarity", F.lit(1.0).alias("author_similarity")))
+    sure = stored(_best(new, full.withColumn("score", F.col("title_similarity") + F.col("author_similarity")), "x", "p"), "sure")
+    alone = titles.where(F.col("title_similarity") >= TITLE_ONLY).join(_two_lowest(written, "t"), "t")
+    rest = _best(new.join(sure.select("id"), "id", "left_anti"), alone.select("x", "existing_id", "title_similarity", F.lit(0.0).alias("author_similarity"), F.col("title_similarity").alias("score")), "x")
+    # a name that is alike enough would have been found above, so these likenesses are below AUTHOR_MATCH
+    named = rest.select("id", "p", "existing_id", "title_similarity").join(written.select("existing_id", "q"), "existing_id")
+    like = F.max(F.when((F.col("p") == "") | F.col("q").isNull(), 0.0).otherwise(trigram_similarity(F.col("p"), F.col("q"))))
+    rest = named.groupBy("id", "existing_id", "title_similarity").agg(like.alias("author_similarity"))
+    return sure.select(*_FOUND).unionByName(rest.select(*_FOUND))
+
+
+_FOUND = ("id", "existing_id", "title_similarity", "author_similarity")
+
+
+def _two_lowest(rows: DataFrame, *key: str) -> DataFrame:
+    """(key, existing_id): of each key the two lowest ids, since one may be the incoming book itself. Aggregates only, however many books share a title."""
+    first = rows.groupBy(*key).agg(F.min("existing_id").alias("lowest"))
+    second = rows.join(first, list(key)).where(F.col("existing_id") > F.col("lowest")).groupBy(*key).agg(F.min("existing_id").alias("existing_id"))
+    return first.withColumnRenamed("lowest", "existing_id").unionByName(second)
+
+
+def _best(new: DataFrame, found: DataFrame, *key: str) -> DataFrame:
+    """``new`` with the best other book of its key: the greatest score, then the lowest id."""
+    once = found.groupBy(*key, "existing_id").agg(F.max("score").alias("score"), F.max_by(F.struct("title_similarity", "author_similarity"), "score").alias("by"))
+    two = latest(once, list(key), F.col("score").desc(), "existing_id", n=2).drop("rn")
+    met = new.join(two, list(key)).where(F.col("id") != F.col("existing_id"))
+    return met.groupBy(*new.columns).agg(F.min(F.struct((-F.col("score")).alias("score"), "existing_id", "by")).alias("m")).select(*new.columns, "m.existing_id", "m.by.*")
+
+
 def auto_links(found: DataFrame, formats: DataFrame, files: DataFrame) -> DataFrame:
     """Fuzzy matches alike enough to become one more format of the known book, which lacks the format in ``formats(id, format)``."""
     sure = found.where((F.col("title_similarity") >= TITLE_LINK) & (F.col("author_similarity") >= AUTHOR_LINK)).join(formats, "id")
