@@ -264,4 +264,4 @@ _add("candidate_score", lambda c: R.scored(c.spark.sql(_PROPOSED.format("{books}
       coalesce(title_sim < 0.3, false) AS contradiction, coalesce(title_sim >= 0.3, false) AS title, coalesce(author_sim > 0.5, false) AS author FROM ({_PROPOSED.format("books")}) x""")
 
 # the other modules register their queries when imported
-from . import ingest_queries, library_queries, match_queries, review_queries, scalar_queries  # noqa: E402, F401
+from . import ingest_queries, library_queries, match_queries, plan_queries, review_queries, scalar_queries  # noqa: E402, F401

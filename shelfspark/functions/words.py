@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -211,16 +212,49 @@ def scan_confidence(base: Column, found: Column) -> Column:
 # --- languages ---------------------------------------------------------------------------------------------------
 
 
+@cache
+def _languages() -> dict[str, tuple[str, str, str]]:
+    """Two-letter code -> (three-letter code, English name, native name) of all languages that Java's ISO 639 tables know; ``LANGUAGES`` goes first."""
+    from pyspark import SparkContext
+
+    locale = SparkContext._active_spark_context._jvm.java.util.Locale
+    out = {row[0]: (row[1], row[3], row[4]) for row in LANGUAGES}
+    for code in locale.getISOLanguages():
+        own = locale(code)
+        if len(code) == 2 and own.toLanguageTag() == code:  # three old codes have become others
+            out.setdefault(str(code), (str(own.getISO3Language()), str(own.getDisplayLanguage(locale.ENGLISH)).lower(), str(own.getDisplayLanguage(own)).lower()))
+    return out
+
+
+@cache
+def _language_keys() -> dict[str, str]:
+    """Codes and names of every language, by the two-letter code each stands for; codes win over names."""
+    names = {n: code for code, row in _languages().items() for n in row[1:]}
+    return names | {row[2]: row[0] for row in LANGUAGES if row[2]} | {k: code for code, row in _languages().items() for k in (row[0], code)}
+
+
+def language_code(value: str) -> str | None:
+    """``normalize_language`` of one value."""
+    first = value.strip().lower()
+    return _language_keys().get(re.split("[-_]", first)[0].strip() if re.search("[-_]", first) else first)
+
+
 def normalize_language(c: Column, more: dict[str, str] | None = None) -> Column:
-    """Two-letter code of a code, tag or name of ``LANGUAGES`` (and of ``more``); unknown and ``und`` give null."""
-    table = {k: row[0] for row in LANGUAGES for k in row if k} | (more or {})
+    """Two-letter code of a code, tag or name of any ISO 639-1 language (and of ``more``); unknown and ``und`` give null."""
+    table = _language_keys() | (more or {})
     first = F.lower(F.trim(c))
     key = F.when(first.rlike("[-_]"), F.trim(F.regexp_extract(first, "^([^-_]*)", 1))).otherwise(first)
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
 def language_label(code: Column) -> Column:
-    return F.create_map(*[F.lit(x) for row in LANGUAGES for x in (row[0], row[3].title())])[code]
+    """English name of a two-letter code."""
+    return F.create_map(*[F.lit(x) for c, row in _languages().items() for x in (c, row[1].title())])[code]
+
+
+def is_language_code(code: Column) -> Column:
+    """Whether it is a two-letter code of ISO 639-1."""
+    return F.coalesce(code.isin(*_languages()), F.lit(False))
 
 
 # --- years, lists, provider strings ---------------------------------------------------------------------------------
