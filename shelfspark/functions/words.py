@@ -396,11 +396,31 @@ def completeness(title: Column, author: Column, series: Column, year: Column) ->
     return reduce(lambda a, b: a + b, [F.when(c.isNotNull(), w).otherwise(0.0) for c, w in ((title, 0.4), (author, 0.3), (series, 0.15), (year, 0.15))])
 
 
+# What no file name may hold, what is dropped from it, names that systems keep for themselves, bytes of a name.
+UNSAFE, DROPPED = r'[<>:"/\\|?*]+', r"[\x00-\x1F\x7F-\x9F؜‎‏‪-‮⁦-⁩]+"
+RESERVED = r"(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\..*)?$"
+NO_NAME, NAME_BYTES = "_unknown", 255
+
+
+def path_component(c: Column) -> Column:
+    """One safe name: runs of unsafe characters become ``_``, control and reordering ones go, blanks are single, no dots or blanks at the end; nothing left gives ``_unknown``; at most 255 bytes, of which an extension is kept."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), DROPPED, ""), r"(?U)\s+", " ")
+    bare = F.regexp_replace(F.regexp_replace(t, UNSAFE, ""), "[ .]+", "")
+    t = F.regexp_replace(F.regexp_replace(F.trim(t), UNSAFE, "_"), "[ .]+$", "")
+    t = F.when(t.rlike(RESERVED), F.regexp_replace(t, r"^([^.]*)", "$1_")).otherwise(t)
+    end = F.regexp_extract(t, r"[^.](\.[^. ]{1,16})$", 1)
+    cut = F.substring(t.cast("binary"), F.lit(1), F.lit(NAME_BYTES) - F.octet_length(end)).cast("string")
+    # a character cut in two goes as a whole
+    short = F.concat(F.regexp_replace(F.make_valid_utf8(cut), "�+$", ""), end)
+    return F.when(bare == "", NO_NAME).when(F.octet_length(t) > NAME_BYTES, short).otherwise(t)
+
+
 def storage_path(author: Column, title: Column, filename: Column) -> Column:
-    """``L/author/title/file``; characters that no file system takes become ``_``."""
-    safe = lambda c: F.regexp_replace(F.trim(c), r'[/\\:*?"<>|\x00-\x1F]', "_")
-    letter = F.when(safe(author).rlike(r"^\p{IsAlphabetic}"), F.upper(F.substring(safe(author), 1, 1))).otherwise(F.lit("_"))
-    return F.concat_ws("/", letter, safe(author), safe(title), safe(filename))
+    """``L/author/title/file`` of safe names; ``_`` stands for a first character that is no letter."""
+    who = path_component(author)
+    first = F.substring(who, 1, 1)
+    letter = F.when(first.rlike(r"^\p{IsAlphabetic}$"), F.upper(first)).otherwise("_")
+    return F.concat_ws("/", letter, who, path_component(title), path_component(filename))
 
 
 # --- likeness -----------------------------------------------------------------------------------------------------------------

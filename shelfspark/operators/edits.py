@@ -83,9 +83,9 @@ def bulk_updated(books: DataFrame, ids: DataFrame, **values: Column) -> DataFram
     return out.withColumns({**new, "user_fields": F.when(F.col("hit"), F.lit(",".join(sorted(values))))}).drop("hit")
 
 
-def flattened_tasks(tasks: DataFrame) -> DataFrame:
-    """Tasks whose parent has a parent hang from that one; one level is lifted."""
-    up = tasks.select(F.col("id").alias("parent_task_id"), F.col("parent_task_id").alias("grand"))
+def flattened_tasks(tasks: DataFrame, middle: str = "scan_isbn") -> DataFrame:
+    """Tasks whose parent is of the type ``middle`` and has a parent hang from that one; one level is lifted."""
+    up = tasks.where(F.col("task_type") == middle).select(F.col("id").alias("parent_task_id"), F.col("parent_task_id").alias("grand"))
     return tasks.join(up, "parent_task_id", "left").withColumn("parent_task_id", F.coalesce("grand", "parent_task_id")).drop("grand").select(*tasks.columns)
 
 

@@ -230,10 +230,10 @@ def resolve(query: str, catalog, explicit: BookFilter | None = None) -> tuple[Bo
             scalar(c, {"resolution": "state"}.get(c.name, c.name), {"format": FORMATS, "status": STATUSES, "resolution": STATES, "outcome": OUTCOMES}.get(c.name))
         elif c.name in ("trusted", "locked"):
             truth = {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}.get(c.value.lower())
-            if truth is None:
-                warn.append(("InvalidValue", f"{c.name}:{c.value}"))
+            if truth is None or c.negated:
+                warn.append(("InvalidValue", f"{'-' if c.negated else ''}{c.name}:{c.value}"))
             else:
-                got[c.name] = truth != c.negated
+                got[c.name] = truth
         elif c.name == "year":
             span = year_range(c.value)
             if span is None or c.negated:
@@ -241,21 +241,26 @@ def resolve(query: str, catalog, explicit: BookFilter | None = None) -> tuple[Bo
             else:
                 got["year_min"], got["year_max"] = span
         elif c.name in ("has", "missing"):
-            key = {"cover": "has_cover", "description": "has_description", "identifiers": "has_identifiers", "identifier": "has_identifiers"}.get(c.value.lower())
+            key = {"cover": "has_cover", "description": "has_description", "desc": "has_description", "ids": "has_identifiers", "identifiers": "has_identifiers", "identifier": "has_identifiers"}.get(c.value.lower())
             if key is None:
                 warn.append(("InvalidValue", f"{c.name}:{c.value}"))
             else:
                 got[key] = not (c.negated != (c.name == "missing"))
-        elif "identifier" not in got:
+        else:
             kind, colon, value = c.value.partition(":")
-            got["identifier"] = (kind, value) if colon else (None, c.value)
+            kind, value = canonical_identifier(kind.strip() if colon else None, value if colon else c.value)
+            if c.negated or not value or (colon and not is_identifier_type(kind)):
+                warn.append(("InvalidValue", f"{'-' if c.negated else ''}{c.name}:{c.value}"))
+            else:
+                got.setdefault("identifier", (kind, value))
     text = " ".join(words)
     if text and not re.search(r"\w|[+#]", re.sub(r"\b(OR|NOT)\b", "", text)):
         warn.append(("NoSearchableTerms", text))
         text = ""
     if text:
         got["text"] = text
-    merged = replace(base, **{k: v for k, v in got.items() if getattr(base, k) in (None, (), False)})
+    unset = lambda k: k == "text" or getattr(base, k) is None or getattr(base, k) == ()
+    merged = replace(base, **{k: v for k, v in got.items() if unset(k)}).canonical()
     if (parsed.clauses or parsed.empty_fields) and not got:
         merged = replace(merged, matches_nothing=True)
     return merged, warn

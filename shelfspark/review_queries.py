@@ -125,7 +125,8 @@ _FOUND = "SELECT l_partkey AS book_id, l_orderkey * 10 + l_linenumber AS ordinal
 add("scanned_once", lambda c: E.first_identifiers(shared_sql(c, _FOUND).groupBy("book_id", "ordinal", "identifier_type").agg(F.min("value").alias("value"))).select("book_id", "value", "ordinal"), f"""
     SELECT book_id, value, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ordinal) AS nth FROM (SELECT book_id, value, min(ordinal) AS ordinal FROM (SELECT book_id, ordinal, min(value) AS value FROM ({_FOUND}) f GROUP BY book_id, ordinal) g GROUP BY book_id, value) x) y WHERE nth <= 5""")
 add("bulk_update", lambda c: E.bulk_updated(c.books, c.books.where("id % 4 = 1"), language=F.lit("de"), rating=F.lit(3.0)).select("id", "language", "rating", "user_fields"), "SELECT id, CASE WHEN id % 4 = 1 THEN 'de' ELSE language END AS language, CASE WHEN id % 4 = 1 THEN 3.0::DOUBLE ELSE rating END AS rating, CASE WHEN id % 4 = 1 THEN 'language,rating' END AS user_fields FROM books")
-add("flatten_tasks", lambda c: E.flattened_tasks(c.tasks.withColumn("parent_task_id", F.expr("case when id < 5 then null when id < 20 then id % 5 else parent_task_id end"))).select("id", "parent_task_id"), "WITH t AS (SELECT id, CASE WHEN id < 5 THEN NULL WHEN id < 20 THEN id % 5 ELSE parent_task_id END AS p FROM tasks) SELECT t.id, coalesce(u.p, t.p) AS parent_task_id FROM t LEFT JOIN t u ON u.id = t.p".replace("WITH t AS", "/*cte*/ t AS"))
+_TREE = "SELECT id, CASE task_type WHEN 'click' THEN 'scan_isbn' WHEN 'error' THEN 'scan_isbn' ELSE task_type END AS task_type, CASE WHEN id < 5 THEN NULL WHEN id < 20 THEN id % 5 ELSE parent_task_id END AS parent_task_id FROM tasks"
+add("flatten_tasks", lambda c: E.flattened_tasks(shared_sql(c, _TREE)).select("id", "parent_task_id"), f"SELECT t.id, coalesce(CASE WHEN u.task_type = 'scan_isbn' THEN u.parent_task_id END, t.parent_task_id) AS parent_task_id FROM ({_TREE}) t LEFT JOIN ({_TREE}) u ON u.id = t.parent_task_id")
 _TASKS = "SELECT id, status, 0 AS progress, CASE WHEN id % 2 = 0 THEN created_at END AS started_at, CASE WHEN id % 6 = 0 THEN created_at END AS completed_at FROM tasks"
 _CH = "SELECT id, CASE id % 3 WHEN 0 THEN 'running' ELSE 'completed' END AS status, CASE WHEN id % 4 = 0 THEN NULL ELSE 50 END AS progress, created_at AS moment FROM tasks WHERE id % 5 = 0"
 add("task_update", lambda c: E.updated_tasks(shared_sql(c, _TASKS), shared_sql(c, _CH)).select("id", "status", F.col("progress").cast("int").alias("progress"), "started_at", "completed_at"), f"""

@@ -88,7 +88,7 @@ scalar("filename_parse", f"{_FILE} AS t", W.parse_filename, _FILE_SQL)
 _DIR = "CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Bob_Kay/' WHEN 2 THEN '/in/Bob_Kay/Blue Moon/' WHEN 3 THEN '/Media/inbox/' ELSE '/x/Bob Kay/0f0f0f0f-1111-2222-3333-aaaaaaaaaaaa/' END"
 scalar("path_parse", f"concat({_DIR}, {_FILE}) AS t", lambda t: {k: v for k, v in W.parse_path(t).items() if k in ("author", "title")}, "author := CASE WHEN id % 6 < 3 THEN 'Ann Lee' WHEN id % 5 IN (1, 2, 4) THEN 'Bob Kay' END; title := CASE WHEN id % 6 = 5 AND id % 5 = 2 THEN 'Blue Moon' WHEN id % 6 = 4 AND id % 5 = 2 THEN 'Blue Moon' ELSE 'Red Ring' END")
 scalar("completeness", "CASE WHEN id % 2 = 0 THEN title END AS t ;; CASE WHEN id % 3 = 0 THEN title END AS a ;; CASE WHEN id % 5 = 0 THEN title END AS s ;; publication_year AS y", lambda t, a, s, y: F.round(W.completeness(t, a, s, y), 6), "round((CASE WHEN t IS NULL THEN 0 ELSE 0.4 END + CASE WHEN a IS NULL THEN 0 ELSE 0.3 END + CASE WHEN s IS NULL THEN 0 ELSE 0.15 END + CASE WHEN y IS NULL THEN 0 ELSE 0.15 END)::DOUBLE, 6)")
-scalar("storage_path", "CASE id % 3 WHEN 0 THEN '42 Authors' WHEN 1 THEN '' ELSE 'ann lee' END AS a ;; concat(title, '?') AS t", lambda a, t: W.storage_path(a, t, F.lit("book.epub")), "concat(CASE id % 3 WHEN 2 THEN 'A' ELSE '_' END, '/', a, '/', regexp_replace(t, '[/\\\\:*?\"<>|]', '_', 'g'), '/book.epub')")
+scalar("storage_path", "CASE id % 3 WHEN 0 THEN '42 Authors' WHEN 1 THEN '' ELSE 'ann lee' END AS a ;; concat(title, '?') AS t", lambda a, t: W.storage_path(a, t, F.lit("book.epub")), "concat(CASE id % 3 WHEN 2 THEN 'A' ELSE '_' END, '/', CASE a WHEN '' THEN '_unknown' ELSE a END, '/', regexp_replace(t, '[/\\\\:*?\"<>|]+', '_', 'g'), '/book.epub')")
 _A, _B = _NT.format("a"), _NT.format("b")
 _TWO = "title AS a ;; CASE id % 4 WHEN 0 THEN concat('The ', title, ' again') WHEN 1 THEN reverse(title) WHEN 2 THEN '' ELSE concat(substring(title, 1, 5), ' other end') END AS b"
 # pairs without an odd number of transpositions, of which the oracle's engine drops half a one

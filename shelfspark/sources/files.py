@@ -34,7 +34,11 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
     either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
     glob = "*.{" + ",".join(map(either, extensions)) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return files.where(~F.col("path").rlike(r"/\.[^/]")).select("path", "length", "content")
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    # the folder itself may have a hidden name
+    below = F.when(F.col("path").startswith(top), F.substring("path", len(top) + 1, 1 << 30)).otherwise(F.col("path"))
+    return files.where(~below.rlike(r"/\.[^/]")).select("path", "length", "content")
 
 
 def _zip_kind(data: bytes) -> str:

@@ -93,3 +93,22 @@ def test_requests_and_tokens():
         with pytest.raises(ValueError):
             search.verified(bad, key)
     assert search.canonical_identifier("asin", " b00 1 ") == ("asin", "B001") and search.is_identifier_type("olid") and not search.is_identifier_type("x")
+
+
+def test_storage_paths(spark):
+    from shelfspark.functions.words import path_component, storage_path
+
+    given = [("Frank Herbert", "Dune", "dune.epub", "F/Frank Herbert/Dune/dune.epub"), ("42 Authors", "Anthology", "a.epub", "_/42 Authors/Anthology/a.epub"), ("", "Some Title", "book.epub", "_/_unknown/Some Title/book.epub"), ("Author", "", "book.epub", "A/Author/_unknown/book.epub"), ("Харуки Мураками", "1Q84", "1q84.epub", "Х/Харуки Мураками/1Q84/1q84.epub"), ("  Author  ", "  Title  ", "  file.epub  ", "A/Author/Title/file.epub"), ("Con", "..", "my.book.name.epub", "C/Con_/_unknown/my.book.name.epub"), (None, None, None, "_/_unknown/_unknown/_unknown")]
+    rows = spark.createDataFrame(given, "a string, t string, f string, want string").select("want", storage_path(F.col("a"), F.col("t"), F.col("f")).alias("got")).collect()
+    assert [(r.want, r.got) for r in rows if r.want != r.got] == []
+    names = [("CON", "CON_"), ("NUL", "NUL_"), ("aux.h", "aux_.h"), ("LPT1", "LPT1_"), ("com9", "com9_"), ("Author/Name", "Author_Name"), ("Back\\Slash", "Back_Slash"), ("Title: A Subtitle", "Title_ A Subtitle"), ("A///B", "A_B"), ("C:::D", "C_D"), ("hello\0world", "helloworld"), ("\0\0\0", "_unknown"), ("///", "_unknown"), ("hello\x01\x02world", "helloworld"), (".hidden", ".hidden"), ("..", "_unknown"), ("Title - Part (2024)", "Title - Part (2024)"), ("O'Brien", "O'Brien"), ("A" * 300, "A" * 255), ("é" * 200 + ".epub", "é" * 125 + ".epub"), ("end. .", "end"), ("a\u202eb \u00a0 c", "ab c")]
+    rows = spark.createDataFrame(names, "c string, want string").select("want", path_component(F.col("c")).alias("got")).collect()
+    assert [(r.want, r.got) for r in rows if r.want != r.got] == []
+
+
+def test_scan_of_a_hidden_folder(spark, tmp_path):
+    top = tmp_path / ".books"
+    for name in ("a.epub", "sub/b.EPUB", "sub/.c.epub", ".hid/d.epub"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(b"x")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.scan(spark, str(top)).select("path").collect()) == ["a.epub", "b.EPUB"]

@@ -3,7 +3,7 @@
 import pytest
 
 from shelfspark.plans.fulltext import compile_match
-from shelfspark.plans.search import BookFilter, Field, Or, Phrase, Text, identifier_types, is_isbn, parse, year_range
+from shelfspark.plans.search import BookFilter, Field, Or, Phrase, Text, identifier_types, is_isbn, parse, resolve, year_range
 
 
 @pytest.mark.parametrize(
@@ -49,3 +49,37 @@ def test_match_precedence():
     assert right.wanted[1].column == "title" and right.unwanted[0].words == ["d"]
     groups, out = compile_match("NOT a")
     assert not groups and out[0].words == ["a"]
+
+
+class _Names:
+    """A catalog of names for ``resolve``."""
+
+    def __init__(self, spark):
+        rows = {"authors": [(1, "Ann Lee"), (2, "Ann Leeson")], "series": [("s", "Old Shelf")], "publishers": [("p", "Press")], "tags": [("t", "new"), ("u", "newer")]}
+        for name, values in rows.items():
+            setattr(self, name, spark.createDataFrame(values, "id long, name string" if name == "authors" else "id string, name string"))
+
+
+def test_explicit_values_win_even_if_false_or_nought(spark):
+    names = _Names(spark)
+    got, warn = resolve("trusted:true year:1990 locked:no", names, BookFilter(trusted=False, year_min=0, locked=None))
+    assert (got.trusted, got.year_min, got.year_max, got.locked, warn) == (False, 0, 1990, False, [])
+    assert resolve("year:2020..1960", names)[0].year_min == 1960
+    got, _ = resolve("author:ann lee", names, BookFilter(author=9))
+    assert got.author == 9
+    assert resolve('author:"ann lee" red ring', names)[0].author == 1
+
+
+def test_identifiers_presence_and_warnings(spark):
+    names = _Names(spark)
+    found = lambda q: resolve(q, names)
+    assert found("identifier:isbn:978-0-451-52493-5")[0].identifier == ("isbn", "9780451524935")
+    assert found("identifier:9780451524935")[0].identifier == (None, "9780451524935") and found("identifier:a1 identifier:b2")[0].identifier == (None, "a1")
+    for bad in ("identifier:mystery:123", "identifier::9", "-identifier:9", "-trusted:true", "trusted:maybe", "-year:1990", "year:x", "format:zip", "-language:en", "has:teeth"):
+        got, warn = found(bad)
+        assert [w for w, _ in warn] == ["InvalidValue"] and got.matches_nothing, bad
+    assert found("-has:desc")[0].has_description is False and found("-missing:ids")[0].has_identifiers is True
+    assert [w for w, _ in found("tag:new")[1]] == [] and [w for w, _ in found("tag:ew")[1]] == ["AmbiguousRelation"] and [w for w, _ in found("series:none")[1]] == ["UnknownRelation"]
+    got, warn = found('-title:red "old gear" OR ring -sun author:')
+    assert got.columns == (("title", "red", True),) and got.text == '"old gear" OR ring NOT sun' and warn == [("EmptyField", "author")]
+    assert found("...")[1] == [("NoSearchableTerms", "...")]
