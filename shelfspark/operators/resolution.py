@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.langid import Languages, detected, language_mismatch
+
 # Factor of each tier, the score that may apply by itself, the gap to the next one.
 TIER_FACTORS = {"strong": 1.0, "probable": 0.85, "weak": 0.65}
 THRESHOLD, GAP = 0.85, 0.15
@@ -62,3 +64,17 @@ def scored(candidates: DataFrame, fields: int = 10) -> DataFrame:
         true("same_isbn").alias("isbn"), true("same_asin").alias("asin"), unlike.alias("contradiction"), true("other_language").alias("language_mismatch"),
         F.coalesce(F.col("title_sim") >= UNLIKE_BELOW, F.lit(False)).alias("title"), F.coalesce(F.col("author_sim") > 0.5, F.lit(False)).alias("author"),
     )
+
+
+def language_checked(candidates: DataFrame, model: Languages) -> DataFrame:
+    """Candidates (score, language, description, language_mismatch) held against the language their description is really in.
+
+    One that says another language loses ``PENALTY``, once: what is marked
+    already stays as it is. It is asked for when candidates are scored, and
+    again after merging, which may have filled in either field. A text without
+    a reliable language, and a candidate without a language, match.
+    """
+    rows = detected(candidates.withColumn("language_mismatch", F.coalesce("language_mismatch", F.lit(False))), "description", model)
+    new = ~F.col("language_mismatch") & language_mismatch(F.col("language"), F.col("detected"), F.col("reliable"))
+    score = F.when(new, F.greatest(F.least(F.col("score") - PENALTY, F.lit(1.0)), F.lit(0.0))).otherwise(F.col("score"))
+    return rows.withColumn("new_", new).withColumn("score", score).withColumn("language_mismatch", F.col("language_mismatch") | F.col("new_")).drop("new_", "detected", "ahead", "reliable")
