@@ -12,13 +12,14 @@ from .operators import entities as E
 from .operators import library as L
 from .operators import resolution as R
 from .operators import transitions as X
-from .plans import fulltext
+from .plans import fulltext, segments
 from .functions import words as W
 from .plans.search import BookFilter, resolve
 from .registry import ORACLES, QUERIES  # noqa: F401
 from .registry import add as _add
 from .registry import rounded as _r
 from .sources.views import Catalog, oracle
+from .sources.work import work_dir
 from .streaming import events as S
 
 
@@ -175,6 +176,21 @@ ORACLES["fts_boosted"] = _fts(_LEN + " SELECT f.id, round(-(CASE WHEN ln((n - df
 _add("fts_refresh", lambda c: (lambda i: i.refreshed(c.books.where("id % 5 = 0"), fulltext.documents(c).where("id % 10 <> 0")).lengths.join(i.postings.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").select("id", "dl"))(fulltext.index_of(c)))
 ORACLES["fts_refresh"] = _fts("SELECT id, CAST(" + " + ".join(f"len({c})" for c in _COLS) + " AS INT) AS dl FROM tok WHERE id % 10 <> 0")
 
+
+def _generations(c: Catalog) -> segments.SegmentIndex:
+    """All books without descriptions, then the books that have one, then those without a language taken out."""
+    idx, docs = segments.SegmentIndex(c.spark, work_dir(c.spark, "fts")), fulltext.documents(c)
+    idx.refresh("load", docs.withColumn("description", F.lit(None).cast("string")))
+    idx.refresh("descriptions", docs.where("description is not null"))
+    idx.refresh("gone", docs.limit(0), c.books.where("language is null").select("id"))
+    return idx
+
+
+_add("fts_generations", lambda c: (lambda i: i.lengths.join(i.postings.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left").select("id", "dl", F.coalesce("n", F.lit(0)).cast("int").alias("n")))(_generations(c).index()))
+ORACLES["fts_generations"] = _fts("SELECT id, CAST(" + " + ".join(f"len({c})" for c in _COLS) + " AS INT) AS dl, CAST(" + " + ".join(f"len({c})" for c in _COLS) + " AS INT) AS n FROM tok WHERE id IN (SELECT id FROM books WHERE language IS NOT NULL)")
+_add("fts_generations_search", lambda c: _generations(c).search("study").select("id"))
+ORACLES["fts_generations_search"] = _fts("SELECT id FROM tok WHERE id IN (SELECT id FROM books WHERE language IS NOT NULL) AND (" + " OR ".join(f"len(list_filter({c}, lambda x: x LIKE 'study%')) > 0" for c in _COLS) + ")")
+
 # --- similarity, quality, duplicates ------------------------------------------------------------------------------------
 _PAIRS = "SELECT a.id AS a, b.id AS b, lower(a.name) AS x, lower(b.name) AS y FROM publishers a JOIN publishers b ON a.id < b.id"
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.work import stored
+from ..sources.work import files_version, stored
 
 # Columns and their ranking weights.
 WEIGHTS = {"title": 10.0, "description": 1.0, "authors": 5.0, "series": 3.0, "publisher": 2.0, "tags": 2.0}
@@ -80,15 +80,15 @@ def index(docs: DataFrame) -> Index:
     return Index(words, lengths)
 
 
-_indexes: dict[tuple[str, str], Index] = {}
+_indexes: dict[tuple[str, str], tuple[str, Index]] = {}
 
 
 def index_of(cat) -> Index:
-    """The stored index of a catalog, made when an application first asks for it."""
-    key = (cat.spark.sparkContext.applicationId, cat.sf_dir)
-    if key not in _indexes:
-        _indexes[key] = index(documents(cat)).stored()
-    return _indexes[key]
+    """The stored index of a catalog, made when an application first asks for it and again when the catalog's files have changed."""
+    key, version = (cat.spark.sparkContext.applicationId, cat.sf_dir), files_version(cat.spark, cat.sf_dir)
+    if _indexes.get(key, ("", None))[0] != version:
+        _indexes[key] = version, index(documents(cat)).stored()
+    return _indexes[key][1]
 
 
 class Term:

@@ -84,7 +84,8 @@ class TableSet:
         path, fs = self._path("commits")
         return max((int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()), default=0) if fs.exists(path) else 0
 
-    def _marker(self, version: int) -> dict:
+    def marker(self, version: int) -> dict:
+        """What a commit says: its id, and the live folders."""
         if not version:
             return {"live": {}}
         path, fs = self._path(f"commits/{version:012d}")
@@ -94,12 +95,13 @@ class TableSet:
         finally:
             stream.close()
 
-    def _committed(self, commit: str) -> bool:
+    def known(self, commit: str) -> bool:
+        """Whether a commit of this id was made."""
         if not self.version():
             return False
         return bool(self.spark.read.schema("id string").json(f"{self.root}/commits/[0-9]*").where(F.col("id") == commit).limit(1).count())
 
-    def _publish(self, version: int, marker: dict) -> None:
+    def publish(self, version: int, marker: dict) -> None:
         """Let the marker appear whole, or not at all if the number is taken."""
         staged, fs = self._path(f"commits/_{uuid.uuid4().hex}")
         target, _ = self._path(f"commits/{version:012d}")
@@ -128,7 +130,7 @@ class TableSet:
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """Rows of the table as of a commit, the newest one by default."""
         at = self.version() if version is None else version
-        return self._latest(name, self._history(name, self._marker(at)["live"].get(name, [])))
+        return self._latest(name, self._history(name, self.marker(at)["live"].get(name, [])))
 
     def _latest(self, name: str, rows: DataFrame) -> DataFrame:
         table = self.tables[name]
@@ -177,22 +179,22 @@ class TableSet:
 
     def commit(self, commit: str, changes: dict[str, Change]) -> Outcome:
         """Change all tables of ``changes`` at once, once for each id."""
-        if self._committed(commit):
+        if self.known(commit):
             return Outcome(False)
         version = self.version()
-        live = self._marker(version)["live"]
+        live = self.marker(version)["live"]
         staged = {n: self._stage(n, c, version + 1) for n, c in changes.items() if c.rows is not None or c.gone is not None}
         broken = self._broken(live, staged)
         if broken.limit(1).count():
             return Outcome(False, broken)
-        self._publish(version + 1, {"id": commit, "live": {**live, **{n: [*live.get(n, []), p] for n, p in staged.items()}}})
+        self.publish(version + 1, {"id": commit, "live": {**live, **{n: [*live.get(n, []), p] for n, p in staged.items()}}})
         return Outcome(True)
 
     def compact(self, name: str) -> None:
         """Write the state of a table down as one folder; what readers see stays the same."""
         version = self.version()
-        live = self._marker(version)["live"]
+        live = self.marker(version)["live"]
         path = f"data/{name}/{version + 1:012d}-{uuid.uuid4().hex}"
         rows = self._latest(name, self._history(name, live.get(name, [])))
         rows.withColumns({"_gone": F.lit(False), "_version": F.lit(version + 1).cast("long")}).write.parquet(f"{self.root}/{path}")
-        self._publish(version + 1, {"id": f"compact-{version + 1}-{name}", "live": {**live, name: [path]}})
+        self.publish(version + 1, {"id": f"compact-{version + 1}-{name}", "live": {**live, name: [path]}})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -21,9 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return str(context.getCheckpointDir().get())
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new path for ``name`` below the application's folder."""
+    return f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the application's folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files_version(spark: SparkSession, folder: str) -> str:
+    """A fingerprint of names, sizes and times of the files in a folder and in its folders, listed without reading any."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    digest, found = hashlib.sha256(), fs.listFiles(top, True)
+    rows = []
+    while found.hasNext():
+        f = found.next()
+        rows.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    for row in sorted(rows):
+        digest.update(row.encode())
+    return digest.hexdigest()

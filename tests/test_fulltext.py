@@ -43,3 +43,58 @@ def test_negation_alone_and_a_changed_document(spark, engines):
     new = index.refreshed(changed, spark.createDataFrame([(3, "new words", None), (9, "unseen", None)], "id long, title string, description string"))
     assert {r.id for r in fulltext.search(new, "new").collect()} == {3} and not fulltext.search(new, "unseen").collect()
     assert {r.id for r in fulltext.search(new, '"c"').collect()} == {2, 8} and new.lengths.count() == 7
+
+
+def grown(spark, root):
+    """An index of three generations: all rows but with old texts, two changed, one gone and one new."""
+    from shelfspark.plans.segments import SegmentIndex
+
+    schema = "id long, title string, description string"
+    idx = SegmentIndex(spark, root)
+    old = [(i, "old words here", "c") if i in (2, 5) else (i, t, d) for i, t, d in ROWS if i != 8] + [(77, "goes", None)]
+    assert idx.refresh("load", spark.createDataFrame(old, schema)) and not idx.refresh("load", spark.createDataFrame(old, schema))
+    assert idx.refresh("edit", spark.createDataFrame([r for r in ROWS if r[0] in (2, 5)], schema))
+    assert idx.refresh("more", spark.createDataFrame([r for r in ROWS if r[0] == 8], schema), spark.createDataFrame([(8,), (77,), (99,)], "id long"))
+    return idx
+
+
+def test_generations_equal_a_fresh_index(spark, engines, tmp_path):
+    _, fresh = engines
+    idx = grown(spark, str(tmp_path))
+    rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    for _ in range(2):  # before and after compaction
+        got = idx.index()
+        assert rows(got.postings.select("id", "col", "place", "term")) == rows(fresh.postings.select("id", "col", "place", "term")) and rows(got.lengths) == rows(fresh.lengths)
+        for query in ("a b OR c", '"a b"', "caf", "NOT a", "old", "goes", ""):
+            a, b = ({r.id: round(r["rank"], 9) for r in q.collect()} for q in (idx.search(query), fulltext.search(fresh, query)))
+            assert a == b, query
+        idx.compact()
+    assert len(idx.segments()) == 1
+
+
+def test_a_refresh_writes_in_proportion_and_a_prefix_opens_its_files(spark, tmp_path, monkeypatch):
+    from shelfspark.plans import segments
+
+    monkeypatch.setattr(segments, "FILE_ROWS", 500)
+    idx = segments.SegmentIndex(spark, str(tmp_path))
+    docs = spark.range(2000).selectExpr("id", "concat(substring(md5(cast(id as string)), 1, 8), ' ', substring(md5(cast(-id as string)), 1, 8)) AS title", "cast(null as string) AS description")
+    idx.refresh("load", docs)
+    idx.refresh("edit", docs.where("id < 20"))
+    size = lambda s: spark.read.parquet(f"{s['folder']}/postings").count()
+    assert [size(s) for s in idx.segments()] == [4000, 40]
+    every, some = idx.files(), idx.files([fulltext.Term(["ab"], prefix=True)])
+    assert len(every) >= 8 and 1 <= len([f for f, g in some if g == 1]) <= 2
+    opened = {f.replace("file:///", "file:/") for f in idx.index([fulltext.Term(["ab"], prefix=True)]).postings.inputFiles() if "/postings/" in f}
+    assert opened == {f.replace("file:///", "file:/") for f, _ in some}
+    want = docs.where("title like 'ab%' or title like '% ab%'").count()
+    assert idx.search("ab").count() == want
+
+
+def test_an_index_follows_its_files(spark, tmp_path):
+    from shelfspark.sources.work import files_version
+
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    before = files_version(spark, str(tmp_path))
+    assert files_version(spark, str(tmp_path)) == before
+    spark.range(4).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert files_version(spark, str(tmp_path)) != before
