@@ -14,10 +14,11 @@ from .operators import resolution as R
 from .operators import transitions as X
 from .plans import fulltext, segments
 from .functions import words as W
-from .plans.search import BookFilter, resolve
+from .plans.search import BookFilter, lookup_many, resolve
 from .registry import ORACLES, QUERIES  # noqa: F401
 from .registry import add as _add
 from .registry import rounded as _r
+from .registry import shared_sql
 from .sources.views import Catalog, oracle
 from .sources.work import work_dir
 from .streaming import events as S
@@ -191,6 +192,14 @@ ORACLES["fts_generations"] = _fts("SELECT id, CAST(" + " + ".join(f"len({c})" fo
 _add("fts_generations_search", lambda c: _generations(c).search("study").select("id"))
 ORACLES["fts_generations_search"] = _fts("SELECT id FROM tok WHERE id IN (SELECT id FROM books WHERE language IS NOT NULL) AND (" + " OR ".join(f"len(list_filter({c}, lambda x: x LIKE 'study%')) > 0" for c in _COLS) + ")")
 
+_FOR_NAMES = "SELECT name AS query FROM authors UNION ALL SELECT lower(substring(name, 3, 7)) FROM authors UNION ALL SELECT substring(name, 10, 9) FROM authors UNION ALL SELECT concat('%', substring(name, 16, 2)) FROM authors UNION ALL SELECT upper(username) FROM users"
+_add("relations_in_bulk", lambda c: lookup_many(c.authors, shared_sql(c, _FOR_NAMES)).select("query", F.array_join("ids", ",").alias("ids"), "exact"))
+_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["relations_in_bulk"] = oracle(f"""/*cte*/ asked AS (SELECT DISTINCT query FROM ({_FOR_NAMES}) a), same AS (SELECT query, id, name, true AS exact FROM asked JOIN authors ON {_LOW.format('name')} = {_LOW.format('query')}),
+    part AS (SELECT query, id, name, false AS exact FROM asked JOIN authors ON {_LOW.format('name')} LIKE concat('%', {_LOW.format('query')}, '%') WHERE query NOT IN (SELECT query FROM same)),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY name, id) AS place FROM (SELECT * FROM same UNION ALL SELECT * FROM part) u)
+    SELECT a.query, coalesce(string_agg(CAST(t.id AS VARCHAR), ',' ORDER BY place), '') AS ids, coalesce(bool_or(t.exact), false) AS exact FROM asked a LEFT JOIN top t ON t.query = a.query AND place <= 5 GROUP BY a.query""")
+
 # --- similarity, quality, duplicates ------------------------------------------------------------------------------------
 _PAIRS = "SELECT a.id AS a, b.id AS b, lower(a.name) AS x, lower(b.name) AS y FROM publishers a JOIN publishers b ON a.id < b.id"
 

@@ -16,7 +16,7 @@ from .streaming import events as S
 add("lookup_book", lambda c: N.by_key(c.books, id=42).select("id", "title", "publisher_id"), "SELECT id, title, publisher_id FROM books WHERE id = 42")
 add("lookup_hash", lambda c: N.by_key(c.book_files, hash="h10").select("id", "book_id", "format"), "SELECT id, book_id, format FROM book_files WHERE hash = 'h10'")
 _PATHS = "SELECT id, concat('/', format, '/', CAST(book_id AS VARCHAR(9))) AS path FROM book_files"
-add("lookup_path", lambda c: N.by_key(shared_sql(c, _PATHS), path="/epub/42").select("id"), f"SELECT id FROM ({_PATHS}) x WHERE path = '/epub/42'")
+add("lookup_path", lambda c: N.by_key(shared_sql(c, _PATHS), path="/epub/102").select("id"), f"SELECT id FROM ({_PATHS}) x WHERE path = '/epub/102'")
 add("lookup_identifier", lambda c: N.by_key(c.identifiers, identifier_type="asin", value="B000000040").select("book_id"), "SELECT book_id FROM identifiers WHERE identifier_type = 'asin' AND value = 'B000000040'")
 add("book_detail", lambda c: N.book(c, 40).select("id", "title", "authors", "series", "tags", "formats"), """
     SELECT b.id, b.title, coalesce((SELECT string_agg(name, '|' ORDER BY position, name) FROM book_authors JOIN authors ON id = author_id WHERE book_id = 40), '') AS authors, coalesce((SELECT string_agg(series_id, '|' ORDER BY position, series_id) FROM book_series WHERE book_id = 40), '') AS series,
@@ -42,7 +42,7 @@ add("scope_count", lambda c: c.books.where("language = 'en'").join(shared_sql(c,
 add("manifest_totals", lambda c: c.book_files.groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("bytes")).withColumn("files", F.sum("n").over(Window.partitionBy())), "SELECT format, count(*) AS n, CAST(sum(file_size) AS BIGINT) AS bytes, (SELECT count(*) FROM book_files) AS files FROM book_files GROUP BY format")
 
 # --- device sync --------------------------------------------------------------------------------------------------
-_SEL = "SELECT book_id % 10 AS device_id, book_id, min(id) AS file_id, max(added_at) AS updated_at FROM book_files WHERE id % 3 <> 0 GROUP BY book_id % 10, book_id"
+_SEL = "SELECT book_id % 10 AS device_id, book_id, min(id) AS file_id, max(added_at) AS updated_at FROM book_files GROUP BY book_id % 10, book_id"
 _LED = "SELECT book_id % 10 AS device_id, book_id, CASE WHEN book_id % 7 = 0 THEN -1 ELSE min(id) END AS l_file_id, CASE WHEN book_id % 5 = 0 THEN NULL ELSE min(hash) END AS l_hash, max(added_at) AS l_selected, CASE WHEN book_id % 11 = 0 THEN NULL ELSE max(added_at) END AS delivered_at, CASE WHEN book_id % 13 = 0 THEN max(added_at) END AS removed_synced_at FROM book_files WHERE book_id % 4 <> 0 GROUP BY book_id % 10, book_id"
 _OK = f"SELECT s.*, f.hash FROM ({_SEL}) s JOIN book_files f ON f.id = s.file_id AND f.book_id = s.book_id AND lower(f.format) = 'epub'"
 add("sync_candidates", lambda c: Y.candidates(shared_sql(c, _SEL), c.book_files, c.books, shared_sql(c, _LED)), f"""
@@ -72,9 +72,10 @@ add("sync_ledger", lambda c: Y.delivered(shared_sql(c, _HAD), _page(c), F.lit(9)
 # --- event streams, run as batches -----------------------------------------------------------------------------------
 add("stream_cooldown", lambda c: S.cooled(c.file_events, 86400.0).select("path", "kind", "ts"))
 _HASHED = "SELECT id, path, CASE WHEN id % 3 = 0 THEN 'h1' ELSE 'h2' END AS hash FROM file_events"
-_FILES = "SELECT path, CASE WHEN id % 50 = 0 THEN 'h2' ELSE 'h1' END AS hash FROM file_events WHERE id % 10 = 0"
+_FILES = "SELECT path, CASE WHEN length(path) % 3 = 0 THEN 'h2' WHEN length(path) % 3 = 1 AND id % 50 = 0 THEN 'h2' ELSE 'h1' END AS hash FROM file_events"
 add("stream_unchanged", lambda c: S.unchanged_dropped(shared_sql(c, _HASHED), shared_sql(c, _FILES)).select("id", "path", "hash"), f"SELECT id, path, hash FROM ({_HASHED}) e WHERE NOT (EXISTS (SELECT 1 FROM ({_FILES}) f WHERE f.path = e.path) AND NOT EXISTS (SELECT 1 FROM ({_FILES}) f WHERE f.path = e.path AND f.hash <> e.hash))")
-add("stream_own_deletes", lambda c: S.foreign_removals(c.file_events.where("kind = 'removed'"), c.file_events.where("kind = 'changed' and id % 2 = 0"), 86400).select("id", "path"), "SELECT id, path FROM file_events e WHERE kind = 'removed' AND NOT EXISTS (SELECT 1 FROM file_events d WHERE d.kind = 'changed' AND d.id % 2 = 0 AND d.path = e.path AND e.ts >= d.ts AND e.ts < d.ts + INTERVAL 86400 SECOND)")
-_IMP = "SELECT event_id % 100 AS task_id, concat('/p', CAST(event_id AS VARCHAR(9))) AS path, ts FROM events WHERE event_id % 2 = 0"
-_DONE = "SELECT event_id % 100 AS task_id, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'completed' END AS status, ts FROM events WHERE event_id % 2 = 1"
-add("stream_finished", lambda c: S.finished_imports(shared_sql(c, _IMP), shared_sql(c, _DONE.replace("event_id % 100 AS", "(event_id - 1) % 100 AS")), "100 days"), f"SELECT i.task_id, i.path, d.ts AS done_at FROM ({_IMP}) i JOIN ({_DONE.replace('event_id % 100 AS', '(event_id - 1) % 100 AS')}) d ON d.task_id = i.task_id AND d.status = 'completed' AND d.ts >= i.ts AND d.ts <= i.ts + INTERVAL 100 DAY")
+add("stream_own_deletes", lambda c: S.foreign_removals(c.file_events.where("kind = 'removed'"), c.file_events.where("kind = 'changed'"), 3600).select("id", "path"), "SELECT id, path FROM file_events e WHERE kind = 'removed' AND NOT EXISTS (SELECT 1 FROM file_events d WHERE d.kind = 'changed' AND d.path = e.path AND e.ts >= d.ts AND e.ts < d.ts + INTERVAL 3600 SECOND)")
+#: Purchases end what all other events began.
+_IMP = "SELECT user_id AS task_id, concat('/p', CAST(event_id AS VARCHAR(9))) AS path, ts FROM events WHERE event_type <> 'purchase'"
+_DONE = "SELECT user_id AS task_id, CASE WHEN value < 20 THEN 'failed' ELSE 'completed' END AS status, ts FROM events WHERE event_type = 'purchase'"
+add("stream_finished", lambda c: S.finished_imports(shared_sql(c, _IMP), shared_sql(c, _DONE), "100 days"), f"SELECT i.task_id, i.path, d.ts AS done_at FROM ({_IMP}) i JOIN ({_DONE}) d ON d.task_id = i.task_id AND d.status = 'completed' AND d.ts >= i.ts AND d.ts <= i.ts + INTERVAL 100 DAY")

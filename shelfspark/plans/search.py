@@ -9,9 +9,11 @@ import json
 import re
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import stored
+
 # Fields and their short names.
 FIELDS = ("title", "author", "series", "publisher", "tag", "format", "status", "resolution", "outcome", "trusted", "locked", "language", "year", "has", "missing", "identifier", "description")
 ALIASES = {"pub": "publisher", "desc": "description", "fmt": "format", "lang": "language", "id": "identifier"}
@@ -184,6 +186,43 @@ def lookup(dimension: DataFrame, name: str, limit: int = 5) -> tuple[list, bool]
     return [r.id for r in dimension.where(fold(F.col("name")).like(pattern)).orderBy("name", "id").limit(limit).collect()], False
 
 
+def _grams(c: Column) -> Column:
+    """All runs of one to three characters, and the empty one."""
+    at = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array())
+    return F.array_distinct(F.concat(F.array(F.lit("")), at(1), at(2), at(3)))
+
+
+def lookup_many(dimension: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
+    """(query, ids, exact) of every distinct ``queries(query)``, as ``lookup`` finds them one at a time.
+
+    Names found exactly come from one join. For the rest the names' runs of
+    up to three characters are a posting list; a query reads that of its
+    rarest run, and what it reads is compared with the whole pattern. Runs of
+    many names are read by queries that have no rarer one. Null queries and
+    names meet nothing.
+    """
+    fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    names = stored(dimension.where("name is not null").select("id", "name", fold(F.col("name")).alias("low")), "names")
+    asked = stored(queries.where("query is not null").select("query").distinct().withColumn("q", fold(F.col("query"))), "asked")
+
+    def first(rows: DataFrame, exact: bool) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("query").orderBy("name", "id"))
+        top = rows.withColumn("place", place).where(F.col("place") <= limit).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("top"))
+        return top.select("query", F.col("top.id").alias("ids"), F.lit(exact).alias("exact"))
+
+    same = stored(first(asked.join(names, F.col("q") == F.col("low")).select("query", "id", "name"), True), "exact")
+    rest = asked.join(same.select("query"), "query", "left_anti").withColumn("pattern", F.concat(F.lit("%"), F.replace("q", F.lit("\\"), F.lit("\\\\")), F.lit("%")))
+    posted = stored(names.select("id", "name", "low", F.explode(_grams(F.col("low"))).alias("gram")), "postings")
+    counts = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # the wildcards of a pattern part it into what names must hold
+    runs = F.array_distinct(F.flatten(F.transform(F.split("q", "[%_]"), _grams)))
+    wanted = rest.withColumn("gram", F.explode(runs)).join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    key = wanted.groupBy("query", "pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    met = key.join(posted, "gram").where(F.expr("low LIKE pattern")).select("query", "id", "name")
+    found = same.unionByName(first(met, False))
+    return asked.select("query").join(found, "query", "left").select("query", F.coalesce("ids", F.array().cast(found.schema["ids"].dataType)).alias("ids"), F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
 def resolve(query: str, catalog, explicit: BookFilter | None = None) -> tuple[BookFilter, list[tuple[str, str]]]:
     """The filter of a query and its warnings; explicit fields win, and a query with no executable clause matches nothing."""
     base = (explicit or BookFilter()).canonical()

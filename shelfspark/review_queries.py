@@ -99,7 +99,8 @@ add("undo_changes", _undo, """
 add("trusted_ids", lambda c: R.trusted_identifiers(c.identifiers).select("book_id", "identifier_type", "value"), "SELECT book_id, identifier_type, value FROM (SELECT *, count(*) FILTER (WHERE source_type = 'content_scan') OVER (PARTITION BY book_id) AS n FROM identifiers) x WHERE source_type IN ('user', 'embedded') OR (source_type = 'content_scan' AND n = 1)")
 _PROPOSED = "SELECT id AS candidate_id, book_id % 200 AS book_id, 'asin' AS identifier_type, concat('B', lpad(CAST(book_id % 200 + id % 2 AS VARCHAR(9)), 9, '0')) AS value FROM identification_candidates"
 add("id_proof", lambda c: R.identifier_proof(R.trusted_identifiers(c.identifiers), shared_sql(c, _PROPOSED)), f"SELECT candidate_id FROM ({_PROPOSED}) p WHERE EXISTS (SELECT 1 FROM (SELECT *, count(*) FILTER (WHERE source_type = 'content_scan') OVER (PARTITION BY book_id) AS n FROM identifiers) x WHERE (source_type IN ('user', 'embedded') OR (source_type = 'content_scan' AND n = 1)) AND x.book_id = p.book_id AND x.value = p.value)")
-add("gather_candidates", lambda c: R.gathered(c.identification_candidates.where("id % 7 = 0").select("id", "book_id"), c.identification_candidates.where("id % 7 = 1").select("id", "book_id")), "SELECT id, book_id FROM identification_candidates WHERE id % 7 = 0 UNION ALL SELECT id, book_id FROM identification_candidates WHERE id % 7 = 1 AND book_id NOT IN (SELECT book_id FROM identification_candidates WHERE id % 7 = 0)")
+# the best scored stand for what identifiers found
+add("gather_candidates", lambda c: R.gathered(c.identification_candidates.where("score >= 0.95").select("id", "book_id"), c.identification_candidates.where("score < 0.95").select("id", "book_id")), "SELECT id, book_id FROM identification_candidates WHERE score >= 0.95 UNION ALL SELECT id, book_id FROM identification_candidates WHERE score < 0.95 AND book_id NOT IN (SELECT book_id FROM identification_candidates WHERE score >= 0.95)")
 
 # --- set edits and merges ----------------------------------------------------------------------------------------------
 _TO = "LEFT JOIN book_merges m ON m.secondary = l.book_id"

@@ -83,3 +83,29 @@ def test_identifiers_presence_and_warnings(spark):
     got, warn = found('-title:red "old gear" OR ring -sun author:')
     assert got.columns == (("title", "red", True),) and got.text == '"old gear" OR ring NOT sun' and warn == [("EmptyField", "author")]
     assert found("...")[1] == [("NoSearchableTerms", "...")]
+
+
+def test_a_thousand_lookups_in_one_go(spark):
+    import random
+
+    from shelfspark.plans.search import lookup, lookup_many
+
+    dice = random.Random(9)
+    word = lambda n: "".join(dice.choice("abAB_%\\é ") for _ in range(n))
+    names = [(i, word(dice.randint(0, 9))) for i in range(300)] + [(900, None), (901, "same"), (902, "SAME"), (903, "")]
+    asked = list({word(dice.randint(0, 4)) for _ in range(1000)} | {n for _, n in names[:200]} | {"sam", "same", "%", "_", "", "zzz"})
+    dim = spark.createDataFrame(names, "id long, name string")
+    got = {r.query: (r.ids, r.exact) for r in lookup_many(dim, spark.createDataFrame([(q,) for q in [*asked, None, asked[0]]], "query string")).collect()}
+    fold = lambda s: s.translate({c: c + 32 for c in range(65, 91)})
+
+    def plain(q):
+        low = fold(q)
+        hits, exact = [(n, i) for i, n in names if n is not None and fold(n) == low], True
+        if not hits:
+            pattern = "(?s).*" + "".join(".*" if c == "%" else "." if c == "_" else __import__("re").escape(c) for c in low) + ".*"
+            hits, exact = [(n, i) for i, n in names if n is not None and __import__("re").fullmatch(pattern, fold(n))], False
+        return [i for _, i in sorted(hits, key=lambda h: (h[0].encode(), h[1]))[:5]], exact and bool(hits)
+
+    assert set(got) == set(asked) and {q: v for q, v in got.items() if v != plain(q)} == {}
+    for q in asked[:6]:
+        assert lookup(dim, q) == got[q]
