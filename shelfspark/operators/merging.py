@@ -1,175 +1,180 @@
-"""Merging the candidates of one book: duplicates of a provider, the same ISBN at several providers, corroboration.
-
-The merge is greedy and depends on the candidates' order, so it runs in Python
-for each book; Spark deals the books. A book has tens of candidates at most.
+"""Merging the candidates of books: duplicates of a provider, the same ISBN at several providers, corroboration.
+
+All books are merged at once, in joins and aggregates. Candidates of one
+provider that are tied by identifiers, directly or over others, become one.
+Then groups form around ISBNs: an ISBN is settled as soon as no lesser one
+that still unites providers has a candidate in common with it, so each round
+settles many and a book needs as many rounds as its ISBNs depend on each
+other. What is left is compared by titles and authors, distinct texts of a
+book once.
+
+Defined results: candidates of a book go by ``ordinal``; null lists are empty,
+empty strings and lists are gaps; without a book or an ordinal a candidate
+merges with nothing; repeated (book_id, ordinal) are told apart by their
+content, and equal rows are one; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import cmp_to_key, lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alike, lists_alike
-from ..functions.words import is_unsupported_format
+from ..functions import text as T
+from ..functions.words import author_similarity, is_unsupported_format
+from ..sources.work import stored
 
-# What corroboration adds, likeness that corroborates, whose covers are preferred.
+# What corroboration adds, likeness that corroborates, whose covers are preferred, whose own identifiers are of which type.
 BONUS, TITLE_ABOVE, AUTHORS_ABOVE = 0.1, 0.85, 0.7
 COVER_RANK = {"open_library": 1, "hardcover": 2}
 NATIVE = {"open_library": "open_library", "hardcover": "hardcover", "google_books": "google_books", "lccn": "loc"}
 FILLED = ("subtitle", "description", "language", "publisher", "publication_year", "series", "page_count", "rating", "subjects", "physical_format")
 COMPLETE = ("subtitle", "authors", "description", "publisher", "publication_year", "cover_url", "subjects", "series", "page_count", "language")
+LISTS = ("authors", "identifiers", "subjects")
 CANDIDATE = (
     "book_id long, ordinal int, provider string, score double, title string, authors array<string>, identifiers array<string>, subtitle string, description string, language string, "
     "publisher string, publication_year int, series string, page_count int, rating double, subjects array<string>, physical_format string, cover_url string"
 )
-MERGED = CANDIDATE + ", cross_provider boolean, merged_from array<string>, field_sources map<string,string>, field_count int"
-
-
-def _there(v) -> bool:
-    if v is None or (isinstance(v, float) and v != v):
-        return False
-    return len(v) > 0 if hasattr(v, "__len__") else True
-
-
-def _isbns(c: dict) -> set[str]:
-    """Normalised ISBNs of identifiers ``type:value``."""
-    return {re.sub(r"[\s-]", "", v).upper() for t, _, v in (i.partition(":") for i in c["identifiers"]) if t in ("isbn13", "isbn10")}
-
-
-@lru_cache(maxsize=1 << 14)
-def _title(s: str) -> str:
-    from ..functions.text import ARTICLES
-
-    t = " ".join("".join(ch if ch.isalnum() else " " for ch in re.sub("['’]", "", s.lower())).split())
-    first, _, rest = t.partition(" ")
-    return rest if first in ARTICLES and rest else t
-
-
-@lru_cache(maxsize=1 << 14)
-def _author(s: str) -> str:
-    last, comma, first = s.lower().partition(",")
-    t = f"{first.strip()} {last.strip()}" if comma else last
-    return " ".join("".join(ch if ch.isalnum() else " " for ch in t).split())
-
-
-def strength(a: dict, b: dict) -> str:
-    """``strong``: a shared ISBN, or at one provider any shared identifier; ``fuzzy``: like titles and authors; else ``no``."""
-    if _isbns(a) & _isbns(b):
-        return "strong"
-    if a["provider"] == b["provider"] and set(a["identifiers"]) & set(b["identifiers"]):
-        return "strong"
-    if _there(a["title"]) and _there(b["title"]) and alike(_title(a["title"]), _title(b["title"])) > TITLE_ABOVE:
-        if lists_alike([_author(x) for x in a["authors"]], [_author(x) for x in b["authors"]]) > AUTHORS_ABOVE:
-            return "fuzzy"
-    return "no"
-
-
-def _fill(into: dict, source: dict) -> list[str]:
-    gaps = [f for f in FILLED if not _there(into[f]) and _there(source[f])]
-    into.update({f: source[f] for f in gaps})
-    return gaps
-
-
-def _within_provider(cs: list[dict]) -> list[dict]:
-    """Each later duplicate of the same provider is folded into the higher scored of the two."""
-    gone: set[int] = set()
-    for i, a in enumerate(cs):
-        if i in gone:
-            continue
-        for j in range(i + 1, len(cs)):  # also once it has itself become part of another
-            b = cs[j]
-            if j in gone or a["provider"] != b["provider"] or strength(a, b) != "strong":
-                continue
-            win, lose, out = (a, b, j) if a["score"] >= b["score"] else (b, a, i)
-            _fill(win, lose)
-            if not _there(win["cover_url"]):
-                win["cover_url"] = lose["cover_url"]
-            win["identifiers"] = list(dict.fromkeys([*win["identifiers"], *lose["identifiers"]]))
-            gone.add(out)
-    return [c for i, c in enumerate(cs) if i not in gone]
-
-
-def _before(a: dict, b: dict) -> int:
-    """Negative if ``a`` leads a group: by score, the rank of its cover where both have one, its provider's name."""
-    if a["score"] != b["score"]:
-        return -1 if a["score"] > b["score"] else 1
-    ranks = [COVER_RANK.get(c["provider"], 0) for c in (a, b)]
-    if _there(a["cover_url"]) and _there(b["cover_url"]) and ranks[0] != ranks[1]:
-        return ranks[1] - ranks[0]
-    return (a["provider"] > b["provider"]) - (a["provider"] < b["provider"])
-
-
-def _across_providers(cs: list[dict]) -> list[dict]:
-    """For each ISBN in order: unclaimed candidates of different providers become one, with a bonus."""
-    claimed: set[int] = set()
-    gone: set[int] = set()
-    for isbn in sorted(set().union(*map(_isbns, cs))):
-        group: dict[str, int] = {}
-        for i, c in enumerate(cs):
-            if i not in claimed and isbn in _isbns(c):
-                group.setdefault(c["provider"], i)
-        if len(group) < 2:
-            continue
-        order = sorted(group.values(), key=cmp_to_key(lambda i, j: _before(cs[i], cs[j]) or i - j))
-        win = cs[order[0]]
-        for i in order[1:]:
-            lose, name = cs[i], cs[i]["provider"]
-            win["field_sources"].update(dict.fromkeys(_fill(win, lose), name))
-            win["merged_from"].append(name)
-            better = not _there(win["cover_url"]) or COVER_RANK.get(name, 0) > COVER_RANK.get(win["provider"], 0)
-            if _there(lose["cover_url"]) and better:
-                win["cover_url"], win["field_sources"]["cover_url"] = lose["cover_url"], name
-            have = _isbns(win)
-            for x in lose["identifiers"]:
-                kind, _, v = x.partition(":")
-                key = re.sub(r"[\s-]", "", v).upper()
-                if kind in ("isbn13", "isbn10") and key not in have:
-                    win["identifiers"].append(x)
-                    have.add(key)
-            win["identifiers"] = [x for x in win["identifiers"] if NATIVE.get(x.partition(":")[0]) != name]
-        win["score"], win["cross_provider"] = min(win["score"] + BONUS, 1.0), True
-        claimed.update(order)
-        gone.update(order[1:])
-    return [c for i, c in enumerate(cs) if i not in gone]
-
-
-def _corroborated(cs: list[dict]) -> None:
-    on = {k for i, a in enumerate(cs) for j in range(i + 1, len(cs)) if a["provider"] != cs[j]["provider"] and strength(a, cs[j]) == "fuzzy" for k in (i, j)}
-    for i in on:
-        if not cs[i]["cross_provider"]:
-            cs[i]["score"], cs[i]["cross_provider"] = min(cs[i]["score"] + BONUS, 1.0), True
-
-
-def merge_list(cs: list[dict]) -> list[dict]:
-    """The candidates of one book, merged, by score and then by number of fields."""
-    cs = [{**c, "cross_provider": False, "merged_from": [], "field_sources": {}, **{k: list(c[k]) if c[k] is not None else [] for k in ("authors", "identifiers", "subjects")}} for c in cs]
-    for step in (_within_provider, _across_providers):
-        if len(cs) > 1:
-            cs = step(cs)
-    if len(cs) > 1:
-        _corroborated(cs)
-    for c in cs:
-        c["field_count"] = sum(_there(c[f]) for f in COMPLETE)
-    return sorted(cs, key=lambda c: (-c["score"], -c["field_count"]))
-
+NAMES = [f.split(" ")[0] for f in re.split(r", (?=\w+ )", CANDIDATE)]
+MERGED = [*NAMES, "cross_provider", "merged_from", "field_sources", "field_count"]
+_TEXTS = {f.split(" ")[0] for f in re.split(r", (?=\w+ )", CANDIDATE) if f.endswith(" string")}
 
-def merged_candidates(candidates: DataFrame) -> DataFrame:
-    """``candidates`` (columns of ``CANDIDATE``) after unsupported formats left and duplicates were merged, book by book.
 
-    Candidates are taken in the order of ``ordinal``. A null list is empty.
-    """
-    names = [f.strip().split(" ")[0] for f in re.split(r", (?=\w+ )", CANDIDATE)]
+def _there(name: str, c: Column) -> Column:
+    """Whether a field of a candidate holds something."""
+    return F.coalesce(F.size(c) > 0 if name in LISTS else c != "" if name in _TEXTS else c.isNotNull(), F.lit(False))
+
+
+def _isbn(i: Column) -> Column:
+    """Normalised ISBN of an identifier ``type:value``; null for other types."""
+    return F.when(F.substring_index(i, ":", 1).isin("isbn13", "isbn10"), T.normalize_isbn(F.regexp_extract(i, "^[^:]*:(.*)$", 1)))
+
+
+def _isbns(ids: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(ids, _isbn), lambda x: x.isNotNull()))
+
+
+def _rank(provider: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in COVER_RANK.items() for x in kv])[provider], F.lit(0))
+
+
+def _first(group: Column, name: str) -> Column:
+    """The member of an ordered group that gives a field: the first that has it."""
+    return F.get(F.filter(group, lambda m: _there(name, m[name])), F.lit(0))
+
+
+def _folded(groups: DataFrame, across: bool) -> DataFrame:
+    """One row for each ordered ``group`` (array of candidates): its first member with gaps filled by the next ones."""
+    g, w = F.col("group"), F.col("group")[0]
+    rest = F.slice("group", 2, 1 << 30)
+    out = {n: w[n] for n in MERGED[:-1]}
+    out |= {f: F.coalesce(_first(g, f)[f], w[f]) for f in FILLED}
+    if not across:
+        out["cover_url"] = F.coalesce(_first(g, "cover_url")["cover_url"], w["cover_url"])
+        out["identifiers"] = F.array_distinct(F.flatten(F.transform(g, lambda m: m["identifiers"])))
+        return groups.select(*[c.alias(n) for n, c in out.items()])
+    # a cover of a better provider goes before the first one's, the last such before all
+    better = F.filter(rest, lambda m: _there("cover_url", m["cover_url"]) & (_rank(m["provider"]) > _rank(w["provider"])))
+    cover = F.coalesce(F.try_element_at(better, F.lit(-1)), _first(g, "cover_url"))
+    out["cover_url"] = F.coalesce(cover["cover_url"], w["cover_url"])
+    native = F.create_map(*[F.lit(x) for kv in NATIVE.items() for x in kv])
+    others = F.transform(rest, lambda m: m["provider"])
+    own = F.filter(w["identifiers"], lambda i: ~F.coalesce(F.array_contains(others, native[F.substring_index(i, ":", 1)]), F.lit(False)))
+    keyed = F.filter(F.flatten(F.transform(rest, lambda m: F.transform(m["identifiers"], lambda i: F.struct(_isbn(i).alias("key"), i.alias("i"))))), lambda x: x["key"].isNotNull() & ~F.array_contains(_isbns(w["identifiers"]), x["key"]))
+    once = F.filter(keyed, lambda x, n: (n == 0) | ~F.exists(F.slice(keyed, F.lit(1), n), lambda y: y["key"] == x["key"]))
+    out["identifiers"] = F.concat(own, F.transform(once, lambda x: x["i"]))
+    gave = [(f, _first(g, f)) for f in FILLED] + [("cover_url", cover)]
+    sources = F.filter(F.array(*[F.when(m.isNotNull() & (m["ordinal"] != w["ordinal"]), F.struct(F.lit(f), m["provider"])) for f, m in gave]), lambda x: x.isNotNull())
+    out |= {"field_sources": F.map_from_entries(sources), "merged_from": F.concat(w["merged_from"], others), "score": F.least(w["score"] + BONUS, F.lit(1.0)), "cross_provider": F.lit(True)}
+    return groups.select(*[c.alias(n) for n, c in out.items()])
+
+
+def _grouped(rows: DataFrame, key: list[str], order) -> DataFrame:
+    """``rows`` as arrays of candidates, one for each key, in an order given by a comparison."""
+    return rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*MERGED[:-1])), order).alias("group"))
+
+
+def _signs(*steps: Column) -> Column:
+    """The first comparison that isn't even."""
+    return F.coalesce(*[F.when(s != 0, s) for s in steps], F.lit(0)).cast("int")
+
+
+def _less(a: Column, b: Column) -> Column:
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+def _by_score(a: Column, b: Column) -> Column:
+    return _signs(_less(b["score"], a["score"]), _less(a["ordinal"], b["ordinal"]))
+
+
+def _by_cover(a: Column, b: Column) -> Column:
+    """By score, the rank of the covers where both have one, the provider's name."""
+    both = _there("cover_url", a["cover_url"]) & _there("cover_url", b["cover_url"])
+    return _signs(_less(b["score"], a["score"]), F.when(both, _rank(b["provider"]) - _rank(a["provider"])).otherwise(0), _less(a["provider"], b["provider"]), _less(a["ordinal"], b["ordinal"]))
+
+
+def _within_providers(rows: DataFrame) -> DataFrame:
+    """Candidates of a provider that are tied by identifiers become one, led by the best scored."""
+    ties = F.array_union(F.transform(_isbns(F.col("identifiers")), lambda x: F.concat(F.lit("isbn:"), x)), F.col("identifiers"))
+    at = ["book_id", "provider"]
+    edges = stored(rows.where("book_id is not null and ordinal is not null").select(*at, "ordinal", F.explode(ties).alias("tie")), "ties")
+    label = edges.groupBy(*at, "ordinal").agg(F.first("ordinal").alias("lead"))
+    while True:  # the least ordinal spreads along ties; as many rounds as the longest chain
+        least = edges.join(label, [*at, "ordinal"]).groupBy(*at, "tie").agg(F.min("lead").alias("least"))
+        new = stored(edges.join(least, [*at, "tie"]).groupBy(*at, "ordinal").agg(F.min("least").alias("lead")), "leads")
+        if not new.join(label.withColumnRenamed("lead", "was"), [*at, "ordinal"]).where("lead <> was").limit(1).count():
+            break
+        label = new
+    led = rows.join(new, [*at, "ordinal"], "left").withColumn("lead", F.coalesce("lead", "ordinal"))
+    return _folded(_grouped(led, [*at, "lead"], _by_score), False)
+
+
+def _across_providers(rows: DataFrame) -> DataFrame:
+    """Around each ISBN, from the least on, candidates of different providers that no other ISBN has claimed become one."""
+    cand = stored(rows, "candidates")
+    links = stored(cand.where("book_id is not null and ordinal is not null").select("book_id", "ordinal", "provider", F.explode(_isbns(F.col("identifiers"))).alias("isbn")), "isbns")
+    taken, rest = None, links
+    while True:
+        united = rest.groupBy("book_id", "isbn").agg(F.count_distinct("provider").alias("n")).where("n > 1").drop("n")
+        rest = stored(rest.join(united, ["book_id", "isbn"], "left_semi"), "links")
+        if not rest.limit(1).count():
+            break
+        first = rest.groupBy("book_id", "ordinal").agg(F.min("isbn").alias("least"))
+        ready = rest.join(first, ["book_id", "ordinal"]).groupBy("book_id", "isbn").agg(F.min("least").alias("least")).where("least = isbn").select("book_id", "isbn")
+        # of each provider the first candidate
+        step = stored(rest.join(ready, ["book_id", "isbn"], "left_semi").groupBy("book_id", "isbn", "provider").agg(F.min("ordinal").alias("ordinal")), "claims")
+        taken = step if taken is None else stored(taken.unionByName(step), "claims")
+        rest = rest.join(step.select("book_id", "ordinal"), ["book_id", "ordinal"], "left_anti").join(step.select("book_id", "isbn").distinct(), ["book_id", "isbn"], "left_anti")
+    if taken is None:
+        return cand
+    alone = cand.join(taken.select("book_id", "ordinal"), ["book_id", "ordinal"], "left_anti")
+    groups = _grouped(cand.join(taken.select("book_id", "ordinal", "isbn"), ["book_id", "ordinal"]), ["book_id", "isbn"], _by_cover)
+    return _folded(groups, True).unionByName(alone)
+
+
+def _corroborated(rows: DataFrame) -> DataFrame:
+    """A bonus, once, for candidates whose title and authors another provider has too; those of one ISBN count as settled."""
+    cand = stored(rows, "merged")
+    text = cand.where(_there("title", F.col("title")) & F.col("book_id").isNotNull()).select("book_id", "ordinal", "provider", _isbns(F.col("identifiers")).alias("isbns"), T.normalize_title(F.col("title")).alias("t"), F.transform("authors", T.normalize_author).alias("names"))
+    distinct = stored(text.groupBy("book_id", "t", "names").agg(F.collect_set("provider").alias("by")), "texts")
+    side = lambda k: distinct.select("book_id", *[F.col(c).alias(f"{c}{k}") for c in ("t", "names", "by")])
+    pairs = side(1).join(side(2), "book_id").where("t1 <= t2 and (size(by1) > 1 or size(by2) > 1 or by1[0] <> by2[0])")
+    near = stored(pairs.withColumn("like", T.jaro_winkler(F.col("t1"), F.col("t2"))).where(F.col("like") > TITLE_ABOVE), "like")
+    near = near.withColumn("people", author_similarity(F.col("names1"), F.col("names2"))).where(F.col("people") > AUTHORS_ABOVE)
+    of = lambda k: text.select("book_id", *[F.col(c).alias(f"{c}{k}") for c in ("ordinal", "provider", "isbns", "t", "names")])
+    met = near.select("book_id", "t1", "names1", "t2", "names2").join(of(1), ["book_id", "t1", "names1"]).join(of(2), ["book_id", "t2", "names2"])
+    met = met.where((F.col("provider1") != F.col("provider2")) & ~F.arrays_overlap("isbns1", "isbns2"))
+    on = met.select("book_id", F.explode(F.array("ordinal1", "ordinal2")).alias("ordinal")).distinct().withColumn("on_", F.lit(True))
+    new = F.coalesce(F.col("on_"), F.lit(False)) & ~F.col("cross_provider")
+    return cand.join(on, ["book_id", "ordinal"], "left").withColumn("new_", new).withColumn("score", F.when(F.col("new_"), F.least(F.col("score") + BONUS, F.lit(1.0))).otherwise(F.col("score"))).withColumn("cross_provider", F.col("cross_provider") | F.col("new_")).drop("on_", "new_")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = frame.sort_values("ordinal").to_dict("records")
-            got = pd.DataFrame(merge_list([{k: None if not hasattr(v, "__len__") and pd.isna(v) else v for k, v in r.items()} for r in rows]))
-            yield got.astype({"publication_year": "Int32", "page_count": "Int32", "field_count": "int32", "ordinal": "int32"})
 
-    wanted = candidates.where(~F.coalesce(is_unsupported_format(F.col("physical_format")), F.lit(False))).select(*names)
-    return wanted.groupBy("book_id").applyInPandas(lambda frame: next(run(iter([frame]))), MERGED)
+def merged_candidates(candidates: DataFrame) -> DataFrame:
+    """``candidates`` (columns of ``CANDIDATE``) after unsupported formats left and duplicates were merged, book by book."""
+    wanted = candidates.where(~F.coalesce(is_unsupported_format(F.col("physical_format")), F.lit(False)))
+    plain = wanted.select(*[F.coalesce(F.col(n), F.array()).alias(n) if n in LISTS else F.col(n) for n in NAMES]).distinct()
+    rows = plain.select("*", F.lit(False).alias("cross_provider"), F.array().cast("array<string>").alias("merged_from"), F.create_map().cast("map<string,string>").alias("field_sources"))
+    out = _corroborated(_across_providers(_within_providers(rows)))
+    count = sum((_there(f, F.col(f)).cast("int") for f in COMPLETE), F.lit(0))
+    return out.withColumn("field_count", count.cast("int")).select(*MERGED)
