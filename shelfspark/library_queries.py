@@ -11,6 +11,7 @@ from .operators import sync as Y
 from .registry import add, shared_sql
 from .sources.views import Catalog
 from .streaming import events as S
+from .streaming import watched as W
 
 # --- lookups and lists -----------------------------------------------------------------------------------------
 add("lookup_book", lambda c: N.by_key(c.books, id=42).select("id", "title", "publisher_id"), "SELECT id, title, publisher_id FROM books WHERE id = 42")
@@ -79,3 +80,18 @@ add("stream_own_deletes", lambda c: S.foreign_removals(c.file_events.where("kind
 _IMP = "SELECT user_id AS task_id, concat('/p', CAST(event_id AS VARCHAR(9))) AS path, ts FROM events WHERE event_type <> 'purchase'"
 _DONE = "SELECT user_id AS task_id, CASE WHEN value < 20 THEN 'failed' ELSE 'completed' END AS status, ts FROM events WHERE event_type = 'purchase'"
 add("stream_finished", lambda c: S.finished_imports(shared_sql(c, _IMP), shared_sql(c, _DONE), "100 days"), f"SELECT i.task_id, i.path, d.ts AS done_at FROM ({_IMP}) i JOIN ({_DONE}) d ON d.task_id = i.task_id AND d.status = 'completed' AND d.ts >= i.ts AND d.ts <= i.ts + INTERVAL 100 DAY")
+
+# --- watched folders: listings, tasks and errors as a folder's tables would hold them ------------------------------------
+_NOW_LISTED = "SELECT concat(CASE WHEN id % 6 = 5 THEN '/new/' ELSE '/in/' END, hash, '/', CAST(id AS VARCHAR(19))) AS path, CAST(file_size AS BIGINT) AS length, added_at AS modified FROM book_files"
+_WAS_LISTED = "SELECT concat('/in/', hash, '/', CAST(id AS VARCHAR(19))) AS path, CAST(file_size AS BIGINT) + CASE WHEN book_id % 4 = 0 THEN 1 ELSE 0 END AS length, CASE WHEN book_id % 9 <> 0 THEN added_at END AS modified FROM book_files"
+add("watch_polled", lambda c: W.polled(shared_sql(c, _NOW_LISTED), shared_sql(c, _WAS_LISTED)).select("path", "kind", "length"), f"""
+    SELECT coalesce(n.path, w.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS kind, n.length FROM ({_NOW_LISTED}) n FULL JOIN ({_WAS_LISTED}) w ON w.path = n.path
+    WHERE n.path IS NULL OR w.path IS NULL OR n.length <> w.length OR n.modified IS DISTINCT FROM w.modified""")
+_IMPORTS = "SELECT event_id AS task_id, concat('/in/', CAST(user_id AS VARCHAR(19))) AS path, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'completed' END AS status, CASE event_id % 3 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'imported' END AS result FROM events"
+_SETTLED = "SELECT event_id AS task_id FROM events WHERE event_type = 'purchase'"
+add("watch_deletable", lambda c: W.deletable(shared_sql(c, _IMPORTS), shared_sql(c, _SETTLED)).select("task_id", "path"), f"SELECT task_id, path FROM ({_IMPORTS}) t WHERE status = 'completed' AND coalesce(result, '') NOT IN ('skipped_duplicate', 'duplicate') AND task_id NOT IN ({_SETTLED})")
+_FAULTS = "SELECT concat('/data/', n_name, '/', CAST(c_custkey AS VARCHAR(19))) AS path, CASE c_custkey % 4 WHEN 0 THEN 'No such file or directory' WHEN 1 THEN 'EACCES: Permission Denied' WHEN 2 THEN 'disk full' END AS error FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT concat('/other/', c_name), 'file not found' FROM customer"
+_WATCHED_DIRS = "SELECT id, path FROM watched_directories UNION ALL SELECT n_nationkey + 100, substr(concat('/data/', n_name), 1, 8) FROM nation WHERE n_regionkey = 1"
+add("watch_errors", lambda c: W.errors(shared_sql(c, _FAULTS), shared_sql(c, _WATCHED_DIRS)).select("path", "class", "directory_id"), f"""
+    SELECT path, CASE WHEN regexp_matches(lower(error), 'no such file|not found|enoent|does not exist') THEN 'gone' WHEN regexp_matches(lower(error), 'permission denied|access denied|eperm|eacces') THEN 'denied' ELSE 'other' END AS class,
+      (SELECT arg_min(id, {{'n': length(d.path), 'id': id}}) FROM ({_WATCHED_DIRS}) d WHERE starts_with(f.path, d.path)) AS directory_id FROM ({_FAULTS}) f""")

@@ -31,14 +31,22 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
     The extension is part of the listing, in either case. Spark also leaves
     out names that begin with an underscore.
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob(extensions)).load(root)
+    return visible(files, spark, root).select("path", "length", "content")
+
+
+def name_glob(extensions: tuple[str, ...] = EXTENSIONS) -> str:
+    """Names with one of the extensions, in either case."""
     either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
-    glob = "*.{" + ",".join(map(either, extensions)) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return "*.{" + ",".join(map(either, extensions)) + "}"
+
+
+def visible(files: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """``files`` whose names and folders below ``root`` are not hidden; the folder itself may have a hidden name."""
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString()
-    # the folder itself may have a hidden name
     below = F.when(F.col("path").startswith(top), F.substring("path", len(top) + 1, 1 << 30)).otherwise(F.col("path"))
-    return files.where(~below.rlike(r"/\.[^/]")).select("path", "length", "content")
+    return files.where(~below.rlike(r"/\.[^/]"))
 
 
 def _zip_kind(data: bytes) -> str:

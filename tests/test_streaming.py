@@ -1,12 +1,18 @@
 """Event streams: the cooldown as a batch and as a stream, and what explains a removal."""
 
 import datetime as dt
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.catalog_queries import QUERIES
+from shelfspark.sources.views import Catalog
 from shelfspark.streaming import events
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 SCHEMA = "path string, kind string, ts timestamp"
 START = dt.datetime(2024, 1, 1)
 
@@ -36,6 +42,18 @@ def test_cooldown_batch(spark):
     assert got == brute(data, 5.0) and len(got) < len(data)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_cooldown_query_equals_the_plain_version(spark):
+    data = [(r.path, r.kind, r.ts) for r in Catalog(spark, SF).file_events.orderBy("path", "ts", "kind").collect()]
+    want, last = [], {}
+    for p, k, t in data:
+        if p not in last or (t - last[p]).total_seconds() >= 86400:
+            last[p] = t
+            want.append((p, k, t))
+    got = sorted(tuple(r) for r in QUERIES["stream_cooldown"](spark, SF).collect())
+    assert got == sorted(want) and 0 < len(got) < len(data)
+
+
 def test_cooldown_stream_keeps_its_state_between_batches(spark, tmp_path):
     data = sorted(rows(20), key=lambda r: r[2])
     for i, part in enumerate((data[:25], data[25:])):
