@@ -215,17 +215,25 @@ _PREFIX = "CASE WHEN x[1:4] = y[1:4] THEN 4 WHEN x[1:3] = y[1:3] THEN 3 WHEN x[1
 _add("jaro_winkler_pairs", lambda c: _pairs(c).select("a", "b", _r(T.jaro_winkler(F.col("x"), F.col("y"))).alias("v")), f"SELECT a, b, round(jaro_similarity(x, y) + {_PREFIX} * 0.1 * (1 - jaro_similarity(x, y)), 6) AS v FROM ({_PAIRS}) p")
 
 
-def _quality(c: Catalog) -> DataFrame:
-    ids = c.identifiers.where((F.col("identifier_type") == "asin") | T.isbn13_ok(F.col("value"))).select(F.col("book_id").alias("id")).distinct().withColumn("ok", F.lit(True))
-    b = c.books.join(ids, "id", "left").join(c.book_authors.select(F.col("book_id").alias("id")).distinct().withColumn("by", F.lit(True)), "id", "left")
-    filled = sum((F.col(x).isNotNull().cast("int") for x in ("description", "language", "publication_year", "publisher_id", "rating")), F.lit(0))
-    q = T.quality_score(F.col("ok").isNotNull(), F.col("title").isNotNull(), F.col("by").isNotNull(), F.lit(0.0), filled, 5, 0.3)
-    return b.select("id", _r(q).alias("score"), T.status_of(q).alias("status"))
+#: Books of which some titles and names stand for nothing, and ISBN-10s of which one in eleven has the right check digit.
+_QB = "SELECT id, CASE WHEN id % 19 = 0 THEN ' Unknown ' ELSE title END AS title, CASE WHEN id % 7 = 0 THEN '' ELSE description END AS description, language, publisher_id, publication_year, CASE WHEN id % 4 <> 3 THEN page_count END AS page_count, cover_path FROM books"
+_QI = "SELECT book_id, identifier_type, value FROM identifiers UNION ALL SELECT id, 'isbn10', concat(lpad(CAST(id AS VARCHAR(19)), 9, '0'), CASE WHEN id % 11 = 10 THEN 'X' ELSE CAST(id % 11 AS VARCHAR(2)) END) FROM books"
+_QA = "SELECT book_id, CASE WHEN author_id % 3 <> 0 THEN 'Various' ELSE name END AS name FROM book_authors JOIN authors ON id = author_id"
 
 
-_Q = f"least(CASE WHEN EXISTS (SELECT 1 FROM identifiers i WHERE i.book_id = b.id AND (i.identifier_type = 'asin' OR ({_ODD.replace('value', 'i.value')}) % 10 = 0)) THEN 0.4 ELSE 0.0 END + CASE WHEN EXISTS (SELECT 1 FROM book_authors a WHERE a.book_id = b.id) THEN 0.3 ELSE 0.1 END + ((description IS NOT NULL)::INT + (language IS NOT NULL)::INT + (publication_year IS NOT NULL)::INT + (publisher_id IS NOT NULL)::INT + (rating IS NOT NULL)::INT) / 5.0 * 0.3, 1.0)"
-_Q = _Q.replace("OR (" + _ODD.replace("value", "i.value"), "OR i.identifier_type = 'isbn13' AND (" + _ODD.replace("CAST(substring(value", "TRY_CAST(substring(i.value"))
-_add("quality_live", _quality, f"SELECT id, round(q, 6)::DOUBLE AS score, CASE WHEN q >= 0.6 THEN 'identified' WHEN q >= 0.2 THEN 'needs_review' ELSE 'unidentified' END AS status FROM (SELECT b.id, ({_Q})::DOUBLE AS q FROM books b) x")
+def _quality(c: Catalog) -> DataFrame:
+    q = E.live_quality(shared_sql(c, _QB), shared_sql(c, _QI), shared_sql(c, _QA), c.book_series)
+    return q.select("id", _r("score").alias("score"), "status")
+
+
+_TEN = " + ".join(f"CASE substring(value, {i}, 1) WHEN 'X' THEN 10 ELSE CAST(substring(value, {i}, 1) AS INT) END * {11 - i}" for i in range(1, 11))
+_STRONG = f"CASE identifier_type WHEN 'isbn13' THEN ({_ODD}) % 10 = 0 WHEN 'isbn10' THEN ({_TEN}) % 11 = 0 ELSE true END"
+_QUOTED = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+_Q = f"""
+    SELECT id, least(CASE WHEN id IN (SELECT book_id FROM ({_QI}) i WHERE value NOT IN ({_QUOTED(W.PLACEHOLDER_ISBNS)}) AND {_STRONG}) THEN 0.4 ELSE 0.0 END
+      + CASE WHEN lower(trim(title)) IN ({_QUOTED(W.GARBAGE_TITLES)}) THEN 0.0 WHEN id IN (SELECT book_id FROM ({_QA}) a WHERE lower(trim(name)) NOT IN ({_QUOTED(W.GARBAGE_AUTHORS)})) THEN 0.3 ELSE 0.1 END
+      + ((coalesce(description, '') <> '')::INT + (language IS NOT NULL)::INT + (publication_year IS NOT NULL)::INT + (publisher_id IS NOT NULL)::INT + (page_count IS NOT NULL)::INT + (cover_path IS NOT NULL)::INT + (id IN (SELECT book_id FROM book_series))::INT) / 7.0 * 0.3, 1.0)::DOUBLE AS q FROM ({_QB}) b"""
+_add("quality_live", _quality, f"SELECT id, round(q, 6)::DOUBLE AS score, CASE WHEN q >= 0.6 THEN 'identified' WHEN q >= 0.2 THEN 'needs_review' ELSE 'unidentified' END AS status FROM ({_Q}) x")
 _add("dup_hash", lambda c: E.hash_duplicates(c.book_files), "SELECT id, hash, first_id FROM (SELECT id, hash, min(id) OVER (PARTITION BY hash) AS first_id FROM book_files) x WHERE id <> first_id")
 _add("dup_isbn", lambda c: c.identifiers.join(c.book_files.select("book_id", "format").distinct(), "book_id").groupBy("value", "format").agg(F.count(F.lit(1)).alias("n"), F.min("book_id").alias("first")), "SELECT value, format, count(*) AS n, min(i.book_id) AS first FROM identifiers i JOIN (SELECT DISTINCT book_id, format FROM book_files) f ON f.book_id = i.book_id GROUP BY value, format")
 _NT = "regexp_replace(trim(regexp_replace(replace(lower(title), '''', ''), '[^\\p{L}\\p{N}]+', ' ', 'g')), '^(the|a|an|le|la|les|der|die|das) (.)', '\\2')"

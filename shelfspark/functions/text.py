@@ -54,11 +54,10 @@ def normalize_isbn(c: Column) -> Column:
 
 
 def _weighted(c: Column, n: int, weight) -> Column:
-    digit = lambda i: F.when(F.substring(c, i, 1) == "X", 10).otherwise(F.expr("1") * F.substring(c, i, 1).try_cast("int"))
-    total = F.lit(0)
-    for i in range(1, n + 1):
-        total = total + digit(i) * weight(i)
-    return total
+    """Sum of the first ``n`` digits times their weights; ``c`` stands in it once, so that long expressions do not multiply."""
+    digit = lambda x: F.when(x == "X", 10).otherwise(x.try_cast("int"))
+    weights = F.array(*[F.lit(weight(i)) for i in range(1, n + 1)])
+    return F.aggregate(F.zip_with(F.slice(F.split(c, ""), 1, n), weights, lambda x, w: digit(x) * w), F.lit(0), lambda a, b: a + b)
 
 
 def isbn13_ok(c: Column) -> Column:

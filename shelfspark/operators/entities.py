@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import words as W
 from .library import latest
 
 
@@ -58,6 +60,29 @@ def best_isbn(identifiers: DataFrame) -> DataFrame:
     return latest(identifiers.where(F.col("identifier_type").isin("isbn13", "isbn10")), "book_id", *order).drop("rn")
 
 
+def live_quality(books: DataFrame, identifiers: DataFrame, authors: DataFrame, series: DataFrame) -> DataFrame:
+    """``books`` with ``score`` and ``status`` of what they now hold.
+
+    A strong identifier is an ISBN with its checksum, no placeholder, or any
+    other kind; titles and author names that stand for nothing do not count.
+    Richness has seven parts: description (not empty), language, publisher,
+    year, pages, a series, a cover. ``authors`` has book_id and name.
+    """
+    held = lambda rows, flag: rows.select(F.col("book_id").alias("id")).distinct().withColumn(flag, F.lit(True))
+    flags = {
+        "strong_": identifiers.where(W.is_valid_identifier(F.col("identifier_type"), F.col("value"))),
+        "author_": authors.where(F.col("name").isNotNull() & ~W.is_garbage_author(F.col("name"))), "series_": series,
+    }
+    rows = books
+    for flag, links in flags.items():
+        rows = rows.join(held(links, flag), "id", "left")
+    there = [F.length("description") > 0, *[F.col(f).isNotNull() for f in ("language", "publisher_id", "publication_year", "page_count", "cover_path", "series_")]]
+    filled = sum((F.coalesce(t, F.lit(False)).cast("int") for t in there), F.lit(0))
+    title = F.col("title").isNotNull() & ~F.coalesce(W.is_garbage_title(F.col("title")), F.lit(True))
+    score = T.quality_score(F.col("strong_").isNotNull(), title, F.col("author_").isNotNull(), F.lit(0.0), filled, 7, 0.3)
+    return rows.withColumn("score", score).withColumn("status", T.status_of(F.col("score"))).drop(*flags)
+
+
 def expired_tasks(tasks: DataFrame, now: Column, days: int = 30) -> DataFrame:
     done = F.col("status").isin("completed", "failed", "cancelled")
     return tasks.where(done & (F.col("created_at") < now - F.expr(f"interval {days} days")))
