@@ -10,12 +10,32 @@ from .library import latest
 MERGED_FIELDS = ("description", "language", "publisher_id", "publication_year", "page_count", "rating")
 
 
-def moved_links(links: DataFrame, merges: DataFrame, key: str, owner: str = "book_id") -> DataFrame:
+def moved_links(links: DataFrame, merges: DataFrame, key: str | tuple[str, ...], owner: str = "book_id") -> DataFrame:
     """Links(owner, key, ...) after ``merges(winner, secondary)``: the secondary's move over, what the primary has already wins, ties go to the first secondary."""
     m = merges.select(F.col("winner").alias("to"), F.col("secondary").alias(owner))
     own = links.join(m, owner, "left").withColumn("moved", F.col("to").isNotNull()).withColumn("from_", F.col(owner))
     own = own.withColumn(owner, F.coalesce("to", owner)).drop("to")
-    return latest(own, [owner, key], "moved", "from_").drop("rn", "moved", "from_")
+    return latest(own, [owner, *([key] if isinstance(key, str) else key)], "moved", "from_").drop("rn", "moved", "from_")
+
+
+def merged_identifiers(identifiers: DataFrame, merges: DataFrame) -> DataFrame:
+    """Identifiers after ``merges(winner, secondary)``: those whose kind and value the primary lacks move to it with their source and confidence."""
+    return moved_links(identifiers, merges, ("identifier_type", "value"))
+
+
+def merged_files(files: DataFrame, merges: DataFrame) -> DataFrame:
+    """Files(id, book_id, hash, added_at, ...) after ``merges(winner, secondary)``.
+
+    All go to the primary; of those that are then equal by hash the one added
+    first stays (without a time before all, then the lowest id). Books outside
+    the merges keep repeated files; files without a hash equal none.
+    """
+    to = merges.select(F.col("secondary").alias("book_id"), F.col("winner").alias("to_"))
+    moved = files.join(to, "book_id", "left").withColumn("book_id", F.coalesce("to_", "book_id")).select(*files.columns)
+    ids = merges.select(F.col("winner").alias("book_id")).distinct()
+    touched = moved.join(ids, "book_id", "left_semi")
+    once = latest(touched.where("hash is not null"), ["book_id", "hash"], "added_at", "id").select(*files.columns)
+    return moved.join(ids, "book_id", "left_anti").unionByName(touched.where("hash is null")).unionByName(once)
 
 
 def appended_authors(links: DataFrame, merges: DataFrame) -> DataFrame:

@@ -60,3 +60,20 @@ def table_sizes(cat, names: tuple[str, ...]) -> DataFrame:
     from functools import reduce
 
     return reduce(DataFrame.unionByName, [getattr(cat, n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in names])
+
+
+def stored_sizes(spark, paths: dict[str, str]) -> DataFrame:
+    """(name, rows, bytes) of Parquet tables by their folders, the largest first; a folder that is not there has neither and comes last.
+
+    Bytes are those of the listing, rows are counted from the files' footers.
+    """
+    from functools import reduce
+
+    def one(name: str, path: str) -> DataFrame:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        there = fs.exists(at)
+        n = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")) if there else spark.range(1).select(F.lit(None).cast("long").alias("rows"))
+        return n.select(F.lit(name).alias("name"), "rows", F.lit(fs.getContentSummary(at).getLength() if there else None).cast("long").alias("bytes"))
+
+    return reduce(DataFrame.unionByName, [one(n, p) for n, p in paths.items()]).orderBy(F.col("bytes").desc_nulls_last(), "name")

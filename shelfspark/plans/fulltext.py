@@ -43,8 +43,9 @@ def documents(cat) -> DataFrame:
         j = link.join(dim.select(F.col("id").alias(key), F.col("name").alias("n")), key).select("book_id", "n").distinct()
         return j.groupBy(F.col("book_id").alias("id")).agg(F.concat_ws(" ", F.sort_array(F.collect_list("n"))).alias(out))
 
+    titled = cat.books.withColumn("title", F.concat_ws(" ", "title", "subtitle")) if "subtitle" in cat.books.columns else cat.books
     return (
-        cat.books.select("id", "title", "description", F.col("publisher_id").alias("publisher"))
+        titled.select("id", "title", "description", F.col("publisher_id").alias("publisher"))
         .join(names(cat.book_authors, cat.authors, "author_id", "authors"), "id", "left")
         .join(names(cat.book_series, cat.series, "series_id", "series"), "id", "left")
         .join(names(cat.book_tags, cat.tags, "tag_id", "tags"), "id", "left")

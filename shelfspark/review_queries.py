@@ -99,6 +99,11 @@ add("undo_changes", _undo, """
 add("trusted_ids", lambda c: R.trusted_identifiers(c.identifiers).select("book_id", "identifier_type", "value"), "SELECT book_id, identifier_type, value FROM (SELECT *, count(*) FILTER (WHERE source_type = 'content_scan') OVER (PARTITION BY book_id) AS n FROM identifiers) x WHERE source_type IN ('user', 'embedded') OR (source_type = 'content_scan' AND n = 1)")
 _PROPOSED = "SELECT id AS candidate_id, book_id % 200 AS book_id, 'asin' AS identifier_type, concat('B', lpad(CAST(book_id % 200 + id % 2 AS VARCHAR(9)), 9, '0')) AS value FROM identification_candidates"
 add("id_proof", lambda c: R.identifier_proof(R.trusted_identifiers(c.identifiers), shared_sql(c, _PROPOSED)), f"SELECT candidate_id FROM ({_PROPOSED}) p WHERE EXISTS (SELECT 1 FROM (SELECT *, count(*) FILTER (WHERE source_type = 'content_scan') OVER (PARTITION BY book_id) AS n FROM identifiers) x WHERE (source_type IN ('user', 'embedded') OR (source_type = 'content_scan' AND n = 1)) AND x.book_id = p.book_id AND x.value = p.value)")
+#: ISBN-10s made of the books' own ISBN-13s, every fifth of them proposed for another book.
+_WEIGHED = " + ".join(f"CAST(substring(value, {i + 3}, 1) AS INT) * {11 - i}" for i in range(1, 10))
+_TENS = f"SELECT book_id AS candidate_id, book_id + CASE WHEN book_id % 5 = 0 THEN 1 ELSE 0 END AS book_id, 'isbn10' AS identifier_type, concat(substring(value, 4, 9), CASE (11 - ({_WEIGHED}) % 11) % 11 WHEN 10 THEN 'X' ELSE CAST((11 - ({_WEIGHED}) % 11) % 11 AS VARCHAR(2)) END) AS value FROM identifiers WHERE identifier_type = 'isbn13'"
+_THIRTEEN = " + ".join(f"{d} * {1 if i % 2 else 3}" for i, d in enumerate([9, 7, 8, *(f"CAST(substring(p.value, {i}, 1) AS INT)" for i in range(1, 10))], 1))
+add("id_proof_isbn", lambda c: R.identifier_proof(R.trusted_identifiers(c.identifiers), shared_sql(c, _TENS)), f"SELECT candidate_id FROM ({_TENS}) p WHERE EXISTS (SELECT 1 FROM (SELECT *, count(*) FILTER (WHERE source_type = 'content_scan') OVER (PARTITION BY book_id) AS n FROM identifiers) x WHERE (source_type IN ('user', 'embedded') OR (source_type = 'content_scan' AND n = 1)) AND x.book_id = p.book_id AND x.identifier_type = 'isbn13' AND x.value = concat('978', substring(p.value, 1, 9), CAST((10 - ({_THIRTEEN}) % 10) % 10 AS VARCHAR)))")
 # the best scored stand for what identifiers found
 add("gather_candidates", lambda c: R.gathered(c.identification_candidates.where("score >= 0.95").select("id", "book_id"), c.identification_candidates.where("score < 0.95").select("id", "book_id")), "SELECT id, book_id FROM identification_candidates WHERE score >= 0.95 UNION ALL SELECT id, book_id FROM identification_candidates WHERE score < 0.95 AND book_id NOT IN (SELECT book_id FROM identification_candidates WHERE score >= 0.95)")
 
@@ -106,6 +111,11 @@ add("gather_candidates", lambda c: R.gathered(c.identification_candidates.where(
 _TO = "LEFT JOIN book_merges m ON m.secondary = l.book_id"
 add("merge_tags", lambda c: E.moved_links(c.book_tags, c.book_merges, "tag_id").select("book_id", "tag_id"), f"SELECT DISTINCT coalesce(m.winner, l.book_id) AS book_id, l.tag_id FROM book_tags l {_TO}")
 add("merge_series_links", lambda c: E.moved_links(c.book_series, c.book_merges, "series_id").select("book_id", "series_id", "position"), f"SELECT book_id, series_id, position FROM (SELECT coalesce(m.winner, l.book_id) AS book_id, series_id, position, row_number() OVER (PARTITION BY coalesce(m.winner, l.book_id), series_id ORDER BY CASE WHEN m.winner IS NULL THEN 0 ELSE 1 END, l.book_id) AS rn FROM book_series l {_TO}) x WHERE rn = 1")
+#: Books of a pair share an identifier, files of the same size class are equal.
+_KNOWN_BY = "SELECT book_id, identifier_type, value, source_type, confidence FROM identifiers UNION ALL SELECT id, 'goodreads', concat('g', CAST(id - (id + 1) % 2 AS VARCHAR(19))), CASE WHEN id % 2 = 0 THEN 'user' ELSE 'provider' END, CAST(0.5 AS DOUBLE) FROM books"
+add("merge_identifiers", lambda c: E.merged_identifiers(shared_sql(c, _KNOWN_BY), c.book_merges).select("book_id", "identifier_type", "value", "source_type", "confidence"), f"SELECT book_id, identifier_type, value, source_type, confidence FROM (SELECT coalesce(m.winner, l.book_id) AS book_id, identifier_type, value, source_type, confidence, row_number() OVER (PARTITION BY coalesce(m.winner, l.book_id), identifier_type, value ORDER BY CASE WHEN m.winner IS NULL THEN 0 ELSE 1 END, l.book_id) AS rn FROM ({_KNOWN_BY}) l {_TO}) x WHERE rn = 1")
+_HELD = "SELECT id, book_id, CASE WHEN id % 3 = 0 THEN 'same' ELSE hash END AS hash, added_at FROM book_files"
+add("merge_files", lambda c: E.merged_files(shared_sql(c, _HELD), c.book_merges).select("id", "book_id", "hash"), f"SELECT id, book_id, hash FROM (SELECT id, hash, coalesce(m.winner, l.book_id) AS book_id, row_number() OVER (PARTITION BY coalesce(m.winner, l.book_id), hash ORDER BY added_at, id) AS rn FROM ({_HELD}) l {_TO}) x WHERE rn = 1 OR book_id NOT IN (SELECT winner FROM book_merges)")
 add("merge_authors", lambda c: E.appended_authors(c.book_authors, c.book_merges).select("book_id", "author_id", "position"), """
     WITH mine AS (SELECT * FROM book_authors WHERE book_id NOT IN (SELECT secondary FROM book_merges)),
     coming AS (SELECT m.winner AS book_id, l.author_id, l.position FROM book_authors l JOIN book_merges m ON m.secondary = l.book_id WHERE NOT EXISTS (SELECT 1 FROM mine x WHERE x.book_id = m.winner AND x.author_id = l.author_id))
