@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import durable
 
 LEAF = 256
+BLOCK = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,13 +87,25 @@ def _pivot(items: Column, seed: int, tag: Column, kind: str) -> Column:
     return F.aggregate(items, start, step)
 
 
+def _numbered(counted: DataFrame) -> DataFrame:
+    """Each row of ``counted(doc_id, source, size, times)`` as often as it occurs, told apart by ``nth``.
+
+    Rows that occur very often (blank ones without an id, say) are numbered in
+    blocks, which are dealt to all tasks.
+    """
+    key, block = ["doc_id", "source", "size"], F.lit(BLOCK).cast("long")
+    few = counted.where(F.col("times") <= BLOCK).select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
+    many = counted.where(F.col("times") > BLOCK).select(*key, "times", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / block))).alias("at"))
+    many = many.repartition(*key, "at").select(*key, F.explode(F.sequence(F.col("at") * block + 1, F.least((F.col("at") + 1) * block, F.col("times")))).alias("nth"))
+    return few.unionAll(many)
+
+
 def mix_sources(docs: DataFrame, seed: int = 17, leaf: int = LEAF, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Copies of every row of ``docs(doc_id, text, source)``: doc_id, source, size, source_size, target, copies, taken."""
     sized = docs.select("doc_id", "source", n_words("text").alias("size"))
-    # equal rows are told apart by a counter inside (doc_id, source, size) only where there are any
-    rows = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times"))
-    rows = durable(rows.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth")))
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
+    counted = durable(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times")))
+    rows = _numbered(counted)
+    per_source = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("times")).otherwise(0)).alias("n"))
     targets = source_targets(per_source, weights, share, cap).join(per_source.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     targets = durable(targets.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     t = targets.select(F.col("source").alias("s2"), "source_size", "target", "ratio", "n")

@@ -2,7 +2,9 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from shelfspark.llm import mixing
 from shelfspark.llm.mixing import mix_sources
 
 
@@ -60,3 +62,21 @@ def test_expectation_is_unbiased(make_docs):
             mean[r.source] += r.taken / 3
     t = brute_targets({"a": 1500, "b": 500})
     assert all(abs(mean[s] - t[s]) <= 10 for s in t)
+
+
+def test_very_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 1000)
+    blank = spark.range(1_000_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source"))
+    same = spark.range(20_001).select(F.lit(7).cast("long").alias("doc_id"), F.lit("w w").alias("text"), F.lit("a").alias("source"))
+    other = spark.range(3000).select("id", F.lit("w w w").alias("text"), F.lit("b").alias("source"))
+    got = mix_sources(blank.unionAll(same).unionAll(other))
+    by = {r.source: r for r in got.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("size")).collect()}
+    assert {s: (r.n, r.size) for s, r in by.items()} == {None: (1_000_000, 0), "a": (20_001, 40_002), "b": (3000, 9000)}
+    assert all(abs(r.taken - r.target) <= 3 for r in by.values())
+
+
+def test_numbers_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    counted = spark.createDataFrame([(i, "s", 1, n) for i, n in enumerate((1, 3, 4, 5, 8, 9))], "doc_id long, source string, size long, times long")
+    got = sorted((r.doc_id, r.nth) for r in mixing._numbered(counted).collect())
+    assert got == [(i, k) for i, n in enumerate((1, 3, 4, 5, 8, 9)) for k in range(1, n + 1)]
