@@ -48,8 +48,12 @@ def _proofs(identifiers: Column) -> Column:
     return F.filter(F.flatten(F.transform(identifiers, keys)), lambda k: k.isNotNull())
 
 
-def plan_inputs(books: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row for each candidate with a book: ``id``, ``book_id``, ``b`` and ``c`` (both rows), and the flags that ``planned`` reads.
+def plan_flags(books: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row for each candidate with a book: ``id``, ``book_id``, ``score`` and the flags that ``planned`` reads.
+
+    Rows stay small however long the values are: of values that are only
+    wanted or not, no more than their presence travels; ``with_rows`` fetches
+    both sides of the few rows that take effect.
 
     ``books``: as ``nested_books`` returns them, with ``metadata_locked`` and
     ``provenance``, a map from field to origin. ``candidates(id, book_id, ...)``
@@ -62,8 +66,11 @@ def plan_inputs(books: DataFrame, candidates: DataFrame) -> DataFrame:
     wanted where the book has none, identifiers where one is new. Null arrays
     are empty; candidates without a book have no row.
     """
-    b = books.select(F.col("id").alias("book_id"), F.struct(*books.columns).alias("b"))
-    rows = candidates.where("book_id is not null").select("id", "book_id", F.struct(*candidates.columns).alias("c")).join(b, "book_id")
+    there = lambda n: F.when(F.col(n).isNotNull(), F.lit(True)).alias(n)
+    scalars = [SCALARS[f] for f in ENRICHMENT if f in SCALARS]
+    b = books.select(F.col("id").alias("book_id"), F.struct("title", "authors", "series", "identifiers", "trusted", "metadata_locked", "provenance", *[there(mine) for mine, _ in scalars]).alias("b"))
+    score = ["score"] if "score" in candidates.columns else []
+    rows = candidates.where("book_id is not null").select("id", "book_id", *score, F.struct("title", "authors", "series", "identifiers", *[there(theirs) for _, theirs in scalars]).alias("c")).join(b, "book_id")
     B, C = (lambda f: F.col(f"b.{f}")), (lambda f: F.col(f"c.{f}"))
     some = lambda c: F.coalesce(c, F.array())
     flags: dict[str, Column] = {"locked": B("metadata_locked")}
@@ -86,15 +93,28 @@ def plan_inputs(books: DataFrame, candidates: DataFrame) -> DataFrame:
             mine, theirs = SCALARS[f]
             flags |= {f"{f}_proposed": C(theirs).isNotNull(), f"{f}_wanted": B(mine).isNull() & C(theirs).isNotNull()}
     # written down: plans ask for each flag many times over, and filters on them would repeat what is compared here
-    return stored(rows.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in flags.items()}), "plan-inputs")
+    return stored(rows.select("id", "book_id", *score, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()]), "plan-inputs")
+
+
+def with_rows(plans: DataFrame, books: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``plans(id, book_id, ...)`` with ``b`` and ``c``, the rows of both sides."""
+    b = books.select(F.col("id").alias("book_id"), F.struct(*books.columns).alias("b"))
+    return plans.join(candidates.select("id", F.struct(*candidates.columns).alias("c")), "id").join(b, "book_id")
+
+
+def plan_inputs(books: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``plan_flags`` with both rows, ``b`` and ``c``, beside the flags."""
+    return with_rows(plan_flags(books, candidates), books, candidates)
 
 
 def chosen(plans: DataFrame) -> DataFrame:
     """Plans that take effect: of each book's the best candidate (score, then the lowest id) that may be applied.
 
     The choice is written down, as every table that changes is read from it.
+    A book's plans are reduced where they lie before any is sent on.
     """
-    best = latest(plans.where("apply"), "book_id", F.col("c.score").desc_nulls_last(), "id").drop("rn")
+    order = F.struct(F.col("score").isNotNull(), "score", -F.col("id"))
+    best = plans.where("apply").groupBy("book_id").agg(F.max_by(F.struct(*plans.columns), order).alias("p")).select("p.*")
     return stored(best, "chosen")
 
 

@@ -19,15 +19,19 @@ from .sources.views import Catalog
 # Flat rows of both sides, in SQL that Spark and DuckDB share. A candidate takes its values from its own book or one of the next two.
 _BOOKS = """SELECT id, title, CASE WHEN id % 4 = 1 THEN 'a study' END AS subtitle, description, publication_year, language, CASE WHEN rating > 2 THEN page_count END AS page_count, cover_path, metadata_locked, metadata_status, resolution_outcome FROM books"""
 _NEXT = "identification_candidates i JOIN books n ON n.id = i.book_id + i.id % 3"
-_CAND = f"""SELECT i.id, i.book_id, i.run_id, i.status, i.score, CASE i.id % 4 WHEN 0 THEN 'hardcover' WHEN 1 THEN 'open_library' ELSE 'loc' END AS provider,
+_VALUES = """i.id, i.book_id, i.run_id, i.status, i.score, CASE i.id % 4 WHEN 0 THEN 'hardcover' WHEN 1 THEN 'open_library' ELSE 'loc' END AS provider,
     CASE i.id % 7 WHEN 0 THEN NULL WHEN 1 THEN upper(n.title) WHEN 2 THEN concat(n.title, ' (second edition)') ELSE n.title END AS title, CASE WHEN n.id % 4 = 1 THEN 'a study' END AS subtitle, n.description, n.publication_year, n.language, n.page_count,
-    CASE WHEN n.id % 2 = 0 THEN n.publisher_id END AS series, n.cover_path AS cover_url FROM {_NEXT}"""
+    CASE WHEN n.id % 2 = 0 THEN n.publisher_id END AS series, n.cover_path AS cover_url"""
+_CAND = f"SELECT {_VALUES} FROM {_NEXT}"
 _BOOK_AUTHORS = "SELECT book_id, name, role, CAST(position AS INT) AS position FROM book_authors JOIN authors ON id = author_id WHERE position <= 1"
-_CAND_AUTHORS = f"SELECT i.id, upper(a.name) AS name, CASE WHEN l.position = 3 THEN 'translator' WHEN l.position = 2 THEN 'author' END AS role, CAST(l.position AS INT) AS position FROM {_NEXT} JOIN book_authors l ON l.book_id = n.id AND l.position <= 3 JOIN authors a ON a.id = l.author_id"
+_QUOTED = "upper(a.name) AS name, CASE WHEN l.position = 3 THEN 'translator' WHEN l.position = 2 THEN 'author' END AS role, CAST(l.position AS INT) AS position"
+_CAND_AUTHORS = f"SELECT i.id, {_QUOTED} FROM {_NEXT} JOIN book_authors l ON l.book_id = n.id AND l.position <= 3 JOIN authors a ON a.id = l.author_id"
 _BOOK_SERIES = "SELECT p_partkey AS book_id, p_brand AS name FROM part WHERE p_partkey % 5 <> 0"
 _TENTH = "11 - (" + " + ".join(f"CAST(substring(k.value, {i + 3}, 1) AS INT) * {11 - i}" for i in range(1, 10)) + ") % 11"
-_CAND_IDS = f"""SELECT i.id, CASE WHEN k.identifier_type = 'isbn13' AND i.id % 2 = 0 THEN 'isbn10' ELSE k.identifier_type END AS identifier_type,
-    CASE WHEN k.identifier_type = 'isbn13' AND i.id % 2 = 0 THEN concat(substring(k.value, 4, 9), CASE ({_TENTH}) WHEN 11 THEN '0' WHEN 10 THEN 'X' ELSE CAST({_TENTH} AS VARCHAR(2)) END) WHEN k.identifier_type = 'isbn13' AND i.id % 3 = 0 THEN concat(substring(k.value, 1, 3), '-', substring(k.value, 4, 10)) ELSE k.value END AS value
+_KIND = "CASE WHEN k.identifier_type = 'isbn13' AND i.id % 2 = 0 THEN 'isbn10' ELSE k.identifier_type END"
+_VALUE = f"""CASE WHEN k.identifier_type = 'isbn13' AND i.id % 2 = 0 THEN concat(substring(k.value, 4, 9), CASE ({_TENTH}) WHEN 11 THEN '0' WHEN 10 THEN 'X' ELSE CAST({_TENTH} AS VARCHAR(2)) END) WHEN k.identifier_type = 'isbn13' AND i.id % 3 = 0 THEN concat(substring(k.value, 1, 3), '-', substring(k.value, 4, 10)) ELSE k.value END"""
+_CAND_IDS = f"""SELECT i.id, {_KIND} AS identifier_type,
+    {_VALUE} AS value
     FROM {_NEXT} JOIN identifiers k ON k.book_id = n.id"""
 #: What users edited: the field by the line's flags, protected after a large discount.
 _EDITS = """SELECT l_partkey AS book_id, CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'title' WHEN 'AO' THEN 'authors' WHEN 'NF' THEN 'series' WHEN 'NO' THEN 'description' WHEN 'RF' THEN 'language' ELSE 'cover' END AS field, max(l_discount) >= 0.095 AS protected
@@ -39,10 +43,32 @@ def _provenance(c: Catalog) -> DataFrame:
     return shared_sql(c, _EDITS).groupBy(F.col("book_id").alias("id")).agg(F.map_from_entries(F.collect_list(entry)).alias("provenance"))
 
 
-def _candidates(c: Catalog) -> DataFrame:
-    authors = shared_sql(c, _CAND_AUTHORS).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("position", "name", "role"))).alias("authors"))
-    ids = shared_sql(c, _CAND_IDS).groupBy("id").agg(F.collect_list(F.struct("identifier_type", "value")).alias("identifiers"))
-    return shared_sql(c, _CAND).join(authors, "id", "left").join(ids, "id", "left").withColumn("field_sources", F.expr("cast(map() as map<string, string>)"))
+def _quoted(c: Catalog, whole: bool) -> DataFrame:
+    """(next_id, n): a book as candidates quote it, with its people and identifiers; unless ``whole``, long texts are only there or not."""
+    of = lambda d, item, name: d.groupBy(F.col("book_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias(name))
+    people = of(shared_sql(c, f"SELECT l.book_id, {_QUOTED} FROM book_authors l JOIN authors a ON a.id = l.author_id WHERE l.position <= 3"), F.struct("position", "name", "role"), "authors")
+    rows = c.books.select("id", "title", "description" if whole else F.when(F.col("description").isNotNull(), "").alias("description"), "publication_year", "language", "page_count", "publisher_id", "cover_path")
+    rows = rows.join(people, "id", "left").join(of(c.identifiers, F.struct("identifier_type", "value"), "identifiers"), "id", "left")
+    return rows.select(F.col("id").alias("next_id"), F.struct(*rows.columns).alias("n"))
+
+
+def _candidates(c: Catalog, of: DataFrame | None = None) -> DataFrame:
+    """Candidates with nested people and identifiers: those of ``of(id)`` whole, or all, without long texts.
+
+    All of them meet the three books that a book's candidates quote at the
+    book, so that only what the view says of a candidate is sent there.
+    """
+    rows = c.identification_candidates
+    if of is not None:
+        rows = rows.join(of.select("id"), "id", "left_semi")
+        met = rows.select(F.struct(*rows.columns).alias("i"), (F.col("book_id") + F.col("id") % 3).alias("next_id")).join(_quoted(c, True), "next_id")
+    else:
+        sides = _quoted(c, False).select("n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), F.col("next_id")).select((F.col("next_id") - F.col("k")).alias("book_id"), "k", "n")
+        at = [F.max(F.when(F.col("k") == k, F.col("n"))).alias(f"n{k}") for k in range(3)]
+        met = rows.select("book_id", F.struct(*rows.columns).alias("i")).join(sides.groupBy("book_id").agg(*at), "book_id")
+        met = met.select("i", F.when(F.col("i.id") % 3 == 0, F.col("n0")).when(F.col("i.id") % 3 == 1, F.col("n1")).otherwise(F.col("n2")).alias("n")).where("n is not null")
+    ids = f"transform(n.identifiers, k -> named_struct('identifier_type', {_KIND}, 'value', {_VALUE})) AS identifiers"
+    return c.spark.sql(f"SELECT {_VALUES}, n.authors, {ids}, cast(map() as map<string, string>) AS field_sources FROM {{met}}", met=met)
 
 
 def _books(c: Catalog) -> DataFrame:
@@ -50,8 +76,13 @@ def _books(c: Catalog) -> DataFrame:
     return C.nested_books(rows, shared_sql(c, _BOOK_AUTHORS), shared_sql(c, _BOOK_SERIES), c.identifiers)
 
 
-def _plans(c: Catalog) -> DataFrame:
-    return R.planned(C.plan_inputs(_books(c), _candidates(c)))
+def _flags(c: Catalog) -> DataFrame:
+    return C.plan_flags(_books(c), _candidates(c))
+
+
+def _chosen(c: Catalog) -> DataFrame:
+    best = C.chosen(R.planned(_flags(c)))
+    return C.with_rows(best, _books(c), _candidates(c, best))
 
 
 _KEYS = [f"{f}_proposed" for f in _FIELDS] + [f"{f}_{'differs' if f in R.CORE else 'wanted'}" for f in _FIELDS] + [f"{f}_protected" for f in _FIELDS]
@@ -86,14 +117,14 @@ def _planned_sql() -> str:
     FROM (SELECT *, {", ".join(f"{q} AS {f}_reason" for f, q in _REASON.items())} FROM ({_inputs_sql()}) i) x"""
 
 
-add("plan_inputs", lambda c: C.plan_inputs(_books(c), _candidates(c)).select("id", "locked", "strong_id", "contradiction", *_KEYS), f"SELECT id, locked, strong_id, contradiction, {', '.join(_KEYS)} FROM ({_inputs_sql()}) z")
-add("plan_candidates", lambda c: _plans(c).select("id", "book_id", *[f"{f}_reason" for f in _FIELDS], "outcome", "apply", F.array_join("disputes", "|").alias("disputes")), f"SELECT id, book_id, {', '.join(f'{f}_reason' for f in _FIELDS)}, outcome, apply, disputes FROM ({_planned_sql()}) z")
+add("plan_inputs", lambda c: _flags(c).select("id", "locked", "strong_id", "contradiction", *_KEYS), f"SELECT id, locked, strong_id, contradiction, {', '.join(_KEYS)} FROM ({_inputs_sql()}) z")
+add("plan_candidates", lambda c: R.planned(_flags(c)).select("id", "book_id", *[f"{f}_reason" for f in _FIELDS], "outcome", "apply", F.array_join("disputes", "|").alias("disputes")), f"SELECT id, book_id, {', '.join(f'{f}_reason' for f in _FIELDS)}, outcome, apply, disputes FROM ({_planned_sql()}) z")
 _CHOSEN = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC NULLS LAST, id) AS nth FROM ({_planned_sql()}) p WHERE apply) q WHERE nth = 1"
 _TAKE = ", ".join(f"CASE WHEN p.{f}_reason = 'apply' THEN c.{theirs} ELSE b.{mine} END AS {mine}" for f, (mine, theirs) in C.SCALARS.items())
 
 
 def _applied(c: Catalog) -> DataFrame:
-    books = C.applied(C.chosen(_plans(c)), _with_changes(c))["books"][0]
+    books = C.applied(_chosen(c), _with_changes(c))["books"][0]
     owner = F.array_join(F.array_sort(F.map_keys(F.map_filter("provenance", lambda k, v: v["candidate_id"].isNotNull()))), "|")
     return books.select("id", *[mine for mine, _ in C.SCALARS.values()], "resolution_outcome", "metadata_status", owner.alias("owned"))
 
@@ -106,11 +137,11 @@ def _with_changes(c: Catalog) -> DataFrame:
 
 _OWNED = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN p.{f}_reason = 'apply' THEN '{f}' END" for f in (*C.SCALARS, "authors", "series")) + "], lambda x: x IS NOT NULL)), '|')"
 add("applied_books", _applied, f"SELECT b.id, {_TAKE}, p.outcome AS resolution_outcome, 'identified' AS metadata_status, {_OWNED} AS owned FROM ({_CHOSEN}) p JOIN ({_CAND}) c ON c.id = p.id JOIN ({_BOOKS}) b ON b.id = p.book_id")
-add("applied_candidates", lambda c: C.applied(C.chosen(_plans(c)), _with_changes(c))["candidates"][0].select("id", "status", F.size("changeset").alias("changes")), f"""
+add("applied_candidates", lambda c: C.applied(_chosen(c), _with_changes(c))["candidates"][0].select("id", "status", F.size("changeset").alias("changes")), f"""
     SELECT k.id, CASE WHEN k.id = p.id THEN 'applied' WHEN k.status = 'applied' THEN 'superseded' ELSE 'rejected' END AS status, CASE WHEN k.id = p.id THEN len(list_filter([{", ".join(f"p.{f}_reason = 'apply'" for f in (*C.SCALARS, "authors", "series"))}], lambda x: x)) END AS changes
     FROM (SELECT id, book_id, run_id, CASE WHEN id % 23 = 0 THEN 'applied' ELSE status END AS status FROM ({_CAND}) x) k JOIN ({_CHOSEN}) p ON p.book_id = k.book_id JOIN ({_CAND}) c ON c.id = p.id
     WHERE k.id = p.id OR k.status = 'applied' OR (k.run_id IS NOT DISTINCT FROM c.run_id AND k.status = 'pending')""")
-add("applied_identifiers", lambda c: C.applied(C.chosen(_plans(c)), _with_changes(c))["identifiers"][0].select("book_id", "identifier_type", "value", "provider"), f"""
+add("applied_identifiers", lambda c: C.applied(_chosen(c), _with_changes(c))["identifiers"][0].select("book_id", "identifier_type", "value", "provider"), f"""
     SELECT DISTINCT p.book_id, k.identifier_type, k.value, c.provider FROM ({_CHOSEN}) p JOIN ({_CAND}) c ON c.id = p.id JOIN ({_CAND_IDS}) k ON k.id = p.id
     WHERE p.identifiers_reason = 'apply' AND NOT EXISTS (SELECT 1 FROM identifiers i WHERE i.book_id = p.book_id AND i.identifier_type = k.identifier_type AND i.value = k.value)""")
 

@@ -127,3 +127,13 @@ def test_languages_of_all_codes(spark):
     rows = df.collect()
     assert all(r.got == r.want for r in rows) and {r.label for r in rows} >= {"Zulu", "Yoruba", "Irish"} and [r.code for r in rows].count(True) == 0
     assert len(W._languages()) >= 183 and all(len(c) == 2 for c in W._languages())
+
+
+def test_flags_carry_no_values(spark, store):
+    t = {n: store.read(n) for n in TABLES}
+    books = C.nested_books(t["books"], t["book_authors"], t["book_series"], t["identifiers"])
+    flags = C.plan_flags(books, proposals(spark))
+    assert {kind for n, kind in flags.dtypes if n not in ("id", "book_id", "score")} == {"boolean"}
+    best = C.chosen(planned(flags))
+    got = {r.id: r for r in C.with_rows(best, books, proposals(spark)).collect()}
+    assert set(got) == {10, 20} and got[10].c.description == "Sand." and got[10].b.title == "Dune" and got[10].description_reason == "apply"
