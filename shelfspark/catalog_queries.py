@@ -19,6 +19,7 @@ from .registry import ORACLES, QUERIES  # noqa: F401
 from .registry import add as _add
 from .registry import rounded as _r
 from .registry import shared_sql
+from .scalar_queries import isbns_sql
 from .sources.views import Catalog, oracle
 from .sources.work import work_dir
 from .streaming import events as S
@@ -123,7 +124,7 @@ _ODD = " + ".join(f"CAST(substring(value, {i}, 1) AS INT) * {1 if i % 2 else 3}"
 _add("isbn_validate", lambda c: c.identifiers.where("identifier_type = 'isbn13'").select("book_id", "value", T.isbn13_ok(F.col("value")).alias("ok")), f"SELECT book_id, value, ({_ODD}) % 10 = 0 AS ok FROM identifiers WHERE identifier_type = 'isbn13'")
 _TEN = " + ".join(f"CAST(substring(value, {i + 3}, 1) AS INT) * {11 - i}" for i in range(1, 10))
 _add("isbn_convert", lambda c: c.identifiers.where("identifier_type = 'isbn13'").select("book_id", T.isbn13_to_10(F.col("value")).alias("isbn10")), f"SELECT book_id, CASE WHEN ({_ODD}) % 10 = 0 THEN concat(substring(value, 4, 9), CASE (11 - ({_TEN}) % 11) % 11 WHEN 10 THEN 'X' ELSE CAST((11 - ({_TEN}) % 11) % 11 AS VARCHAR) END) END AS isbn10 FROM identifiers WHERE identifier_type = 'isbn13'")
-_add("isbn_scan", lambda c: c.documents.join(c.identifiers.where("identifier_type = 'isbn13'").select(F.col("book_id").alias("doc_id"), "value"), "doc_id", "left").select("doc_id", F.array_join(W.scan_isbns(F.concat(F.col("text"), F.coalesce(F.concat(F.lit(" ISBN "), "value", F.lit(".")), F.lit("")))), "|").alias("found")), f"SELECT doc_id, CASE WHEN value IS NOT NULL AND ({_ODD}) % 10 = 0 THEN concat('isbn13:', value) ELSE '' END AS found FROM documents LEFT JOIN (SELECT book_id, value FROM identifiers WHERE identifier_type = 'isbn13') i ON book_id = doc_id")
+_add("isbn_scan", lambda c: c.documents.join(c.identifiers.where("identifier_type = 'isbn13'").select(F.col("book_id").alias("doc_id"), "value"), "doc_id", "left").select("doc_id", F.array_join(W.scan_isbns(F.concat(F.col("text"), F.coalesce(F.concat(F.lit(" ISBN "), "value", F.lit(".")), F.lit("")))), "|").alias("found")), f"SELECT doc_id, {isbns_sql('t')} AS found FROM (SELECT doc_id, text || coalesce(' ISBN ' || value || '.', '') AS t FROM documents LEFT JOIN (SELECT book_id, value FROM identifiers WHERE identifier_type = 'isbn13') i ON book_id = doc_id) x")
 _add("sentences", lambda c: c.documents.select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n")), "SELECT doc_id, CAST(len(list_filter(string_split_regex(regexp_replace(text, '([.?!][\"'')\\]]{0,3})\\s+', '\\1\x01', 'g'), '\x01'), lambda x: x <> '')) AS BIGINT) AS n FROM documents")
 _add("year_parse", lambda c: c.books.select("id", T.leading_year(F.expr("concat(cast(publication_year as string), '-05-01')")).alias("year")), "SELECT id, CAST(publication_year AS INT) AS year FROM books")
 _add("content_hash", lambda c: c.documents.select("doc_id", F.sha2("text", 256).alias("sha256")), "SELECT doc_id, sha256(text) AS sha256 FROM documents")

@@ -66,8 +66,37 @@ scalar("parse_identifier", "CASE book_id % 4 WHEN 0 THEN concat(substring(value,
            "kind := CASE WHEN scheme = 'AMAZON-ASIN' AND regexp_matches(replace(raw, '-', ''), '^[0-9A-Za-z]{10}$') THEN 'asin' WHEN regexp_matches(replace(raw, '-', ''), '^97[89][0-9]{10}$') THEN 'isbn13' WHEN regexp_matches(replace(raw, '-', ''), '^[0-9]{9}[0-9X]$') THEN 'isbn10' WHEN regexp_matches(replace(raw, '-', ''), '^B[0-9A-Za-z]{9}$') THEN 'asin' END; "
            "value := CASE WHEN regexp_matches(replace(raw, '-', ''), '^97[89][0-9]{10}$|^[0-9]{9}[0-9X]$|^B[0-9A-Za-z]{9}$') OR (scheme = 'AMAZON-ASIN' AND regexp_matches(replace(raw, '-', ''), '^[0-9A-Za-z]{10}$')) THEN replace(raw, '-', '') END"), "identifiers", "book_id")
 scalar("valid_identifier", "identifier_type AS kind ;; CASE WHEN book_id % 9 = 0 THEN '9780000000000' ELSE value END AS val", W.is_valid_identifier, f"CASE kind WHEN 'isbn13' THEN val <> '9780000000000' AND ({_ODD13.format('val')} + CAST(substring(val, 13, 1) AS INT)) % 10 = 0 ELSE true END".replace("CAST(substring", "TRY_CAST(substring"), "identifiers", "book_id")
+
+
+def isbns_sql(t: str, checksum: bool = True) -> str:
+    """SQL of ``scan_isbns``: places of matches are lengths of what lies before them once matches stand between two marks."""
+    def spans(pattern: str, to: str) -> str:
+        p = f"string_split(regexp_replace({t}, '{pattern}', concat({to}), 'g'), chr(1))"
+        return f"list_transform({p}[2:], lambda x, i: {{'a': list_sum(list_transform({p}[1:i], lambda y: len(replace(y, chr(2), '')))), 'm': split_part(x, chr(2), 1)}})"
+
+    last = r"([^\p{L}\p{N}_]|$)"  # the end of a word for all alphabets
+    kept, marked = "'\\1', chr(1), '\\2', chr(2)", "chr(1), '\\1', chr(2), '\\2'"
+    taken = f"list_concat({spans(_LABEL, kept)}, {spans(_ADDRESS, kept)})"
+    digits = lambda v, n, weight: f"list_sum(list_transform(range(1, {n + 1}), lambda j: CASE substring({v}, j, 1) WHEN 'X' THEN 10 ELSE TRY_CAST(substring({v}, j, 1) AS INT) END * {weight}))"
+    right13, right10 = (f"{digits('v', 13, 'CASE WHEN j % 2 = 0 THEN 3 ELSE 1 END')} % 10 = 0", f"{digits('v', 10, '(11 - j)')} % 11 = 0") if checksum else ("true", "true")
+    thirteen = rf"list_transform(regexp_extract_all({t}, '(97[89][\p{{Nd}}\- ]{{9,16}}\p{{Nd}}){last}', 1), lambda m: regexp_replace(m, '[^0-9]', '', 'g'))"
+    free = f"list_filter({spans(rf'(\p{{Nd}}[\p{{Nd}}\- ]{{8,12}}[\p{{Nd}}Xx]){last}', marked)}, lambda s: len(list_filter({taken}, lambda k: s.a < k.a + len(k.m) AND k.a < s.a + len(s.m))) = 0)"
+    ten = f"list_transform({free}, lambda s: upper(regexp_replace(s.m, '[^0-9Xx]', '', 'g')))"
+    found = f"list_concat(list_transform(list_filter({thirteen}, lambda v: len(v) = 13 AND {right13}), lambda v: concat('isbn13:', v)), list_transform(list_filter({ten}, lambda v: regexp_matches(v, '^[0-9]{{9}}[0-9X]$') AND NOT regexp_matches(v, '^97[89]') AND {right10}), lambda v: concat('isbn10:', v)))"
+    return first_seen_sql(found)
+
+
+def first_seen_sql(found: str) -> str:
+    """Distinct values of a list in order, joined by ``|``."""
+    return f"coalesce(array_to_string(list_filter({found}, lambda f, i: list_position({found}, f) = i), '|'), '')"
+
+
+_LABEL = r"(?i)(\b(?:LCCN|Library\s+of\s+Congress\s+Control\s+Number)\b\s*:?\s*)((?:\d[\s-]?){8,12})\b"
+_ADDRESS = r"(?i)(\blccn\.loc\.gov/)(\d{8,12})\b"
+_LCCNS = first_seen_sql(f"list_filter(list_transform(list_concat(regexp_extract_all(t, '{_LABEL}', 2), regexp_extract_all(t, '{_ADDRESS}', 2)), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda v: len(v) BETWEEN 8 AND 12)")
+
 _LOOSE = "CASE doc_id % 5 WHEN 0 THEN concat(text, ' ISBN 0-306-40615-2 or 0306406153.') WHEN 1 THEN concat('978-0-306-40615-7 ', text, ' 080442957X') WHEN 2 THEN concat(text, ' LCCN: 20030403 ', '0306406152.') WHEN 3 THEN concat(text, ' lccn.loc.gov/2003012345 LCCN 2003012345') ELSE text END AS t"
-scalar("isbn_scan_all", _LOOSE, lambda t: {"found": F.array_join(W.scan_isbns(t), "|"), "loose": F.array_join(W.scan_isbns(t, checksum=False), "|"), "lccn": F.array_join(W.lccn_values(t), "|")}, "found := CASE doc_id % 5 WHEN 0 THEN 'isbn10:0306406152' WHEN 1 THEN 'isbn13:9780306406157|isbn10:080442957X' ELSE '' END; loose := CASE doc_id % 5 WHEN 0 THEN 'isbn10:0306406152|isbn10:0306406153' WHEN 1 THEN 'isbn13:9780306406157|isbn10:080442957X' ELSE '' END; lccn := CASE doc_id % 5 WHEN 2 THEN '20030403' WHEN 3 THEN '2003012345' ELSE '' END", "documents", "doc_id")
+scalar("isbn_scan_all", _LOOSE, lambda t: {"found": F.array_join(W.scan_isbns(t), "|"), "loose": F.array_join(W.scan_isbns(t, checksum=False), "|"), "lccn": F.array_join(W.lccn_values(t), "|")}, f"found := {isbns_sql('t')}; loose := {isbns_sql('t', False)}; lccn := {_LCCNS}", "documents", "doc_id")
 scalar("scan_confidence", "rating / CAST(5.0 AS DOUBLE) AS base ;; id % 4 AS n", lambda base, n: F.round(W.scan_confidence(base, n), 6), "round(least(greatest(base * CASE n WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0.8 ELSE 0.6 END, 0), 1)::DOUBLE, 6)")
 scalar("language_codes", "CASE id % 9 WHEN 0 THEN 'en-US' WHEN 1 THEN ' GER ' WHEN 2 THEN 'fra' WHEN 3 THEN 'Español' WHEN 4 THEN 'Undetermined' WHEN 5 THEN 'english' WHEN 6 THEN 'xx' WHEN 7 THEN 'pt_BR' ELSE language END AS t", lambda t: {"code": W.normalize_language(t), "label": W.language_label(W.normalize_language(t))}, "code := CASE id % 9 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' WHEN 3 THEN 'es' WHEN 4 THEN NULL WHEN 5 THEN 'en' WHEN 6 THEN NULL WHEN 7 THEN 'pt' ELSE t END; label := CASE CASE id % 9 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' WHEN 3 THEN 'es' WHEN 5 THEN 'en' WHEN 7 THEN 'pt' WHEN 8 THEN t END WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' WHEN 'pt' THEN 'Portuguese' END")
 _Y = "CAST(1900 + id % 120 AS VARCHAR(4))"
