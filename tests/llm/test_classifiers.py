@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shelfspark.llm import quality_model, toxicity
@@ -56,3 +57,24 @@ def test_one_class_and_empty_tables(spark, make_docs):
             model = module.fit(docs, lab)
             assert len({r.score for r in score(docs, model).collect()}) == 1
             assert score(make_docs([]), model).count() == 0
+
+
+def test_every_label_reaches_the_quality_model(spark, make_docs):
+    docs, labels = corpus(21_000)
+    docs = [(i, t[:60]) for i, t in docs]
+    rows = quality_model.labelled_features(make_docs(docs), spark.createDataFrame(labels, LABELS))
+    want = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert sorted(r.doc_id for r in rows.select("doc_id").collect()) == want
+    drawn = quality_model._drawn(rows.where("y"), rows.where("not y"), rows.where("not y").count(), 2)
+    assert drawn.count() == 2 * rows.where("y").count()
+
+
+def test_cut_equals_that_of_all_scores(spark):
+    draw = np.random.default_rng(3)
+    for s in (draw.normal(size=30_000), np.round(draw.normal(size=500), 1), np.ones(7), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in s], "s double")
+        for poor in (1, len(s) // 3, len(s) - 1):
+            cut = float(np.quantile(s, poor / len(s)))
+            below, above = s[s < cut - 1e-12], s[s >= cut - 1e-12]
+            want = (below.max() + above.min()) / 2 if len(below) else cut
+            assert abs(quality_model._cut(df, len(s), poor) - want) < 1e-9
