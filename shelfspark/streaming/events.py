@@ -79,13 +79,37 @@ def foreign_removals(removals: DataFrame, deletions: DataFrame, seconds: int = 3
     an own deletion explains are dropped once its time is past, which bounds
     the state.
     """
+    if not removals.isStreaming:
+        return _unexplained(removals, deletions, seconds)
     own = deletions.select(F.col("path").alias("own_path"), F.col("ts").alias("own_ts"))
     near = (F.col("path") == F.col("own_path")) & (F.col("ts") >= F.col("own_ts")) & (F.col("ts") < F.col("own_ts") + F.expr(f"interval {seconds} seconds"))
-    if not removals.isStreaming:
-        return removals.join(own, near, "left_anti")
     return removals.join(own, near, "left_outer").where("own_path is null").drop("own_path", "own_ts")
 
 
+def _unexplained(removals: DataFrame, deletions: DataFrame, seconds: int) -> DataFrame:
+    """The rows of ``foreign_removals`` in batch, in time that grows with the rows, however many share a path.
+
+    Time is cut into spans of ``seconds``. A deletion explains a removal if it
+    is in the same span and not later, or in the span before and less than
+    ``seconds`` ago; so the first and last deletion of a path and span suffice.
+    """
+    if seconds <= 0:
+        return removals
+    span = seconds * 1_000_000
+
+    def timed(df: DataFrame) -> DataFrame:
+        # local times are told apart as they are written, whatever the session's zone makes of them
+        ts = F.concat(F.col("ts").cast("string"), F.lit("Z")) if dict(df.dtypes)["ts"] == "timestamp_ntz" else F.col("ts")
+        micros = F.unix_micros(ts.cast("timestamp"))
+        return df.withColumns({"own_": micros, "at_": micros - F.pmod(micros, F.lit(span))})
+
+    seen = timed(deletions).groupBy("path", "at_").agg(F.min("own_").alias("first_"), F.max("own_").alias("last_"))
+    rows = timed(removals).join(seen.drop("last_"), ["path", "at_"], "left")
+    rows = rows.join(seen.select("path", (F.col("at_") + span).alias("at_"), "last_"), ["path", "at_"], "left")
+    explained = (F.col("first_") <= F.col("own_")) | (F.col("last_") > F.col("own_") - span)
+    return rows.where(~F.coalesce(explained, F.lit(False))).select(*removals.columns)
+
+
 def finished_imports(imports: DataFrame, completions: DataFrame, wait: str = "1 hour") -> DataFrame:
     """Files of ``imports(task_id, path, ts)`` whose task succeeded: these may be deleted at their source. As streams both need a watermark on ``ts``."""
     done = completions.where("status = 'completed'").select(F.col("task_id").alias("done_id"), F.col("ts").alias("done_at"))
