@@ -74,7 +74,12 @@ def language_checked(candidates: DataFrame, model: Languages) -> DataFrame:
     again after merging, which may have filled in either field. A text without
     a reliable language, and a candidate without a language, match.
     """
-    rows = detected(candidates.withColumn("language_mismatch", F.coalesce("language_mismatch", F.lit(False))), "description", model)
+    return language_judged(detected(candidates, "description", model)).drop("detected", "ahead", "reliable")
+
+
+def language_judged(rows: DataFrame) -> DataFrame:
+    """``language_checked`` of rows whose texts have been ``detected`` already, as where many candidates quote one description."""
+    rows = rows.withColumn("language_mismatch", F.coalesce("language_mismatch", F.lit(False)))
     new = ~F.col("language_mismatch") & language_mismatch(F.col("language"), F.col("detected"), F.col("reliable"))
     score = F.when(new, F.greatest(F.least(F.col("score") - PENALTY, F.lit(1.0)), F.lit(0.0))).otherwise(F.col("score"))
-    return rows.withColumn("new_", new).withColumn("score", score).withColumn("language_mismatch", F.col("language_mismatch") | F.col("new_")).drop("new_", "detected", "ahead", "reliable")
+    return rows.withColumn("new_", new).withColumn("score", score).withColumn("language_mismatch", F.col("language_mismatch") | F.col("new_")).drop("new_")
