@@ -8,6 +8,7 @@ each field its old value and old provenance.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,8 +49,8 @@ def _proofs(identifiers: Column) -> Column:
     return F.filter(F.flatten(F.transform(identifiers, keys)), lambda k: k.isNotNull())
 
 
-def plan_flags(books: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row for each candidate with a book: ``id``, ``book_id``, ``score`` and the flags that ``planned`` reads.
+def plan_flags(books: DataFrame, candidates: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """One row for each candidate with a book: ``id``, ``book_id``, ``score``, ``carried`` columns of candidates and the flags that ``planned`` reads.
 
     Rows stay small however long the values are: of values that are only
     wanted or not, no more than their presence travels; ``with_rows`` fetches
@@ -69,7 +70,7 @@ def plan_flags(books: DataFrame, candidates: DataFrame) -> DataFrame:
     there = lambda n: F.when(F.col(n).isNotNull(), F.lit(True)).alias(n)
     scalars = [SCALARS[f] for f in ENRICHMENT if f in SCALARS]
     b = books.select(F.col("id").alias("book_id"), F.struct("title", "authors", "series", "identifiers", "trusted", "metadata_locked", "provenance", *[there(mine) for mine, _ in scalars]).alias("b"))
-    score = ["score"] if "score" in candidates.columns else []
+    score = [*(["score"] if "score" in candidates.columns else []), *carried]
     rows = candidates.where("book_id is not null").select("id", "book_id", *score, F.struct("title", "authors", "series", "identifiers", *[there(theirs) for _, theirs in scalars]).alias("c")).join(b, "book_id")
     B, C = (lambda f: F.col(f"b.{f}")), (lambda f: F.col(f"c.{f}"))
     some = lambda c: F.coalesce(c, F.array())

@@ -19,10 +19,12 @@ from .sources.views import Catalog
 # Flat rows of both sides, in SQL that Spark and DuckDB share. A candidate takes its values from its own book or one of the next two.
 _BOOKS = """SELECT id, title, CASE WHEN id % 4 = 1 THEN 'a study' END AS subtitle, description, publication_year, language, CASE WHEN rating > 2 THEN page_count END AS page_count, cover_path, metadata_locked, metadata_status, resolution_outcome FROM books"""
 _NEXT = "identification_candidates i JOIN books n ON n.id = i.book_id + i.id % 3"
-_VALUES = """i.id, i.book_id, i.run_id, i.status, i.score, CASE i.id % 4 WHEN 0 THEN 'hardcover' WHEN 1 THEN 'open_library' ELSE 'loc' END AS provider,
+_PROVIDER = "CASE {0} % 4 WHEN 0 THEN 'hardcover' WHEN 1 THEN 'open_library' ELSE 'loc' END"
+_OWN = ("id", "book_id", "run_id", "status", "score")
+_QUOTES = f"""{_PROVIDER.format('i.id')} AS provider,
     CASE i.id % 7 WHEN 0 THEN NULL WHEN 1 THEN upper(n.title) WHEN 2 THEN concat(n.title, ' (second edition)') ELSE n.title END AS title, CASE WHEN n.id % 4 = 1 THEN 'a study' END AS subtitle, n.description, n.publication_year, n.language, n.page_count,
     CASE WHEN n.id % 2 = 0 THEN n.publisher_id END AS series, n.cover_path AS cover_url"""
-_CAND = f"SELECT {_VALUES} FROM {_NEXT}"
+_CAND = f"SELECT {', '.join(f'i.{n}' for n in _OWN)}, {_QUOTES} FROM {_NEXT}"
 _BOOK_AUTHORS = "SELECT book_id, name, role, CAST(position AS INT) AS position FROM book_authors JOIN authors ON id = author_id WHERE position <= 1"
 _QUOTED = "upper(a.name) AS name, CASE WHEN l.position = 3 THEN 'translator' WHEN l.position = 2 THEN 'author' END AS role, CAST(l.position AS INT) AS position"
 _CAND_AUTHORS = f"SELECT i.id, {_QUOTED} FROM {_NEXT} JOIN book_authors l ON l.book_id = n.id AND l.position <= 3 JOIN authors a ON a.id = l.author_id"
@@ -43,32 +45,45 @@ def _provenance(c: Catalog) -> DataFrame:
     return shared_sql(c, _EDITS).groupBy(F.col("book_id").alias("id")).agg(F.map_from_entries(F.collect_list(entry)).alias("provenance"))
 
 
-def _quoted(c: Catalog, whole: bool) -> DataFrame:
-    """(next_id, n): a book as candidates quote it, with its people and identifiers; unless ``whole``, long texts are only there or not."""
+def _by_reference(c: Catalog) -> Catalog:
+    """The catalog with each text of ``documents`` as its row's id: plans only ask whether there is one and pass it on, so ``_with_texts`` fetches it where they end."""
+    out = Catalog(c.spark, c.sf_dir)
+    out._made["documents"] = c.documents.withColumn("text", F.when(F.col("text").isNotNull(), F.col("doc_id").cast("string")))
+    return out
+
+
+def _with_texts(c: Catalog, rows: DataFrame) -> DataFrame:
+    """``rows`` with the text that ``description`` refers to."""
+    texts = c.documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("string").alias("description"), "text")
+    return rows.join(texts, "description", "left").withColumn("description", F.col("text")).select(*rows.columns)
+
+
+def _quoted(c: Catalog) -> DataFrame:
+    """(next_id, n): a book as candidates quote it, with its people and identifiers."""
     of = lambda d, item, name: d.groupBy(F.col("book_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias(name))
     people = of(shared_sql(c, f"SELECT l.book_id, {_QUOTED} FROM book_authors l JOIN authors a ON a.id = l.author_id WHERE l.position <= 3"), F.struct("position", "name", "role"), "authors")
-    rows = c.books.select("id", "title", "description" if whole else F.when(F.col("description").isNotNull(), "").alias("description"), "publication_year", "language", "page_count", "publisher_id", "cover_path")
+    rows = c.books.select("id", "title", "description", "publication_year", "language", "page_count", "publisher_id", "cover_path")
     rows = rows.join(people, "id", "left").join(of(c.identifiers, F.struct("identifier_type", "value"), "identifiers"), "id", "left")
     return rows.select(F.col("id").alias("next_id"), F.struct(*rows.columns).alias("n"))
 
 
-def _candidates(c: Catalog, of: DataFrame | None = None) -> DataFrame:
-    """Candidates with nested people and identifiers: those of ``of(id)`` whole, or all, without long texts.
+def _candidates(c: Catalog, of: DataFrame | None = None, own: tuple[str, ...] = _OWN) -> DataFrame:
+    """Candidates with nested people and identifiers, and the columns ``own`` of theirs: those of ``of``, rows of ``plan_flags``, or all.
 
     All of them meet the three books that a book's candidates quote at the
     book, so that only what the view says of a candidate is sent there.
     """
-    rows = c.identification_candidates
+    rows = (c.identification_candidates if of is None else of).select(*own)
     if of is not None:
-        rows = rows.join(of.select("id"), "id", "left_semi")
-        met = rows.select(F.struct(*rows.columns).alias("i"), (F.col("book_id") + F.col("id") % 3).alias("next_id")).join(_quoted(c, True), "next_id")
+        met = rows.select("book_id", F.struct(*rows.columns).alias("i"), (F.col("book_id") + F.col("id") % 3).alias("next_id")).join(_quoted(c), "next_id")
     else:
-        sides = _quoted(c, False).select("n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), F.col("next_id")).select((F.col("next_id") - F.col("k")).alias("book_id"), "k", "n")
+        sides = _quoted(c).select("n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), F.col("next_id")).select((F.col("next_id") - F.col("k")).alias("book_id"), "k", "n")
         at = [F.max(F.when(F.col("k") == k, F.col("n"))).alias(f"n{k}") for k in range(3)]
         met = rows.select("book_id", F.struct(*rows.columns).alias("i")).join(sides.groupBy("book_id").agg(*at), "book_id")
-        met = met.select("i", F.when(F.col("i.id") % 3 == 0, F.col("n0")).when(F.col("i.id") % 3 == 1, F.col("n1")).otherwise(F.col("n2")).alias("n")).where("n is not null")
+        met = met.select("book_id", "i", F.when(F.col("i.id") % 3 == 0, F.col("n0")).when(F.col("i.id") % 3 == 1, F.col("n1")).otherwise(F.col("n2")).alias("n")).where("n is not null")
     ids = f"transform(n.identifiers, k -> named_struct('identifier_type', {_KIND}, 'value', {_VALUE})) AS identifiers"
-    return c.spark.sql(f"SELECT {_VALUES}, n.authors, {ids}, cast(map() as map<string, string>) AS field_sources FROM {{met}}", met=met)
+    # the book's id stays the column that rows met by, so they need not be sent again to meet the book itself
+    return c.spark.sql(f"SELECT {', '.join(n if n == 'book_id' else f'i.{n}' for n in own)}, {_QUOTES}, n.authors, {ids}, cast(map() as map<string, string>) AS field_sources FROM {{met}}", met=met)
 
 
 def _books(c: Catalog) -> DataFrame:
@@ -76,13 +91,16 @@ def _books(c: Catalog) -> DataFrame:
     return C.nested_books(rows, shared_sql(c, _BOOK_AUTHORS), shared_sql(c, _BOOK_SERIES), c.identifiers)
 
 
-def _flags(c: Catalog) -> DataFrame:
-    return C.plan_flags(_books(c), _candidates(c))
+def _flags(c: Catalog, *carried: str) -> DataFrame:
+    c = _by_reference(c)
+    return C.plan_flags(_books(c), _candidates(c, own=("id", "book_id", "score", *carried)), carried)
 
 
-def _chosen(c: Catalog) -> DataFrame:
-    best = C.chosen(R.planned(_flags(c)))
-    return C.with_rows(best, _books(c), _candidates(c, best))
+def _applied(c: Catalog) -> dict[str, tuple[DataFrame | None, DataFrame | None]]:
+    """What applying each book's best candidate changes; descriptions are references. All candidates are read once, for their flags."""
+    flags, c = _flags(c, "run_id", "status"), _by_reference(c)
+    best = C.chosen(R.planned(flags))
+    return C.applied(C.with_rows(best.drop("run_id", "status"), _books(c), _candidates(c, best)), _with_changes(flags))
 
 
 _KEYS = [f"{f}_proposed" for f in _FIELDS] + [f"{f}_{'differs' if f in R.CORE else 'wanted'}" for f in _FIELDS] + [f"{f}_protected" for f in _FIELDS]
@@ -123,25 +141,25 @@ _CHOSEN = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORD
 _TAKE = ", ".join(f"CASE WHEN p.{f}_reason = 'apply' THEN c.{theirs} ELSE b.{mine} END AS {mine}" for f, (mine, theirs) in C.SCALARS.items())
 
 
-def _applied(c: Catalog) -> DataFrame:
-    books = C.applied(_chosen(c), _with_changes(c))["books"][0]
+def _applied_books(c: Catalog) -> DataFrame:
+    books = _with_texts(c, _applied(c)["books"][0])
     owner = F.array_join(F.array_sort(F.map_keys(F.map_filter("provenance", lambda k, v: v["candidate_id"].isNotNull()))), "|")
     return books.select("id", *[mine for mine, _ in C.SCALARS.values()], "resolution_outcome", "metadata_status", owner.alias("owned"))
 
 
-def _with_changes(c: Catalog) -> DataFrame:
+def _with_changes(flags: DataFrame) -> DataFrame:
     none = {"disputes": "array<string>", "changeset": C.CHANGES, "old_status": "string", "old_outcome": "string"}
-    rows = shared_sql(c, f"SELECT id, book_id, run_id, provider, CASE WHEN id % 23 = 0 THEN 'applied' ELSE status END AS status FROM ({_CAND}) x")
+    rows = flags.select("id", "book_id", "run_id", F.expr(_PROVIDER.format("id")).alias("provider"), F.expr("CASE WHEN id % 23 = 0 THEN 'applied' ELSE status END").alias("status"))
     return rows.withColumns({n: F.lit(None).cast(t) for n, t in none.items()})
 
 
 _OWNED = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN p.{f}_reason = 'apply' THEN '{f}' END" for f in (*C.SCALARS, "authors", "series")) + "], lambda x: x IS NOT NULL)), '|')"
-add("applied_books", _applied, f"SELECT b.id, {_TAKE}, p.outcome AS resolution_outcome, 'identified' AS metadata_status, {_OWNED} AS owned FROM ({_CHOSEN}) p JOIN ({_CAND}) c ON c.id = p.id JOIN ({_BOOKS}) b ON b.id = p.book_id")
-add("applied_candidates", lambda c: C.applied(_chosen(c), _with_changes(c))["candidates"][0].select("id", "status", F.size("changeset").alias("changes")), f"""
+add("applied_books", _applied_books, f"SELECT b.id, {_TAKE}, p.outcome AS resolution_outcome, 'identified' AS metadata_status, {_OWNED} AS owned FROM ({_CHOSEN}) p JOIN ({_CAND}) c ON c.id = p.id JOIN ({_BOOKS}) b ON b.id = p.book_id")
+add("applied_candidates", lambda c: _applied(c)["candidates"][0].select("id", "status", F.size("changeset").alias("changes")), f"""
     SELECT k.id, CASE WHEN k.id = p.id THEN 'applied' WHEN k.status = 'applied' THEN 'superseded' ELSE 'rejected' END AS status, CASE WHEN k.id = p.id THEN len(list_filter([{", ".join(f"p.{f}_reason = 'apply'" for f in (*C.SCALARS, "authors", "series"))}], lambda x: x)) END AS changes
     FROM (SELECT id, book_id, run_id, CASE WHEN id % 23 = 0 THEN 'applied' ELSE status END AS status FROM ({_CAND}) x) k JOIN ({_CHOSEN}) p ON p.book_id = k.book_id JOIN ({_CAND}) c ON c.id = p.id
     WHERE k.id = p.id OR k.status = 'applied' OR (k.run_id IS NOT DISTINCT FROM c.run_id AND k.status = 'pending')""")
-add("applied_identifiers", lambda c: C.applied(_chosen(c), _with_changes(c))["identifiers"][0].select("book_id", "identifier_type", "value", "provider"), f"""
+add("applied_identifiers", lambda c: _applied(c)["identifiers"][0].select("book_id", "identifier_type", "value", "provider"), f"""
     SELECT DISTINCT p.book_id, k.identifier_type, k.value, c.provider FROM ({_CHOSEN}) p JOIN ({_CAND}) c ON c.id = p.id JOIN ({_CAND_IDS}) k ON k.id = p.id
     WHERE p.identifiers_reason = 'apply' AND NOT EXISTS (SELECT 1 FROM identifiers i WHERE i.book_id = p.book_id AND i.identifier_type = k.identifier_type AND i.value = k.value)""")
 
