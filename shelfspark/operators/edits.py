@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import partitions
 from .library import latest
 
 MERGED_FIELDS = ("description", "language", "publisher_id", "publication_year", "page_count", "rating")
@@ -72,6 +73,30 @@ def settled_links(links: DataFrame, merges: DataFrame) -> DataFrame:
     return links.join(found, ["book_id_a", "book_id_b"], "left").withColumn("status", status).drop("own")
 
 
+def linked_members(books: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``books(id, key)`` that share the key with another id, without making a pair; a null shares nothing."""
+    many = books.groupBy(*key).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
+    return books.join(many, key)
+
+
+def settled_classes(books: DataFrame, key: list[str], wins: Column, status: Column) -> DataFrame:
+    """``settled_links`` of all pairs of ``books(id, key)`` that share the key, after every book became part of its class's least one before it that ``wins``.
+
+    ``status`` (of ``book_id_a``, ``book_id_b``) is that of a pair before. What
+    a merge says of a pair stands at its two books, so books are joined and
+    made pairs last: no pair is sent or sorted, though their number is the
+    square of a class.
+    """
+    first = books.groupBy(*key).agg(F.min(F.when(wins, F.col("id"))).alias("first"))
+    known = books.join(first, key).select("id", *key, F.when(F.col("first") < F.col("id"), F.col("first")).alias("into"))
+    known = known.repartition(partitions(books.sparkSession), *key)  # few bytes make many pairs
+    side = lambda s: known.select(*key, F.col("id").alias(f"book_id_{s}"), F.col("into").alias(f"into_{s}"))
+    pairs = side("a").join(side("b"), key).where("book_id_a < book_id_b")
+    gone = F.col("into_a").isNotNull() | F.col("into_b").isNotNull()
+    now = F.when(F.col("into_b") == F.col("book_id_a"), "merged").when(gone & (F.col("status") == "pending"), "dismissed").otherwise(F.col("status"))
+    return pairs.withColumn("status", status).select("book_id_a", "book_id_b", now.alias("status"))
+
+
 def merged_series(series: DataFrame, links: DataFrame, source, target, name: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Series and links after ``source`` became part of ``target``, which may get a new name."""
     rows = series.where(F.col("id") != F.lit(source))

@@ -27,6 +27,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def partitions(spark: SparkSession) -> int:
+    """Tasks to deal small tables to whose rows cost much each."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the application's folder and read back."""
     path = work_dir(df.sparkSession, name)

@@ -5,6 +5,7 @@ import random
 
 from shelfspark import catalog_queries as Q
 from shelfspark import plan_queries
+from shelfspark.operators import edits
 from shelfspark.sources.views import Catalog
 from shelfspark.streaming import events
 
@@ -52,3 +53,21 @@ def test_texts_are_fetched_where_plans_end(spark):
     assert any(texts.values()) and all(r.description == (str(r.id) if texts[r.id] is not None else None) for r in light.books.select("id", "description").collect())
     rows = spark.createDataFrame([(1, "3"), (2, None), (3, "999999999")], "id long, description string")
     assert {r.id: r.description for r in plan_queries._with_texts(c, rows).collect()} == {1: texts[3], 2: None, 3: None}
+
+
+def test_links_of_equal_books_are_settled_at_the_books(spark):
+    rng, col = random.Random(9), plan_queries.F.col
+    books = [(i, rng.choice("abc"), rng.choice(["x", "y", None])) for i in range(60)] + [(100, "d", "x")]
+    rows = spark.createDataFrame(books, "id long, k string, l string")
+    pairs = [(a, b) for a, k, l in books for b, m, n in books if a < b and k == m and l == n and l]
+    state = lambda a: ("pending", "merged", "dismissed")[a % 3]
+    into = {b: min(a for a, c in pairs if c == b and a % 2 == 0) for b in {b for a, b in pairs if a % 2 == 0}}
+    want = {(a, b): "merged" if into.get(b) == a else "dismissed" if state(a) == "pending" and (a in into or b in into) else state(a) for a, b in pairs}
+    status = plan_queries.F.expr("CASE book_id_a % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'merged' ELSE 'dismissed' END")
+    got = edits.settled_classes(rows, ["k", "l"], col("id") % 2 == 0, status)
+    assert {(r.book_id_a, r.book_id_b): r.status for r in got.collect()} == want
+    assert sorted(r.id for r in edits.linked_members(rows, ["k", "l"]).collect()) == sorted({i for p in pairs for i in p})
+    for name in ("merge_links", "scope_count"):  # pairs are the last join, or none is made
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        lines = plan.splitlines()
+        assert not any("p_partkey" in line and "<" in line for line in lines[2:] if "Join" in line)
