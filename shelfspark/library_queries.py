@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import library as L
 from .operators import lists as N
 from .operators import sync as Y
+from .operators.edits import linked_members
 from .registry import add, shared_sql
 from .sources.views import Catalog
 from .streaming import events as S
@@ -39,7 +40,7 @@ add("watched_enabled", lambda c: c.watched_directories.where("enabled").orderBy(
 add("users_active", lambda c: c.users.where("is_active").groupBy("role").agg(F.count(F.lit(1)).alias("n")), "SELECT role, count(*) AS n FROM users WHERE is_active GROUP BY role")
 add("table_sizes", lambda c: N.table_sizes(c, ("books", "authors", "book_files", "identifiers", "tasks")), " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in ("books", "authors", "book_files", "identifiers", "tasks")))
 _OUT = "SELECT book_id_a AS id FROM duplicate_links UNION ALL SELECT book_id_b FROM duplicate_links UNION ALL SELECT 999999999"
-add("scope_count", lambda c: c.books.where("language = 'en'").join(shared_sql(c, _OUT.replace("UNION ALL SELECT 999999999", "UNION ALL SELECT max(id) + 999999999 FROM books")).distinct(), "id", "left_anti").agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM books WHERE language = 'en' AND id NOT IN ({_OUT})")
+add("scope_count", lambda c: c.books.where("language = 'en'").join(linked_members(c.part.select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type"), ["p_name", "p_brand", "p_type"]).select("id").unionByName(c.part.select((F.max("p_partkey") + 999999999).alias("id"))), "id", "left_anti").agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM books WHERE language = 'en' AND id NOT IN ({_OUT})")
 add("manifest_totals", lambda c: c.book_files.groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("bytes")).withColumn("files", F.sum("n").over(Window.partitionBy())), "SELECT format, count(*) AS n, CAST(sum(file_size) AS BIGINT) AS bytes, (SELECT count(*) FROM book_files) AS files FROM book_files GROUP BY format")
 
 # --- device sync --------------------------------------------------------------------------------------------------
