@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_author, normalize_title, trigram_similarity
+from ..functions.text import normalize_author, normalize_title, trigram_similarity, trigrams
 from ..sources.titles import title_block, with_norm_title
 from ..sources.work import stored
 from .library import latest
@@ -64,7 +64,8 @@ def fuzzy_duplicates(incoming: DataFrame, existing: DataFrame, links: DataFrame,
 
     All known books are compared, by joins on distinct titles and names only:
     what grows with the books of one title are their distinct authors, of
-    which each keeps its two lowest ids. With ``block_rows`` only so many of
+    which each keeps its two lowest ids. Names that are alike are only looked
+    for where no book of the most alike title has the very name. With ``block_rows`` only so many of
     the lowest ids are compared whose titles begin with the same three
     characters. Repeated incoming rows of an id are one if equal.
     """
@@ -75,11 +76,14 @@ def fuzzy_duplicates(incoming: DataFrame, existing: DataFrame, links: DataFrame,
     names = links.select(F.col("book_id").alias("existing_id"), normalize_author(F.col("name")).alias("q")).where("q is not null").distinct()
     new, written = stored(new, "incoming"), stored(known.join(names, "existing_id", "left"), "known")
     titles = stored(similar_strings(new.select("x"), written.select("t"), TITLE_MATCH).select(F.col("a").alias("x"), F.col("b").alias("t"), F.col("likeness").alias("title_similarity")), "titles")
-    authors = stored(similar_strings(new.select("p"), written.where("q is not null").select("q"), AUTHOR_MATCH).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("likeness").alias("author_similarity")), "authors")
-    pairs = new.select("x", "p").distinct().join(titles, "x")
+    settled = stored(_by_equal_names(new, titles, written), "settled")
+    left = new.where("p <> ''").join(settled.select("id", "x", "p"), ["id", "x", "p"], "left_anti")
+    left = stored(left.join(titles.select("x").distinct(), "x", "left_semi").select(*new.columns), "unsettled")
+    authors = stored(similar_strings(left.select("p"), written.where("q is not null").select("q"), AUTHOR_MATCH).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("likeness").alias("author_similarity")), "authors")
+    pairs = left.select("x", "p").distinct().join(titles, "x")
     full = pairs.join(authors, "p").join(_two_lowest(written.where("q is not null"), "t", "q"), ["t", "q"]).select("x", "p", "existing_id", "title_similarity", "author_similarity")
-    full = full.unionByName(pairs.where("p = ''").join(_two_lowest(written.where("q is null"), "t"), "t").select("x", "p", "existing_id", "title_similarity", F.lit(1.0).alias("author_similarity")))
-    sure = stored(_best(new, full.withColumn("score", F.col("title_similarity") + F.col("author_similarity")), "x", "p"), "sure")
+    sure = _best(left, full.withColumn("score", F.col("title_similarity") + F.col("author_similarity")), "x", "p")
+    sure = stored(sure.unionByName(settled), "sure")
     alone = titles.where(F.col("title_similarity") >= TITLE_ONLY).join(_two_lowest(written, "t"), "t")
     rest = _best(new.join(sure.select("id"), "id", "left_anti"), alone.select("x", "existing_id", "title_similarity", F.lit(0.0).alias("author_similarity"), F.col("title_similarity").alias("score")), "x")
     # a name that is alike enough would have been found above, so these likenesses are below AUTHOR_MATCH
@@ -89,6 +93,19 @@ def fuzzy_duplicates(incoming: DataFrame, existing: DataFrame, links: DataFrame,
     return sure.select(*_FOUND).unionByName(rest.select(*_FOUND))
 
 
+def _by_equal_names(new: DataFrame, titles: DataFrame, written: DataFrame) -> DataFrame:
+    """The best duplicates of those of ``new`` that nothing can surpass: the most alike title by an author of the same name; and all of those without an author, whose names are like none."""
+    same = lambda name: F.array_sort(trigrams(F.col(name)))  # noqa: E731 - likeness 1: equal sets of trigrams
+    named = _two_lowest(written.where("q is not null").withColumn("same", same("q")), "t", "same")
+    pairs = new.select("x", "p").distinct().join(titles, "x")
+    equal = pairs.where("p <> ''").withColumn("same", same("p")).join(named, ["t", "same"])
+    none = pairs.where("p = ''").join(_two_lowest(written.where("q is null"), "t"), "t")
+    found = equal.select("x", "p", "existing_id", "title_similarity").unionByName(none.select("x", "p", "existing_id", "title_similarity"))
+    best = _best(new, found.withColumn("author_similarity", F.lit(1.0)).withColumn("score", F.col("title_similarity") + F.col("author_similarity")), "x", "p")
+    most = titles.groupBy("x").agg(F.max("title_similarity").alias("most"))
+    return best.join(most, "x").where((F.col("p") == "") | (F.col("title_similarity") >= F.col("most"))).select(*best.columns)
+
+
 _FOUND = ("id", "existing_id", "title_similarity", "author_similarity")
 
 

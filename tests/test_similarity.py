@@ -79,3 +79,16 @@ def test_best_duplicates_equal_nested_loops(spark):
     frame = lambda v, ddl: spark.createDataFrame(v, ddl)
     found = D.fuzzy_duplicates(frame([(i, x, p or None) for i, x, p in new], "id long, title string, author string"), frame(known, "id long, title string"), frame(links, "book_id long, name string"))
     assert {r.id: (r.existing_id, round(r.title_similarity, 9), round(r.author_similarity, 9)) for r in found.collect()} == by_hand(new, known, links)
+
+
+def test_names_are_compared_only_where_no_equal_one_settles_it(spark, monkeypatch):
+    asked, real = [], D.similar_strings
+    monkeypatch.setattr(D, "similar_strings", lambda a, b, t: asked.append(a.columns[0] + str(a.distinct().count())) or real(a, b, t))
+    people = [f"writer {i:05d}" for i in range(40)] + ["aaaa", "aaaaa"]
+    known = [(2 * j, ("deep red ring", "deep red ringlet")[j % 2]) for j in range(84)]
+    links = [(2 * j, people[j // 2]) for j in range(84)]
+    new = [(2 * j + 1, "deep red ring", p) for j, p in enumerate(people)] + [(4, "deep red ring", people[1]), (91, "deep red ringle", people[3]), (93, "deep red ring", "writer 0000"), (95, "unlike any", "nobody")]
+    found = D.fuzzy_duplicates(spark.createDataFrame(new, "id long, title string, author string"), spark.createDataFrame(known, "id long, title string"), spark.createDataFrame(links, "book_id long, name string"))
+    assert {r.id: (r.existing_id, round(r.title_similarity, 9), round(r.author_similarity, 9)) for r in found.collect()} == by_hand(new, known, links)
+    # only the name whose one book of the title is the incoming one itself; "writer 0000" has the trigrams of "writer 00000"
+    assert asked == ["x3", "p1"]
