@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.work import files_version, stored
+from ..sources.work import files_version, spread, stored
 
 # Columns and their ranking weights.
 WEIGHTS = {"title": 10.0, "description": 1.0, "authors": 5.0, "series": 3.0, "publisher": 2.0, "tags": 2.0}
@@ -28,7 +28,9 @@ _FROM, _TO = "".join(map(chr, _FOLD)), "".join(_FOLD.values())
 
 def tokens(c: Column) -> Column:
     """Lower-case tokens without diacritics; ``+`` and ``#`` belong to words."""
-    t = F.lower(F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), r"\p{M}", ""), _FROM, _TO))
+    c = F.coalesce(c, F.lit(""))
+    plain = F.translate(F.regexp_replace(c, r"\p{M}", ""), _FROM, _TO)
+    t = F.lower(F.when(F.octet_length(c) == F.length(c), c).otherwise(plain))  # ASCII has no marks
     return F.filter(F.split(t, r"[^\p{L}\p{N}\p{Co}+#]+"), lambda x: x != "")
 
 
@@ -39,17 +41,32 @@ def plain_tokens(text: str) -> list[str]:
 
 def documents(cat) -> DataFrame:
     """One row a book: the indexed text of each column."""
-    def names(link: DataFrame, dim: DataFrame, key: str, out: str) -> DataFrame:
-        j = link.join(dim.select(F.col("id").alias(key), F.col("name").alias("n")), key).select("book_id", "n").distinct()
-        return j.groupBy(F.col("book_id").alias("id")).agg(F.concat_ws(" ", F.sort_array(F.collect_list("n"))).alias(out))
+    linked = lambda col: _names(cat, col).withColumnRenamed("text", col)
+    titled = _titled(cat).select("id", "title", "description", F.col("publisher_id").alias("publisher"))
+    return titled.join(linked("authors"), "id", "left").join(linked("series"), "id", "left").join(linked("tags"), "id", "left")
 
-    titled = cat.books.withColumn("title", F.concat_ws(" ", "title", "subtitle")) if "subtitle" in cat.books.columns else cat.books
-    return (
-        titled.select("id", "title", "description", F.col("publisher_id").alias("publisher"))
-        .join(names(cat.book_authors, cat.authors, "author_id", "authors"), "id", "left")
-        .join(names(cat.book_series, cat.series, "series_id", "series"), "id", "left")
-        .join(names(cat.book_tags, cat.tags, "tag_id", "tags"), "id", "left")
-    )
+
+_LINKS = {"authors": "author_id", "series": "series_id", "tags": "tag_id"}
+
+
+def _titled(cat) -> DataFrame:
+    return cat.books.withColumn("title", F.concat_ws(" ", "title", "subtitle")) if "subtitle" in cat.books.columns else cat.books
+
+
+def _names(cat, col: str) -> DataFrame:
+    """(id, text): the distinct names that a book is linked to, in order."""
+    link, dim, key = getattr(cat, f"book_{col}"), getattr(cat, col), _LINKS[col]
+    j = link.join(dim.select(F.col("id").alias(key), F.col("name").alias("n")), key)
+    return j.groupBy(F.col("book_id").alias("id")).agg(F.concat_ws(" ", F.sort_array(F.collect_set("n"))).alias("text"))
+
+
+def fields(cat) -> DataFrame:
+    """(id, col, text): the texts of ``documents`` a row each, from where they lie, so that no join carries them."""
+    own = F.explode(F.array(*[F.struct(F.lit(n).alias("col"), F.col(c).alias("text")) for n, c in (("title", "title"), ("description", "description"), ("publisher", "publisher_id"))])).alias("f")
+    rows = _titled(cat).select("id", own).select("id", "f.*")
+    for col in _LINKS:  # links of books that are not there name no document
+        rows = rows.unionByName(_names(cat, col).join(cat.books.select("id"), "id", "left_semi").select("id", F.lit(col).alias("col"), "text"))
+    return rows
 
 
 @dataclass
@@ -61,8 +78,9 @@ class Index:
 
     def refreshed(self, changed: DataFrame, docs: DataFrame) -> Index:
         """The index after the documents ``changed(id)`` became those of ``docs``, or left if ``docs`` lacks them."""
-        ids = changed.select("id").distinct()
-        new = index(docs.join(ids, "id", "left_semi"))
+        with spread(docs):
+            ids = stored(changed.select("id").distinct(), "changed")
+            new = of_words(stored(words(long_form(docs.join(ids, "id", "left_semi"))), "words"))
         keep = lambda rows: rows.join(ids, "id", "left_anti")
         return Index(keep(self.postings).unionByName(new.postings), keep(self.lengths).unionByName(new.lengths))
 
@@ -72,13 +90,26 @@ class Index:
         return Index(stored(by_term, "postings"), stored(self.lengths, "lengths"))
 
 
-def index(docs: DataFrame) -> Index:
-    """The index of ``documents``; tokens are made once a row and column."""
+def long_form(docs: DataFrame) -> DataFrame:
+    """(id, col, text) of the columns of ``documents``, as ``fields``."""
     cols = [c for c in WEIGHTS if c in docs.columns]
-    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in cols])).alias("f")
-    words = docs.select("id", fields).select("id", F.col("f.col").alias("col"), F.posexplode(tokens(F.col("f.text"))).alias("place", "term"))
-    lengths = docs.select("id", sum((F.size(tokens(F.col(c))) for c in cols), F.lit(0)).alias("dl"))
-    return Index(words, lengths)
+    return docs.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in cols])).alias("f")).select("id", "f.*")
+
+
+def words(rows: DataFrame) -> DataFrame:
+    """(id, col, words) of (id, col, text)."""
+    return rows.select("id", "col", tokens(F.col("text")).alias("words"))
+
+
+def of_words(rows: DataFrame) -> Index:
+    """The index of (id, col, words), in which every document has a row, be it without words."""
+    posted = rows.select("id", "col", F.posexplode("words").alias("place", "term"))
+    return Index(posted, rows.groupBy("id").agg(F.sum(F.size("words")).cast("int").alias("dl")))
+
+
+def index(docs: DataFrame) -> Index:
+    """The index of ``documents``, not written: each of its tables makes the tokens when it is read."""
+    return of_words(words(long_form(docs)))
 
 
 _indexes: dict[tuple[str, str], tuple[str, Index]] = {}
@@ -88,7 +119,9 @@ def index_of(cat) -> Index:
     """The stored index of a catalog, made when an application first asks for it and again when the catalog's files have changed."""
     key, version = (cat.spark.sparkContext.applicationId, cat.sf_dir), files_version(cat.spark, cat.sf_dir)
     if _indexes.get(key, ("", None))[0] != version:
-        _indexes[key] = version, index(documents(cat)).stored()
+        rows = fields(cat)
+        with spread(rows):
+            _indexes[key] = version, of_words(stored(words(rows), "words")).stored()
     return _indexes[key][1]
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.commits import TableSet
+from ..sources.work import spread, stored
 from . import fulltext
 from .fulltext import WEIGHTS, Index, Term
 
@@ -44,17 +45,12 @@ class SegmentIndex:
     def _write(self, generation: int, built: Index, dead: DataFrame) -> dict:
         folder = f"{self.root}/segments/{generation:06d}-{uuid.uuid4().hex}"
         rows = built.postings.select("id", "col", F.col("place").cast("int").alias("place"), "term")
-        raw = f"{folder}/unsorted"
-        rows.write.parquet(raw)  # tokens are made once, then counted and sorted
-        rows = self.spark.read.schema(POSTINGS).parquet(raw)
         n = rows.count()
         rows.repartitionByRange(max(1, -(-n // FILE_ROWS)), "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
         built.lengths.select("id", F.col("dl").cast("int").alias("dl")).write.parquet(f"{folder}/lengths")
         dead.select("id", F.lit(generation).alias("generation")).distinct().write.parquet(f"{folder}/dead")
         named = self.spark.read.schema(POSTINGS).parquet(f"{folder}/postings").select("term", F.col("_metadata.file_path").alias("file"))
         named.groupBy("file").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count(F.lit(1)).alias("rows")).coalesce(1).write.parquet(f"{folder}/files")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(raw)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         return {"folder": folder, "generation": generation}
 
     def refresh(self, commit: str, docs: DataFrame, changed: DataFrame | None = None) -> bool:
@@ -62,16 +58,20 @@ class SegmentIndex:
         if self.log.known(commit):
             return False
         version, live = self.log.version(), self.segments()
-        ids = (docs if changed is None else changed).select("id").distinct()
-        new = docs if changed is None else docs.join(ids, "id", "left_semi")
-        segment = self._write(version + 1, fulltext.index(new), ids)
+        with spread(docs):
+            ids = None if changed is None else stored(changed.select("id").distinct(), "changed")
+            new = docs if changed is None else docs.join(ids, "id", "left_semi")
+            rows = stored(fulltext.words(fulltext.long_form(new)), "words")  # tokens are made once, then counted and sorted
+            segment = self._write(version + 1, fulltext.of_words(rows), rows if changed is None else ids)
         self.log.publish(version + 1, {"id": commit, "live": {"segments": [*live, segment]}})
         return True
 
     def compact(self) -> None:
         """All segments as one, without what was replaced."""
         version, whole = self.log.version(), self.index()
-        segment = self._write(version + 1, whole, whole.lengths.limit(0))
+        with spread(whole.postings):
+            whole = Index(stored(whole.postings, "postings"), stored(whole.lengths, "lengths"))
+            segment = self._write(version + 1, whole, whole.lengths.limit(0))
         self.log.publish(version + 1, {"id": f"compact-{version + 1}", "live": {"segments": [segment]}})
 
     def _alive(self, rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input files for each partition of a shuffle of large tables.
+PART_BYTES = 16 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, listed without reading any."""
+    spark, total = df.sparkSession, 0
+    for file in set(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        total += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
+
+
+@contextmanager
+def spread(df: DataFrame):
+    """Steps written within are shuffled to as many partitions as the files that ``df`` reads ask for, never to fewer than the session does, so that tasks stay small however large the tables are."""
+    conf, name = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    was = conf.get(name)
+    conf.set(name, str(max(int(was), -(-input_bytes(df) // PART_BYTES))))
+    try:
+        yield
+    finally:
+        conf.set(name, was)
+
+
 def files_version(spark: SparkSession, folder: str) -> str:
     """A fingerprint of names, sizes and times of the files in a folder and in its folders, listed without reading any."""
     top = spark._jvm.org.apache.hadoop.fs.Path(folder)

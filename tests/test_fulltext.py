@@ -98,3 +98,32 @@ def test_an_index_follows_its_files(spark, tmp_path):
     assert files_version(spark, str(tmp_path)) == before
     spark.range(4).write.mode("append").parquet(f"{tmp_path}/t.parquet")
     assert files_version(spark, str(tmp_path)) != before
+
+
+def test_tokens_are_made_once_a_step_and_large_tables_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    from shelfspark.plans import segments
+    from shelfspark.sources import work
+    from shelfspark.sources.views import Catalog
+
+    made, parts, real = [], [], fulltext.stored
+
+    def watched(df, name):
+        made.append("lower(" in df._jdf.queryExecution().optimizedPlan().toString())
+        parts.append(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return real(df, name)
+
+    for m in (fulltext, segments):
+        monkeypatch.setattr(m, "stored", watched)
+    monkeypatch.setattr(work, "PART_BYTES", 10_000)
+    monkeypatch.setattr(fulltext, "_indexes", {})
+    cat = Catalog(spark, "/root/testdata/sf0.001")
+    rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    want, got = fulltext.index(fulltext.documents(cat)), fulltext.index_of(cat)
+    assert made.count(True) == 1 and min(parts) > 4
+    assert rows(got.lengths) == rows(want.lengths) and rows(got.postings) == rows(want.postings.select(got.postings.columns))
+    made.clear()
+    idx = segments.SegmentIndex(spark, str(tmp_path))
+    idx.refresh("load", fulltext.documents(cat))
+    assert made == [True] and rows(idx.index().lengths) == rows(want.lengths) and int(spark.conf.get("spark.sql.shuffle.partitions")) == 4
+    odd = spark.createDataFrame([("plain ASCII C++ ~",), ("Ünïcode Straße ÀÉ",), ("éa x",), (None,)], "s string")
+    assert [r[0] for r in odd.select(fulltext.tokens(fulltext.F.col("s"))).collect()] == [["plain", "ascii", "c++"], ["unicode", "straße", "ae"], ["ea", "x"], []]
