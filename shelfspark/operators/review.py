@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import dealt
 from .library import latest
 
 # How much history stays, and the order of statuses.
@@ -72,10 +73,11 @@ def useful_candidates(runs: DataFrame, candidates: DataFrame, n: int = TOP_CANDI
     best = [F.col("score").desc(), F.col("created_at"), F.col("id")]
     active = runs.where((F.col("state") != "superseded") & F.col("outcome").isin(*REVIEWED)).select("id")
     old = latest(runs.where("state = 'superseded'"), "book_id", *_newest(), n=superseded).select("id")
-    of_runs = candidates.join(active.union(old).select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    by_run, by_id = (dealt({k: (candidates.where(f"{k} is not null"), k)})[k] for k in ("run_id", "id"))
+    of_runs = by_run.join(active.union(old).select(F.col("id").alias("run_id")), "run_id", "left_semi")
     legacy = candidates.where("run_id is null and status <> 'superseded'").join(runs.select("book_id").distinct(), "book_id", "left_anti")
     ids = [latest(of_runs, "run_id", *best, n=n).select("id"), latest(legacy, "book_id", *best, n=n).select("id"), candidates.where("status = 'applied'").select("id")]
-    return candidates.join(reduce(DataFrame.union, ids).distinct(), "id", "left_semi")
+    return by_id.join(reduce(DataFrame.union, ids).distinct(), "id", "left_semi")
 
 
 def applied_candidate(candidates: DataFrame) -> DataFrame:
@@ -180,4 +182,5 @@ def identifier_proof(trusted: DataFrame, proposed: DataFrame) -> DataFrame:
 
 def gathered(by_id: DataFrame, by_search: DataFrame) -> DataFrame:
     """Candidates of identifier lookups; a book's search results only where those gave nothing."""
-    return by_id.unionByName(by_search.join(by_id.select("book_id").distinct(), "book_id", "left_anti"))
+    met = dealt({"asked": (by_search, "book_id"), "found": (by_id.select("book_id"), "book_id")})
+    return by_id.unionByName(met["asked"].join(met["found"].distinct(), "book_id", "left_anti"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .work import dealt
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 _DIGITS = " + ".join(f"cast(substring(body, {i}, 1) as int) * {1 if i % 2 else 3}" for i in range(1, 13))
@@ -74,6 +76,9 @@ VIEWS: dict[str, str] = {
     "file_events": "SELECT event_id AS id, concat('/in/', CASE user_id % 4 WHEN 0 THEN '.' ELSE '' END, 'u', CAST(user_id % 25 AS VARCHAR(20)), CASE user_id % 5 WHEN 0 THEN '.part' WHEN 1 THEN '.EPUB' WHEN 2 THEN '.doc' ELSE '.epub' END, CASE user_id % 7 WHEN 0 THEN '~' ELSE '' END) AS path, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'removed' ELSE 'changed' END AS kind, ts FROM events",
 }
 
+#: view -> the key that each of its large tables is dealt by, which is the key of its join and of its groups.
+DEALT = {"identification_candidates": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
+
 
 class Catalog:
     """Views as DataFrames, built when first asked for: ``Catalog(spark, sf_dir).books``."""
@@ -93,6 +98,8 @@ class Catalog:
                     sql, n = re.subn(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
                     if n:
                         used[t] = getattr(self, t)
+                if name in DEALT:
+                    used |= dealt({t: (used[t], key) for t, key in DEALT[name].items()})
                 self._made[name] = self.spark.sql(sql, **used)
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

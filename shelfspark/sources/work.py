@@ -44,6 +44,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 PART_BYTES = 16 << 20
 
 
+def dealt(tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Tables dealt by their key to a partition for each ``PART_BYTES`` of their files, as they are if the session deals to as many."""
+    parts = -(-sum(input_bytes(df) for df, _ in tables.values()) // PART_BYTES) if tables else 0
+    few = any(parts <= partitions(df.sparkSession) for df, _ in tables.values())
+    return {name: df if few else df.repartition(parts, key) for name, (df, key) in tables.items()}
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that ``df`` reads, listed without reading any."""
     spark, total = df.sparkSession, 0

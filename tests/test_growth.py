@@ -71,3 +71,22 @@ def test_links_of_equal_books_are_settled_at_the_books(spark):
         plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         lines = plan.splitlines()
         assert not any("p_partkey" in line and "<" in line for line in lines[2:] if "Join" in line)
+
+
+def test_large_tables_of_candidates_are_dealt_to_more_tasks(spark, monkeypatch):
+    from shelfspark.sources import work
+
+    names = ("candidate_tiers", "auto_apply", "top5_candidates", "candidates_by_score", "prune_candidates", "gather_candidates")
+    rows = lambda n: sorted(map(tuple, Q.QUERIES[n](spark, SF).collect()), key=repr)
+    few = {n: rows(n) for n in names}
+    monkeypatch.setattr(work, "PART_BYTES", 10_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in names:
+            plan = Q.QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION_BY_NUM" in plan, n
+            if n not in ("prune_candidates", "gather_candidates"):  # all steps are dealt alike; the rest of these two is dealt again
+                assert "hashpartitioning" in plan and ", 4), " not in plan, n
+            assert rows(n) == few[n], n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
