@@ -10,6 +10,7 @@ from .operators import merging as M
 from .registry import add, rounded, shared_sql
 from .scalar_queries import _NT, _tri
 from .sources.views import Catalog
+from .sources.work import dealt
 
 _IN = "SELECT book_id + 1 AS id, identifier_type, value, CASE book_id % 3 WHEN 0 THEN 'epub' WHEN 1 THEN 'pdf' ELSE 'mobi' END AS format FROM identifiers"
 add("dup_isbn_decision", lambda c: D.isbn_decision(shared_sql(c, _IN), c.identifiers, c.book_files), f"""
@@ -66,7 +67,9 @@ _CAND = """SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY
 
 def candidates(c: Catalog) -> DataFrame:
     none = {n: t for n, t in (f.strip().split(" ") for f in M.CANDIDATE.split(", "))}
-    rows = shared_sql(c, _CAND).withColumns({"authors": F.filter(F.array("author"), lambda x: x.isNotNull()), "identifiers": F.array("identifier")})
+    by_book = Catalog(c.spark, c.sf_dir)
+    by_book._made["identification_candidates"] = dealt({"found": (c.identification_candidates.select("id", "book_id", "score"), "book_id")})["found"]
+    rows = shared_sql(by_book, _CAND).withColumns({"authors": F.filter(F.array("author"), lambda x: x.isNotNull()), "identifiers": F.array("identifier")})
     return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in none.items()])
 
 

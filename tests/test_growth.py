@@ -95,3 +95,19 @@ def test_large_tables_of_candidates_are_dealt_to_more_tasks(spark, monkeypatch):
 def test_proposed_values_are_not_computed_again_for_every_character(spark):
     plan = Q.QUERIES["id_proof_isbn"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lpad") < 60
+
+
+def test_candidates_of_a_book_are_merged_where_they_lie(spark, monkeypatch):
+    from shelfspark.sources import work
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for size in (work.PART_BYTES, 10_000):  # as many partitions as the session has, and more
+            monkeypatch.setattr(work, "PART_BYTES", size)
+            plan = Q.QUERIES["cand_resolve"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            sent = [line for line in plan.splitlines() if "Exchange " in line]
+            # lineitem, orders, and once the candidates to their books; no step is stored and sent again
+            assert len(sent) == 3 and sum("book_id" in line or "o_custkey" in line for line in sent) == 1, sent
+            assert plan.count("FileScan parquet") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

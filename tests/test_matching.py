@@ -110,3 +110,40 @@ def test_many_books_at_once_equal_the_definition(spark):
     for r in M.merged_candidates(df).collect():
         got.setdefault(r.book_id, []).append((r.ordinal, round(r.score, 6), r.cross_provider, r.merged_from, r.identifiers, r.cover_url))
     assert {b: sorted(v) for b, v in got.items()} == {b: by_definition(c) for b, c in books.items()}
+
+
+def odd_candidates():
+    """Candidates of some books, with rows without a book, an ordinal or a provider, equal ordinals, equal rows and null fields."""
+    import random
+
+    dice, rows = random.Random(7), []
+    for b in [*range(40), None]:
+        for o in range(1, dice.randint(2, 12)):
+            who = dice.choice(["loc", "hardcover", "open_library", None])
+            ids = dice.sample(["isbn13:978-1", "isbn13:9781", "isbn13:9782", "isbn10:3", "isbn10:4", "lccn:1", "lccn:2", "hardcover:7", "asin:B", None], dice.randint(0, 3))
+            more = dict(cover_url=dice.choice([None, "", f"u{o}"]), description=dice.choice([None, "", "d"]), page_count=dice.choice([None, o]), subjects=dice.choice([None, [], ["s"]]))
+            row = {**cand(dice.choice([o, o, o, 1, None]), who, dice.randint(1, 9) / 10, dice.choice(["Red Ring", "The Red Ring!", "Blue Moon Rising", "", None]), dice.choice([[], ["Ann Lee"], ["Lee, Ann", "Bob Kay"]]), ids, **more), "book_id": b}
+            rows += [row] * dice.choice([1, 1, 2])
+    return [tuple(r[n] for n in NAMES) for r in rows]
+
+
+def test_books_in_one_row_and_in_rounds_are_merged_alike(spark, monkeypatch):
+    df = spark.createDataFrame(odd_candidates(), M.CANDIDATE)
+    rows = lambda: sorted(map(str, M.merged_candidates(df).collect()))
+    whole = rows()
+    monkeypatch.setattr(M, "ROW_CANDIDATES", 6)  # some of the books
+    assert rows() == whole
+    monkeypatch.setattr(M, "ROW_CANDIDATES", 0)
+    assert rows() == whole and sum("cross_provider=True" in r for r in whole) > 20
+
+
+def test_rounds_equal_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROW_CANDIDATES", 0)
+    test_many_books_at_once_equal_the_definition(spark)
+
+
+def test_without_a_book_or_an_ordinal_nothing_merges(spark):
+    one = lambda b, o, score, ids=("isbn13:1",): tuple({**cand(o, "loc", score, "A", ids=list(ids)), "book_id": b}[n] for n in NAMES)
+    rows = [one(None, 1, 0.1), one(None, 1, 0.2), one(1, None, 0.3), one(1, None, 0.4), one(1, 1, 0.5, ["lccn:1"]), one(1, 1, 0.6, ["lccn:2"])]
+    got = M.merged_candidates(spark.createDataFrame([*rows, rows[0]], M.CANDIDATE)).collect()
+    assert sorted(r.score for r in got) == [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]
