@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +45,49 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Steps that were stored within ``scratch``.
+_steps: ContextVar[list[DataFrame] | None] = ContextVar("steps", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: columnar, compressed, and columns can be pruned."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (steps := _steps.get()) is not None:
+        steps.append(out)
+    return out
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Remove the files of ``stored`` steps, which nothing may read any more."""
+    for df in steps:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if f"/shelfspark/{spark.sparkContext.applicationId}/" not in folder:
+                raise ValueError(f"{folder} holds no step of this application")
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Of the steps stored within only those remain that were given to the function this yields; what a step has shuffled goes as soon as it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf, steps, kept = spark.conf, [], set()
+    was, outer = conf.get(name, "false"), _steps.set(steps)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    conf.set(name, "true")
+    try:
+        yield keep
+    finally:
+        conf.set(name, was)
+        _steps.reset(outer)
+        dropped(*(df for df in steps if id(df) not in kept))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -111,12 +151,14 @@ def components(edges: DataFrame, max_rounds: int = 60, hub: int = 256) -> DataFr
     an empty table.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    e = stored(e.union(e.select("b", "a")).distinct(), "edges")
-    hubs = stored(e.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).where("parts > 1"), "hubs")
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = stored(e.select(ends).select("e.*").distinct(), "edges")
+    hubs = stored(both.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts")).where("parts > 1"), "hubs")
     salt = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
-    e = stored(e.join(hubs, "b", "left").select("a", "b", salt.alias("salt")), "edges")
+    e = stored(both.join(hubs, "b", "left").select("a", "b", salt.alias("salt")), "edges")
+    dropped(both)
     labels = e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    labels = durable(labels)
+    labels = stored(labels, "labels")
     for _ in range(max_rounds):
         sent = labels.select(F.col("node").alias("b"), F.col("root").alias("r")).join(hubs, "b", "left")
         sent = sent.select("b", "r", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
@@ -128,12 +170,15 @@ def components(edges: DataFrame, max_rounds: int = 60, hub: int = 256) -> DataFr
         )
         jump = hooked.select(F.col("root").alias("to"), F.col("to").alias("to2"))
         step = hooked.join(jump, "to", "left").select("root", F.coalesce("to2", "to").alias("to"))
-        new = durable(
+        new = stored(
             labels.join(step, "root", "left")
-            .select("node", F.coalesce("to", "root").alias("root"), (F.coalesce("to", "root") != F.col("root")).alias("moved"))
+            .select("node", F.coalesce("to", "root").alias("root"), (F.coalesce("to", "root") != F.col("root")).alias("moved")),
+            "labels",
         )
+        dropped(labels)
         changed = new.where("moved").limit(1).count()
         labels = new.select("node", "root")
         if not changed:
+            dropped(e, hubs)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -12,9 +12,14 @@ batches, each with min-hashes of its own. A large bucket that keeps most of its
 contents agree on token after token): it is not split on, but becomes a
 candidate as a whole; so does what is still large at the greatest depth.
 
-Candidates only say which contents belong together: each of their connected
-components is then compared in full with exact sets, in blocks of bounded
-size, and links are counted inside the blocks, so no pair is emitted as a row.
+Candidates only say which contents belong together. Of a large connected
+component only contents that share one of their rarest shingles, as all linked
+ones do, stay together; each component is then compared in full with exact
+sets, in blocks of bounded size, and links are counted inside the blocks, so
+no pair is emitted as a row.
+
+Steps are removed as soon as nothing reads them, and what they shuffle once
+they are written.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z is folded; a text of
 fewer than five words, but not none, is one shingle. Defined results: null,
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, partitions, small_batches, stored, whole_groups
+from .common import components, dropped, partitions, scratch, small_batches, stored, whole_groups
 from .textscan import ALNUM, BASE, Slice, Words, mix, rolling, slices, span_hash
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -76,12 +81,16 @@ def shingles(s: Slice, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def signatures(first: np.ndarray, g: np.ndarray, batch: int = 0) -> np.ndarray:
-    """The low 16 bits of min-hashes (documents x SIGNATURE) of the sets in ``g``; rows without shingles are zero."""
-    out = np.zeros((len(first) - 1, SIGNATURE), dtype=np.uint16)
+    """32 bits of min-hashes (documents x SIGNATURE) of the sets in ``g``; rows without shingles are zero.
+
+    With fewer, contents that share nothing meet in buckets by chance: with 16
+    bits, 46 of 3,000,000 in each.
+    """
+    out = np.zeros((len(first) - 1, SIGNATURE), dtype=np.uint32)
     full, (a, b) = np.flatnonzero(np.diff(first)), _coefficients(batch)
     if len(full):
         for i in range(SIGNATURE):
-            out[full, i] = np.minimum.reduceat((g * a[i] + b[i]) >> _U(16), first[full]).astype(np.uint16)
+            out[full, i] = np.minimum.reduceat((g * a[i] + b[i]) >> _U(16), first[full]).astype(np.uint32)
     return out
 
 
@@ -100,7 +109,12 @@ def _contents(docs: DataFrame, width: int, number: int = 0) -> DataFrame:
     return _ids(docs).mapInArrow(run, "did long, th long, k long, sig binary, low binary")
 
 
-def _sig(column: pa.ChunkedArray | pa.Array, kind: type = np.uint16) -> np.ndarray:
+def _sketches(contents: DataFrame) -> DataFrame:
+    """(k, sig, low) of each content with words."""
+    return stored(contents.where("k <> 0").groupBy("k").agg(F.first("sig").alias("sig"), F.first("low").alias("low")), "sketches")
+
+
+def _sig(column: pa.ChunkedArray | pa.Array, kind: type = np.uint32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
 
 
@@ -202,25 +216,32 @@ def candidate_components(reps: DataFrame, similarity: float, recall: float, fres
 
 
 def _batch(reps: DataFrame, first: int, last: int, similarity: float, bucket: int, depth: int) -> tuple[DataFrame, int]:
-    """(edges (a, b) that the runs ``first`` to ``last`` find, the deepest level they came to)."""
+    """(edges (a, b) that the runs ``first`` to ``last`` find, the deepest level they came to).
+
+    Each level's edges are written before the next is split, so that only one
+    level's rows lie on disk at a time. ``reps`` is a stored step; it is removed.
+    """
     runs = F.explode(F.sequence(F.lit(first), F.lit(last)))
     level = reps.select("k", "sig", runs.alias("run")).select("k", F.xxhash64("run", F.lit(41)).alias("node"), "sig", F.lit(1 << 62).alias("pn"))
-    edges = None
+    edges, above = None, []
     for at in range(1, depth + 1):
-        rows = stored(_split(level, similarity), "split")
-        n = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = stored(rows.join(n, "node"), "nodes")
+        split = stored(_split(level, similarity), "split")
+        dropped(*above)
+        n = split.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = stored(split.join(n, "node"), "nodes")
+        dropped(split)
         found = _bucket_edges(rows.where(F.col("n") <= bucket).join(reps.select("k", "low"), "k").select("node", "k", "low"), similarity)
         settled = (F.col("n") >= DENSE * F.col("pn")) | F.lit(at == depth)
         dense = rows.where((F.col("n") > bucket) & settled)
         least = dense.groupBy("node").agg(F.min("k").alias("b"))
         found = found.unionByName(dense.join(least, "node").select(F.col("k").alias("a"), "b").where("a <> b"))
+        found = stored(found.distinct(), "found")
+        edges, above = found if edges is None else edges.unionByName(found), [rows]
         large = rows.where((F.col("n") > bucket) & ~settled)
-        rest = large.limit(1).count()
-        edges = found if edges is None else edges.unionByName(found)
-        if not rest:
+        if not large.limit(1).count():
             break
         level = large.join(reps.select("k", "sig"), "k").select("k", "node", "sig", F.col("n").alias("pn"))
+    dropped(reps, rows)
     return edges, at
 
 
@@ -295,6 +316,40 @@ def _verify(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(run, "k long, n_links long, label long")
 
 
+def _tokens(sets: DataFrame) -> DataFrame:
+    """(k, size, token) of each shingle of ``sets(k, set)``; size is the set's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("set").to_pylist()
+            size = np.array([len(x) // 8 for x in sets], dtype=np.int64)
+            cols = [np.repeat(batch.column("k").to_numpy(), size), np.repeat(size, size), np.frombuffer(b"".join(sets), dtype=np.int64)]
+            for a in range(0, len(cols[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in cols], names=["k", "size", "token"])
+
+    return sets.select("k", "set").mapInArrow(run, "k long, size long, token long")
+
+
+def _parted(sets: DataFrame, similarity: float) -> DataFrame:
+    """(k, root, size) of contents ``sets(k, set)`` that may have a link, in smaller components; exact.
+
+    A candidate component grows with the corpus where many contents share a
+    passage. Two sets at the threshold share one of the rarest
+    ``n - ceil(similarity * n) + 1`` shingles of each (n: the size of the set),
+    so only contents that meet in these stay together.
+    """
+    tokens = _tokens(sets)
+    seen = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    shared = tokens.join(seen, "token").groupBy("k", "size").agg(F.sort_array(F.collect_list(F.struct("seen", "token"))).alias("by"))
+    # shingles of one content only are the rarest, and lead nowhere
+    left = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1 - (F.col("size") - F.size("by"))
+    rare = stored(shared.where(left > 0).select("k", F.explode(F.slice("by.token", F.lit(1), left.cast("int"))).alias("token")), "rare")
+    first = rare.groupBy("token").agg(F.min("k").alias("b"))
+    roots = components(stored(rare.join(first, "token").select(F.col("k").alias("a"), "b").where("a <> b").distinct(), "met")).select(F.col("node").alias("k"), "root")
+    dropped(rare)
+    return roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Shingle sets of the wanted contents (did, k, root, size, copies)."""
 
@@ -321,24 +376,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     or repeat, ``class_key`` (null for a text without words) tells classes
     apart and ``text_hash``, of the text with null as empty, the rows.
     """
-    base = stored(_contents(docs, width), "contents")
-    reps = stored(base.where("k <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("did").alias("did"), F.first("sig").alias("sig"), F.first("low").alias("low")), "reps")
+    with scratch(docs.sparkSession) as keep:
+        return keep(stored(_near_duplicates(docs, similarity, width, recall, bucket, block), "duplicates"))
 
-    def fresh(number: int) -> DataFrame:
-        return stored(_contents(docs, width, number).where("k <> 0").groupBy("k").agg(F.first("sig").alias("sig"), F.first("low").alias("low")), "reps")
 
-    comps = candidate_components(reps.select("k", "sig", "low"), similarity, recall, fresh, bucket).select(F.col("node").alias("k"), "root")
+def _near_duplicates(docs: DataFrame, similarity: float, width: int, recall: float, bucket: int, block: int) -> DataFrame:
+    contents = stored(_contents(docs, width), "contents")
+    base = stored(contents.select("did", "th", "k"), "rows")
+    reps = stored(base.where("k <> 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("did").alias("did")), "reps")
+    sketches = _sketches(contents)
+    dropped(contents)
+    comps = candidate_components(sketches, similarity, recall, lambda number: _sketches(_contents(docs, width, number)), bucket).select(F.col("node").alias("k"), "root")
     size = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    wanted = durable(comps.join(size, "root").join(reps.select("k", "did", "copies"), "k"))
-    sets = _sets(docs, wanted, width)
-    # a component larger than a block is dealt as all pairs of its blocks
+    wanted = stored(comps.join(size, "root").join(reps.select("k", "did", "copies"), "k"), "wanted")
+    sets = stored(_sets(docs, wanted, width), "sets")
+    # a component larger than a block is parted where it can be, and what is left dealt as all pairs of its blocks
+    if sets.where(F.col("size") > block).limit(1).count():
+        large = sets.where(F.col("size") > block)
+        parted = large.drop("root", "size").join(_parted(large, similarity), "k")
+        sets = sets.where(F.col("size") <= block).unionByName(parted)
     blocks = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("k", F.lit(5)), blocks).cast("int")
     dealt = sets.select("*", mine.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j")).select(
         F.concat_ws(":", "root", F.least("i", "j"), F.greatest("i", "j"), F.when(F.col("i") == F.col("j"), F.lit("o")).otherwise(F.lit("x"))).alias("unit"),
         (F.col("i") > F.col("j")).cast("int").alias("side"), "k", "copies", "set",
     )
-    found = durable(_verify(dealt, similarity))
+    found = stored(_verify(dealt, similarity), "links")
     links = found.groupBy("k").agg(F.sum("n_links").alias("others"))
     classes = components(found.select(F.col("k").alias("a"), F.col("label").alias("b")))
     least = classes.join(reps.select(F.col("k").alias("node"), "did"), "node").groupBy("root").agg(F.min("did").alias("class"))

@@ -99,3 +99,38 @@ def test_deep_pairs_are_found(make_docs):
         rows += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + own[:45] + [f"p{rng.randrange(10**9)}" for _ in range(12)]))]
     got = near_duplicates(make_docs(rows), bucket=4).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
+
+
+def test_steps_go_when_nothing_reads_them(spark, make_docs):
+    import os
+
+    from shelfspark.llm.common import shared_dir
+
+    root = f"{shared_dir(spark)}/shelfspark/{spark.sparkContext.applicationId}".removeprefix("file:")
+    there = lambda: set(os.listdir(root)) if os.path.isdir(root) else set()
+    was = there()
+    out = near_duplicates(make_docs([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m")]))
+    assert [name.split("-")[0] for name in there() - was] == ["duplicates"] and out.count() == 3
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_contents_that_only_share_a_passage_are_parted(spark):
+    rng = random.Random(4)
+    shared, sets = [rng.getrandbits(62) for _ in range(9)], {}
+    for i in range(300):
+        own = [rng.getrandbits(62) for _ in range(rng.randint(4, 60))]
+        sets[2 * i] = shared + own
+        if i % 10 == 0:
+            sets[2 * i + 1] = shared + own + [rng.getrandbits(62)]
+    rows = [(k, np.array(sorted(v), dtype=np.uint64).tobytes()) for k, v in sets.items()]
+    got = {r.k: (r.root, r["size"]) for r in jaccard_join._parted(spark.createDataFrame(rows, "k long, set binary"), 0.8).collect()}
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    linked = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])]
+    assert len(linked) >= 30 and all(got[a][0] == got[b][0] for a, b in linked)
+    assert max(size for _, size in got.values()) <= 20  # all 330 share the passage
+
+
+def test_contents_without_a_common_shingle_do_not_meet_by_chance():
+    g = np.arange(1, 200_001, dtype=np.uint64)
+    sig = jaccard_join.signatures(np.arange(len(g) + 1), jaccard_join.mix(g))
+    assert len(np.unique(sig[:, 0])) > 199_900  # 16 bits gave 65,536 at most
