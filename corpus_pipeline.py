@@ -42,9 +42,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = rows.where("class_key is not null").groupBy("class_key").agg(F.min(row).alias("row")).select("row.*")
     first = first.unionByName(rows.where("class_key is null").select("doc_id", "text_hash"))
     first = first.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("kept_hash"))
-    kept = docs.select(*COLUMNS).join(first, same, "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    same = lambda text_hash: F.col("doc_id").eqNullSafe(F.col("kept_id")) & (text_hash == F.col("kept_hash"))
+    again = rows.join(first, same(F.col("text_hash")), "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    kept = docs.select(*COLUMNS).join(first, same(F.xxhash64(F.coalesce("text", F.lit("")))), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 

@@ -77,3 +77,13 @@ def test_empty_tables_and_null_ids(spark, make_docs, tmp_path):
     for name in "ab":
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
     assert [r.doc_id for r in cp.run(spark, f"{tmp_path}/a").collect()] == [None] and cp.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_near_copies_reads_texts_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 5, 9), (2, 5, 8), (3, None, 7)], "doc_id long, class_key long, text_hash long")
+    monkeypatch.setattr(cp, "near_duplicates", lambda docs: rows)
+    docs = spark.range(1, 4).select(F.col("id").alias("doc_id"), F.raise_error(F.lit("a text was read")).cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    # which rows are kept, and whether some are equal, is settled without texts
+    assert cp.near_copies(spark, docs, "").columns == cp.COLUMNS
