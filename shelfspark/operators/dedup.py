@@ -14,6 +14,8 @@ from .similarity import similar_strings
 # Likeness that matches, that links by itself, and that is enough for a title without an author.
 TITLE_MATCH, AUTHOR_MATCH, TITLE_LINK, AUTHOR_LINK, TITLE_ONLY = 0.7, 0.6, 0.85, 0.8, 0.9
 BLOCK_ROWS = 20
+#: Likeness that names are first looked for at, before all at ``AUTHOR_MATCH`` are.
+NEAR_NAMES = 0.79
 
 
 def isbn_decision(incoming: DataFrame, identifiers: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,7 +67,8 @@ def fuzzy_duplicates(incoming: DataFrame, existing: DataFrame, links: DataFrame,
     All known books are compared, by joins on distinct titles and names only:
     what grows with the books of one title are their distinct authors, of
     which each keeps its two lowest ids. Names that are alike are only looked
-    for where no book of the most alike title has the very name. With ``block_rows`` only so many of
+    for where no book of the most alike title has the very name, and those less
+    alike than ``NEAR_NAMES`` only where no closer one settles it. With ``block_rows`` only so many of
     the lowest ids are compared whose titles begin with the same three
     characters. Repeated incoming rows of an id are one if equal.
     """
@@ -79,11 +82,14 @@ def fuzzy_duplicates(incoming: DataFrame, existing: DataFrame, links: DataFrame,
     settled = stored(_by_equal_names(new, titles, written), "settled")
     left = new.where("p <> ''").join(settled.select("id", "x", "p"), ["id", "x", "p"], "left_anti")
     left = stored(left.join(titles.select("x").distinct(), "x", "left_semi").select(*new.columns), "unsettled")
-    authors = stored(similar_strings(left.select("p"), written.where("q is not null").select("q"), AUTHOR_MATCH).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("likeness").alias("author_similarity")), "authors")
-    pairs = left.select("x", "p").distinct().join(titles, "x")
-    full = pairs.join(authors, "p").join(_two_lowest(written.where("q is not null"), "t", "q"), ["t", "q"]).select("x", "p", "existing_id", "title_similarity", "author_similarity")
-    sure = _best(left, full.withColumn("score", F.col("title_similarity") + F.col("author_similarity")), "x", "p")
-    sure = stored(sure.unionByName(settled), "sure")
+    sure = settled
+    for likeness in (NEAR_NAMES, AUTHOR_MATCH):
+        if not left.limit(1).count():
+            break
+        near = stored(_by_alike_names(left, titles, written, likeness), "near")
+        sure = sure.unionByName(near)
+        left = stored(left.join(near.select("id", "x", "p"), ["id", "x", "p"], "left_anti"), "unsettled")
+    sure = stored(sure, "sure")
     alone = titles.where(F.col("title_similarity") >= TITLE_ONLY).join(_two_lowest(written, "t"), "t")
     rest = _best(new.join(sure.select("id"), "id", "left_anti"), alone.select("x", "existing_id", "title_similarity", F.lit(0.0).alias("author_similarity"), F.col("title_similarity").alias("score")), "x")
     # a name that is alike enough would have been found above, so these likenesses are below AUTHOR_MATCH
@@ -93,6 +99,19 @@ def fuzzy_duplicates(incoming: DataFrame, existing: DataFrame, links: DataFrame,
     return sure.select(*_FOUND).unionByName(rest.select(*_FOUND))
 
 
+def _by_alike_names(left: DataFrame, titles: DataFrame, written: DataFrame, likeness: float) -> DataFrame:
+    """The best duplicates of those of ``left`` that no name of less likeness can surpass; above ``AUTHOR_MATCH`` the rest is left for a lower one."""
+    names = written.where("q is not null")
+    authors = stored(similar_strings(left.select("p"), names.select("q"), likeness).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("likeness").alias("author_similarity")), "authors")
+    pairs = left.select("x", "p").distinct().join(titles, "x")
+    full = pairs.join(authors, "p").join(_two_lowest(names, "t", "q"), ["t", "q"]).select("x", "p", "existing_id", "title_similarity", "author_similarity")
+    best = _best(left, full.withColumn("score", F.col("title_similarity") + F.col("author_similarity")), "x", "p")
+    if likeness <= AUTHOR_MATCH:
+        return best
+    most = titles.groupBy("x").agg(F.max("title_similarity").alias("most"))
+    return best.join(most, "x").where(F.col("title_similarity") + F.col("author_similarity") > F.col("most") + likeness).select(*best.columns)
+
+
 def _by_equal_names(new: DataFrame, titles: DataFrame, written: DataFrame) -> DataFrame:
     """The best duplicates of those of ``new`` that nothing can surpass: the most alike title by an author of the same name; and all of those without an author, whose names are like none."""
     same = lambda name: F.array_sort(trigrams(F.col(name)))  # noqa: E731 - likeness 1: equal sets of trigrams

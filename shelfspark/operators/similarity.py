@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trigram_similarity, trigrams
-from ..sources.work import stored
+from ..sources.work import partitions, stored
 
 #: Frequencies are kept for so many classes of trigrams, a table of fixed size.
 CLASSES = 1 << 16
@@ -62,6 +62,8 @@ def similar_strings(left: DataFrame, right: DataFrame, threshold: float) -> Data
     key = ["token", "n_b"]
     b = b.join(hubs, key, "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     a = a.join(hubs, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    tasks = partitions(rows.sparkSession)  # what is compared takes far more time than its bytes tell
+    a, b = (side.repartition(tasks, *key, "salt") for side in (a, b))
     together = _least_shared(threshold / (1 + threshold), F.col("n_a") + F.col("n_b"))
     # places count from 0; a pair is counted where it meets first, so it shares nothing before
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))

@@ -92,3 +92,17 @@ def test_names_are_compared_only_where_no_equal_one_settles_it(spark, monkeypatc
     assert {r.id: (r.existing_id, round(r.title_similarity, 9), round(r.author_similarity, 9)) for r in found.collect()} == by_hand(new, known, links)
     # only the name whose one book of the title is the incoming one itself; "writer 0000" has the trigrams of "writer 00000"
     assert asked == ["x3", "p1"]
+
+
+def test_less_alike_names_are_looked_for_only_where_no_closer_one_settles_it(spark, monkeypatch):
+    asked, real = [], D.similar_strings
+    monkeypatch.setattr(D, "similar_strings", lambda a, b, t: asked.append((a.columns[0], a.distinct().count(), t)) or real(a, b, t))
+    people = [f"supplier {i:09d}" for i in range(10_000, 10_200)]
+    known = [(2 * j, ("deep red ring", "deep red ringlet")[j % 2]) for j in range(100)]
+    links = [(2 * j, p) for j in range(100) for p in (people[2 * j], people[(14 * j + 2) % 200])]
+    # odd names have no book; the last one's like is only by far
+    new = [(2 * j + 1, "deep red ring" + ("", "s")[j % 2], people[2 * j + 1]) for j in range(100)] + [(901, "deep red ring", "supplier 000023456")]
+    found = D.fuzzy_duplicates(spark.createDataFrame(new, "id long, title string, author string"), spark.createDataFrame(known, "id long, title string"), spark.createDataFrame(links, "book_id long, name string"))
+    assert {r.id: (r.existing_id, round(r.title_similarity, 9), round(r.author_similarity, 9)) for r in found.collect()} == by_hand(new, known, links)
+    names = [a for a in asked if a[0] == "p"]
+    assert [t for _, _, t in names] == [D.NEAR_NAMES, D.AUTHOR_MATCH] and names[0][1] >= 100 and names[1][1] < 10
